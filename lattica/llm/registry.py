@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from lattica.llm.idstream import op9_idstream
 from lattica.llm.wordpieces import op7_sentencepiece
 
-QUERIES = {"op7_sentencepiece": op7_sentencepiece}
+QUERIES = {
+    "op7_sentencepiece": op7_sentencepiece,
+    "op9_idstream": op9_idstream,
+}
 ORACLES: dict[str, str] = {}
