@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lattica.llm.idstream import op9_idstream
 from lattica.llm.media import op5_media
+from lattica.llm.secrets import op10_secrets
 from lattica.llm.simhash import op3_simhash
 from lattica.llm.wordpieces import op7_sentencepiece
 
@@ -12,5 +13,6 @@ QUERIES = {
     "op5_media": op5_media,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_idstream": op9_idstream,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {}
