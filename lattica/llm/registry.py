@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from lattica.llm.idstream import op9_idstream
 from lattica.llm.media import op5_media
+from lattica.llm.pii import op4_pii
 from lattica.llm.secrets import op10_secrets
 from lattica.llm.simhash import op3_simhash
 from lattica.llm.wordpieces import op7_sentencepiece
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
     "op5_media": op5_media,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_idstream": op9_idstream,
