@@ -12,6 +12,7 @@ anew. Files are numbered by ``shard``, and shards follow each other in id order.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from lattica.functions.storage import materialize
 
-#: Entries of a worker's table of distinct words.
-TABLE_WORDS = 400_000
+#: Entries of a worker's tables of distinct words, and of distinct lower-case words without what follows them.
+TABLE_WORDS, TABLE_CORES = 800_000, 600_000
 #: Words longer than this are encoded but not kept in the table.
 KEPT_WORD_CHARS = 64
 #: Id appended to each document.
@@ -42,34 +43,70 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Ids of a text by a bounded table of distinct words.
+class WordTable(dict):
+    """Ids of words as bytes, made when first asked for; starts anew when full.
 
-    The tokenizer's pattern drops white space and never crosses it, and normal forms do not compose across it, so the
-    words between spaces, tabs and line ends are independent.
+    A word of Latin letters with punctuation after it is lower-cased and cut as the tokenizer does it, so that ``Word``,
+    ``word,`` and ``word.`` share the work of one segmentation.
     """
 
-    def __init__(self, path: str, table_words: int = TABLE_WORDS):
+    _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)").fullmatch
+
+    def __init__(self, path: str, words: int = TABLE_WORDS, cores: int = TABLE_CORES):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = table_words
-        self.table: dict[str, bytes] = {"": b""}
+        self.words, self.most_cores = words, cores
+        self.cores: dict[str, bytes] = {}
+        self.kind = id_kind(self.tokenizer.get_vocab_size())
+
+    def _segment(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _core(self, core: str) -> bytes:
+        ids = self.cores.get(core)
+        if ids is None:
+            ids = self._segment(core)
+            if len(self.cores) >= self.most_cores:
+                self.cores.clear()
+            if len(core) <= KEPT_WORD_CHARS:
+                self.cores[core] = ids
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        if not word:
+            ids = b""
+        elif plain := self._PLAIN(word):
+            ids = self._core(plain[1].lower()) + (self._core(plain[2]) if plain[2] else b"")
+        else:
+            ids = self._segment(word)
+        if len(self) >= self.words:
+            self.clear()
+        if len(word) <= KEPT_WORD_CHARS:
+            self[word] = ids
+        return ids
+
+
+def id_kind(vocabulary: int) -> str:
+    """Number format of ids in memory and in tables before ranking."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+class WordEncoder:
+    """Ids of a text by a bounded table of distinct words.
+
+    The tokenizer's pattern drops white space and never crosses it, and normal forms do not compose across it, so the
+    words between spaces, tabs and line ends are independent.
+    """
+
+    def __init__(self, path: str, words: int = TABLE_WORDS, cores: int = TABLE_CORES):
+        self.table = WordTable(path, words, cores)
 
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        table = self.table
-        if new := [w for w in set(words) if w not in table]:
-            if len(table) + len(new) > self.limit:
-                table.clear()
-                new = list(set(words))
-            for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                table[word] = np.array(got.ids, "<u4").tobytes()
-        ids = b"".join(map(table.__getitem__, words))
-        for word in [w for w in new if len(w) > KEPT_WORD_CHARS]:
-            del table[word]
-        return ids
+        return b"".join(map(self.table.__getitem__, words))
 
 
 @lru_cache(maxsize=1)
@@ -104,19 +141,19 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def encode_words(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(id, ids binary of little-endian unsigned 32-bit integers, end id included); a null text counts as empty."""
-    end = np.array([end_id], "<u4").tobytes()
+    """(id, ids binary in the tokenizer's ``id_kind``, end id included); a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path).encode
+        encoder = _encoder(path)
+        end = np.array([end_id], encoder.table.kind).tobytes()
         for batch in batches:
-            ids = pa.array([encode(t or "") + end for t in batch.column(1).to_pylist()], pa.binary())
+            ids = pa.array([encoder.encode(t or "") + end for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
-def rank_by_frequency(encoded: DataFrame) -> np.ndarray:
+def rank_by_frequency(encoded: DataFrame, kind: str) -> np.ndarray:
     """Ids in descending order of their count over all documents (ties: the smaller id first).
 
     Counts are summed per task before the shuffle; the result has one entry for each id in use, so it is bounded by
@@ -128,7 +165,7 @@ def rank_by_frequency(encoded: DataFrame) -> np.ndarray:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
+            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
             if len(got) > len(total):
                 total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
             total[: len(got)] += got
@@ -139,12 +176,13 @@ def rank_by_frequency(encoded: DataFrame) -> np.ndarray:
     return counts.sort_values(["n", "token"], ascending=[False, True])["token"].to_numpy(np.uint32)
 
 
-def write_blocks(encoded: DataFrame, by_rank: np.ndarray, name: str = "id-blocks") -> DataFrame:
+def write_blocks(encoded: DataFrame, by_rank: np.ndarray, kind: str, name: str = "id-blocks") -> DataFrame:
     """Blocks in ascending order of document id, written to the shared folder and read back.
 
     Columns: shard, block, offset (ids of the shard before this block), n_ids, doc_ids, lengths, control, data. Rows are
     dealt by range of document id, so a shard follows the one before.
     """
+    width = np.dtype(kind).itemsize
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     names = ["shard", "block", "offset", "n_ids", "doc_ids", "lengths", "control", "data"]
@@ -156,8 +194,8 @@ def write_blocks(encoded: DataFrame, by_rank: np.ndarray, name: str = "id-blocks
 
         def close() -> pa.RecordBatch:
             nonlocal block, offset, ids, parts
-            control, data = pack(rank[np.frombuffer(b"".join(parts), "<u4")])
-            lengths = np.array([len(p) // 4 for p in parts], np.int64)
+            control, data = pack(rank[np.frombuffer(b"".join(parts), kind)])
+            lengths = np.array([len(p) // width for p in parts], np.int64)
             row = [[shard], [block], [offset], [int(lengths.sum())], [ids], [lengths], [control], [data]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             ids, parts, block, offset = [], [], block + 1, offset + int(lengths.sum())
@@ -168,7 +206,7 @@ def write_blocks(encoded: DataFrame, by_rank: np.ndarray, name: str = "id-blocks
             for doc, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc)
                 parts.append(own)
-                held += len(own) // 4
+                held += len(own) // width
                 if len(ids) >= BLOCK_DOCS or held >= BLOCK_IDS:
                     yield close()
                     held = 0
@@ -211,9 +249,13 @@ def store_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     One row for each row of ``docs``; repeated ids follow each other in no fixed order, null ids come first, null texts
     hold the end id alone, and an empty table gives none.
     """
-    encoded = materialize(encode_words(docs, path or tokenizer_path(), id_col, text_col), "ids", "lz4")
-    by_rank = rank_by_frequency(encoded)
-    return read_blocks(write_blocks(encoded, by_rank), by_rank)
+    from tokenizers import Tokenizer
+
+    path = path or tokenizer_path()
+    kind = id_kind(Tokenizer.from_file(path).get_vocab_size())
+    encoded = materialize(encode_words(docs, path, id_col, text_col), "ids", "lz4")
+    by_rank = rank_by_frequency(encoded, kind)
+    return read_blocks(write_blocks(encoded, by_rank, kind), by_rank)
 
 
 def with_checksums(stored: DataFrame) -> DataFrame:
