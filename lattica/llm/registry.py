@@ -7,9 +7,11 @@ from lattica.llm.media import op5_media
 from lattica.llm.pii import op4_pii
 from lattica.llm.secrets import op10_secrets
 from lattica.llm.simhash import op3_simhash
+from lattica.llm.toxicity import op2_toxicity
 from lattica.llm.wordpieces import op7_sentencepiece
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
     "op5_media": op5_media,
