@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lattica.llm.idstream import op9_idstream
+from lattica.llm.line_dedup import op6_line_dedup
 from lattica.llm.media import op5_media
 from lattica.llm.pii import op4_pii
 from lattica.llm.secrets import op10_secrets
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
     "op5_media": op5_media,
+    "op6_line_dedup": op6_line_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_idstream": op9_idstream,
     "op10_secrets": op10_secrets,
