@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lattica.llm.decontaminate import op1_decontaminate
 from lattica.llm.idstream import op9_idstream
 from lattica.llm.line_dedup import op6_line_dedup
 from lattica.llm.media import op5_media
@@ -12,6 +13,7 @@ from lattica.llm.toxicity import op2_toxicity
 from lattica.llm.wordpieces import op7_sentencepiece
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
