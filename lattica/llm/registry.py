@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lattica.llm.decontaminate import op1_decontaminate
+from lattica.llm.html_text import op8_html_text
 from lattica.llm.idstream import op9_idstream
 from lattica.llm.line_dedup import op6_line_dedup
 from lattica.llm.media import op5_media
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_media": op5_media,
     "op6_line_dedup": op6_line_dedup,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_html_text": op8_html_text,
     "op9_idstream": op9_idstream,
     "op10_secrets": op10_secrets,
 }
