@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from lattica.plans import describing, linking, reporting, searching
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (linking, describing, searching, reporting):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
