@@ -11,22 +11,28 @@ from lattica.functions.storage import materialize
 MOST_ROUNDS = 200
 
 
-def closure(seeds: DataFrame, edges: DataFrame, group: str | None = None, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, group: str | None = None, most_rounds: int = MOST_ROUNDS, stride: int = 3) -> DataFrame:
     """(group, node, depth): nodes reachable from ``seeds`` with the smallest number of steps; seeds have depth 0.
 
-    ``seeds``: (node) or, with ``group``, (group, node), each group closing on its own. A round joins only the nodes that
-    the round before has found.
+    ``seeds``: (node) or, with ``group``, (group, node), each group closing on its own. A round takes ``stride`` steps from the
+    nodes that the round before has found last, and is written once.
     """
     keys = ([group] if group else []) + ["node"]
-    steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).where("src <> dst").distinct()
+    steps = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).where("src <> dst").distinct(), "closure-edges")
     found = materialize(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)), "closure")
-    frontier = found
-    for depth in range(1, most_rounds + 1):
-        reached = frontier.join(steps, "node").select(*keys[:-1], F.col("next").alias("node")).distinct()
-        frontier = materialize(reached.join(found, keys, "left_anti").withColumn("depth", F.lit(depth)), "closure")
+    frontier = found.select(*keys)
+    for done in range(0, most_rounds * stride, stride):
+        hops = None
+        for k in range(1, stride + 1):
+            frontier = frontier.join(steps, "node").select(*keys[:-1], F.col("next").alias("node")).distinct()
+            hop = frontier.withColumn("depth", F.lit(done + k))
+            hops = hop if hops is None else hops.unionByName(hop)
+        fresh = materialize(hops.groupBy(*keys).agg(F.min("depth").alias("depth")).join(found, keys, "left_anti"), "closure")
+        found = found.unionByName(fresh)
+        # nodes found before the last step have been left already
+        frontier = fresh.where(F.col("depth") == done + stride).select(*keys)
         if frontier.isEmpty():
             return found
-        found = found.unionByName(frontier)
     raise RuntimeError(f"no fixpoint in {most_rounds} rounds")
 
 
@@ -43,6 +49,7 @@ def chains(seeds: DataFrame, edges: DataFrame, most_depth: int, fan_out: int, st
     how many were not. A node is expanded once for each seed, at its smallest depth; ``stops`` (node) are not expanded.
     """
     by_node = Window.partitionBy("seed", "src")
+    edges = materialize(edges.select("src", "dst"), "chain-edges")
     frontier = seeds.select(F.col("node").alias("seed"), F.col("node").alias("src")).distinct()
     expanded, hops = frontier, None
     for depth in range(1, most_depth + 1):
@@ -65,6 +72,7 @@ def derive(known: DataFrame, forwards: DataFrame, most_rounds: int = 8) -> DataF
     ``known``: (name, place of the entry argument); ``forwards``: (name, callee, own_place, callee_place): ``name`` passes its
     argument ``own_place`` to ``callee`` at ``callee_place``.
     """
+    forwards = materialize(forwards, "derive-forwards")
     found = materialize(known.select("name", "place").distinct().withColumn("round", F.lit(0)), "derive")
     for n in range(1, most_rounds + 1):
         made = forwards.join(found.select(F.col("name").alias("callee"), F.col("place").alias("callee_place")), ["callee", "callee_place"])
