@@ -1,9 +1,10 @@
 """Benchmark decontamination: training passages query a BM25 index of test items with block-max WAND.
 
-Items are cut into segments, which are the index's documents. Weights are divided by the score a segment gives itself, so
-one threshold serves segments of any length. Every training text is read as overlapping passages; a passage whose terms'
-largest weights cannot add up to the threshold is done, others traverse the postings with block-max WAND, which returns
-every segment at or above the threshold. What is found is verified: word trigrams of the item's question part and of its
+Items are cut into segments, which are the index's documents; its terms are pairs of neighbouring words, as single words of
+ordinary prose occur in most segments and let no passage be passed over. Weights are divided by the score a segment gives
+itself, so one threshold serves segments of any length. Every training text is read as overlapping passages; a passage
+whose terms' largest weights cannot add up to the threshold is done, others traverse the postings with block-max WAND,
+which returns every segment at or above the threshold. What is found is verified: word trigrams of the item's question part and of its
 answer part must both occur around the passage.
 
 The index holds ``ITEMS_AT_ONCE`` items at most, so what is sent to executors is bounded; more items are searched in turns.
@@ -42,7 +43,10 @@ def grams(words: list[str]) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """Inverted index of items: for each term, postings (segment, normalised weight) in blocks with their largest weight."""
+    """Inverted index of items: for each term, postings (segment, normalised weight) in blocks with their largest weight.
+
+    An item of a single word has no pair of words and is never found.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         self.parts, segments, self.owner = [], [], []
@@ -55,23 +59,42 @@ class Index:
             for i in range(0, len(words), SEGMENT):
                 segments.append(words[i : i + SEGMENT])
                 self.owner.append(len(self.parts) - 1)
-        counts: dict[str, dict[int, int]] = {}
+        self.number = {w: i for i, w in enumerate(dict.fromkeys(w for words in segments for w in words))}
+        counts: dict[int, dict[int, int]] = {}
+        sizes = [len(words) - 1 for words in segments]
         for s, words in enumerate(segments):
-            for w in words:
-                counts.setdefault(w, {}).setdefault(s, 0)
-                counts[w][s] += 1
-        mean = sum(map(len, segments)) / max(1, len(segments))
-        weights: dict[str, dict[int, float]] = {}
+            for pair in self.pairs(words).tolist():
+                counts.setdefault(pair, {}).setdefault(s, 0)
+                counts[pair][s] += 1
+        mean = sum(sizes) / max(1, len(sizes))
+        weights: dict[int, dict[int, float]] = {}
         own = [0.0] * len(segments)
-        for w, found in counts.items():
+        for pair, found in counts.items():
             idf = log(1 + (len(segments) - len(found) + 0.5) / (len(found) + 0.5))
-            weights[w] = {s: idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(segments[s]) / mean)) for s, tf in found.items()}
-            for s, x in weights[w].items():
+            weights[pair] = {s: idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[s] / mean)) for s, tf in found.items()}
+            for s, x in weights[pair].items():
                 own[s] += x
-        self.number = {w: i for i, w in enumerate(counts)}
-        self.postings = [[(s, weights[w][s] / own[s]) for s in sorted(found)] for w, found in counts.items()]
+        ordered = sorted(weights)
+        self.codes = np.array(ordered, np.int64)
+        self.postings = [[(s, weights[p][s] / own[s]) for s in sorted(weights[p])] for p in ordered]
         self.block_most = [[max(x for _, x in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for p in self.postings]
-        self.most = np.array([max(b) for b in self.block_most] + [0.0])  # the last is for words of no item
+        self.most = np.array([max(b) for b in self.block_most] + [0.0])  # the last is for pairs of no item
+
+    def pairs(self, words: list[str]) -> np.ndarray:
+        """Codes of neighbouring words, -1 where either is in no item."""
+        numbers = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        first, second = numbers[:-1], numbers[1:]
+        return np.where((first < 0) | (second < 0), -1, first * len(self.number) + second)
+
+    def terms(self, words: list[str]) -> np.ndarray:
+        """Term numbers of neighbouring words, the number of terms where no item has the pair."""
+        pairs = self.pairs(words)
+        known = np.flatnonzero(pairs >= 0)
+        out = np.full(len(pairs), len(self.codes))
+        if len(known) and len(self.codes):
+            at = np.minimum(np.searchsorted(self.codes, pairs[known]), len(self.codes) - 1)
+            out[known] = np.where(self.codes[at] == pairs[known], at, len(self.codes))
+        return out
 
     def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """All (segment, score) at or above the threshold for distinct terms, by block-max WAND."""
@@ -125,19 +148,20 @@ class Index:
         words = words_of(text.lower())
         if not words or not self.parts:
             return []
-        terms = np.fromiter(map(self.number.get, words, repeat(len(self.number))), np.int64, len(words))
+        terms = self.terms(words)
         sums = np.concatenate([[0.0], np.cumsum(self.most[terms])])
         starts = np.arange(0, max(1, len(words) - PASSAGE + STRIDE), STRIDE)
-        ends = np.minimum(starts + PASSAGE, len(words))
+        starts = starts[starts < len(terms)]
+        ends = np.minimum(starts + PASSAGE - 1, len(terms))
         best: dict[int, tuple[float, float, float]] = {}
         for i in np.flatnonzero(sums[ends] - sums[starts] >= threshold - 1e-9):
             start, end = int(starts[i]), int(ends[i])
-            known = [t for t in set(terms[start:end].tolist()) if t < len(self.number)]
+            known = [t for t in set(terms[start:end].tolist()) if t < len(self.codes)]
             for segment, score in self.search(known, threshold):
                 item, size, question, answer = self.parts[self.owner[segment]]
-                around = set(zip(*(words[max(0, start - size) + k : end + size] for k in range(3)), strict=False)) if len(words) > 2 else {tuple(words)}
+                around = set(zip(*(words[max(0, start - size) + k : end + 1 + size] for k in range(3)), strict=False)) if len(words) > 2 else {tuple(words)}
                 if size < 5:  # parts of fewer than three words: compare runs of their length
-                    near = words[max(0, start - size) : end + size]
+                    near = words[max(0, start - size) : end + 1 + size]
                     around |= {tuple(near[k : k + n]) for n in (1, 2) for k in range(len(near))}
                 q = len(question & around) / len(question)
                 a = len(answer & around) / len(answer) if answer else q

@@ -14,7 +14,8 @@ def test_search_against_all_scores():
     index = D.Index(items)
     for threshold in (0.2, 0.5, 0.8):
         for _ in range(60):
-            terms = sorted({index.number[w] for w in rng.choices(vocabulary, k=rng.randrange(1, 40))})
+            words = [w for _, text in rng.choices(items, k=rng.randrange(1, 5)) for w in text.split()[: rng.randrange(1, 20)]]
+            terms = sorted(set(index.terms(words).tolist()) - {len(index.codes)})
             scores = {}
             for t in terms:
                 for s, x in index.postings[t]:
