@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lattica.plans import describing, linking, reporting, searching
+from lattica.plans import describing, linking, reporting, ruling, searching
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (linking, describing, searching, reporting):
+for _part in (linking, describing, searching, reporting, ruling):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
