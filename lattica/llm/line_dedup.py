@@ -6,8 +6,9 @@ fields. So the path and the other tokens make its template. Whole lines have two
 the second half of what follows the leading tokens is a variable field: lines that differ there only share one.
 
 A template recurs when two documents have it (three for those with a variable half). Of a run of recurring records with at
-least ``RUN_TOKENS`` tokens, and of any record that ``COMMON_DOCS`` documents have, the document with the smallest id keeps
-its copy and the others lose theirs. Shorter coincidences stay. Templates are compared by 64-bit hashes, which are counted
+least ``RUN_TOKENS`` tokens, one of them of ``LEAST_RECORD`` or more, and of a line of at least ``LEAST_LINE`` tokens that
+``COMMON_DOCS`` documents have, the document with the smallest id keeps its copy and the others lose theirs. Shorter
+coincidences, such as one-word sentences, stay. Templates are compared by 64-bit hashes, which are counted
 and joined; no template's documents ever meet in one task.
 """
 
@@ -26,8 +27,10 @@ from lattica.functions.storage import materialize
 LEAD = 3
 #: Documents that make a template recur: of whole records, and with a variable half.
 DOCS, DOCS_VARIED = 2, 3
-#: Tokens of a run of recurring records that is dropped, and documents from which a record alone is.
-RUN_TOKENS, COMMON_DOCS = 16, 20
+#: Tokens of a run of recurring records that is dropped, and of one record in it.
+RUN_TOKENS, LEAST_RECORD = 16, 6
+#: Documents from which a line alone is dropped, and its tokens at least.
+COMMON_DOCS, LEAST_LINE = 20, 3
 #: Tokens of a line that has templates with a variable half.
 LEAST_VARIED = 16
 
@@ -100,6 +103,7 @@ def without(text: str, found: dict[int, bool]) -> tuple[str, int]:
     """(text without dropped records, how many were dropped); ``found``: recurring templates, and whether they are common."""
     own, more = _hashes(text)
     flat = [(h, n) for line in own for h, n in line]
+    alone = [len(line) == 1 for line in own for _ in line]
     through_line = [any(h in found for h in v) for line, v in zip(own, more, strict=True) for _ in line]
     again = [n == 0 or h in found or by_line for (h, n), by_line in zip(flat, through_line, strict=True)]
     drop, i = [False] * len(flat), 0
@@ -110,9 +114,10 @@ def without(text: str, found: dict[int, bool]) -> tuple[str, int]:
         end = i
         while end < len(flat) and again[end]:
             end += 1
-        long = sum(n for _, n in flat[i:end]) >= RUN_TOKENS
+        sizes = [n for _, n in flat[i:end]]
+        long = sum(sizes) >= RUN_TOKENS and max(sizes) >= LEAST_RECORD
         for j in range(i, end):
-            drop[j] = flat[j][1] > 0 and (long or found.get(flat[j][0], False))
+            drop[j] = flat[j][1] > 0 and (long or alone[j] and flat[j][1] >= LEAST_LINE and found.get(flat[j][0], False))
         i = end
     if not any(drop):
         return text, 0

@@ -33,14 +33,14 @@ def brute(rows):
         flat = []
         for parts, more in templates(text):
             by_line = any(v in later for v in more)
-            flat += [(t, n, n == 0 or by_line or t in later) for t, n in parts]
+            flat += [(t, n, n == 0 or by_line or t in later, len(parts) == 1) for t, n in parts]
         gone, run = set(), []
-        for i, x in enumerate([*flat, ("", 0, False)]):
+        for i, x in enumerate([*flat, ("", 0, False, False)]):
             if x[2]:
                 run.append(i)
                 continue
-            long = sum(flat[j][1] for j in run) >= L.RUN_TOKENS
-            gone |= {j for j in run if flat[j][1] and (long or flat[j][0] in later and len(have[flat[j][0]]) >= L.COMMON_DOCS)}
+            long = sum(flat[j][1] for j in run) >= L.RUN_TOKENS and any(flat[j][1] >= L.LEAST_RECORD for j in run)
+            gone |= {j for j in run if flat[j][1] and (long or flat[j][3] and flat[j][1] >= L.LEAST_LINE and flat[j][0] in later and len(have[flat[j][0]]) >= L.COMMON_DOCS)}
             run = []
         result[doc] = gone
     return result
@@ -65,9 +65,11 @@ def test_passages_templates_and_short_lines(spark):
     rows += [(10 + i, f"User logged in from the host with name h{i} at time {i}:00 and then left the building again.\nown text {unique(i)}") for i in range(3)]
     rows += [(100 + i, f"All rights reserved.\n{unique(i)} {i}") for i in range(25)]
     rows += [(200 + i, "The quick reader of logs sees one line where the name is " + chr(97 + i) * 5 + " and all the rest is as it was in the other ones") for i in range(3)]
+    rows += [(300 + i, f"The. {unique(i)} {i} of its own\nOf.") for i in range(25)]
     got = {r.doc_id: r.text for r in L.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     texts = dict(rows)
     assert got[0] == texts[0] and got[10] == texts[10] and got[200] == texts[200] and got[100] == texts[100]
+    assert all(got[300 + i] == texts[300 + i] for i in range(25))
     for i in (1, 2):
         assert "third sentence" not in got[i] and "carry on" not in got[i] and unique(i)[::-1] in got[i] and unique(i) in got[i] and got[i].endswith("\nShort.")
         assert got[10 + i] == f"own text {unique(i)}"
