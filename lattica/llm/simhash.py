@@ -31,6 +31,8 @@ SHINGLE, SEED, MOST_BITS = 4, 42, 4
 SEGMENTS = (13, 13, 13, 13, 12)
 #: Distinct fingerprints under a key from which blocks are used, and fingerprints of a block.
 HOT_KEY, BLOCK = 64, 1024
+#: A fingerprint is common if over one in so many rows has it; so fewer than that many fingerprints are.
+COMMON_OF = 10_000
 #: Shingles whose bits are unpacked at a time.
 BITS_AT_ONCE = 1 << 16
 
@@ -162,14 +164,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null id.
     """
     marked = materialize(fingerprints(docs, id_col, text_col), "simhash-docs", "lz4")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", "lz4")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows")), "simhash-distinct", "lz4")
     links = materialize(fingerprint_links(distinct.select("fp"), most), "simhash-links", "lz4")
     roots = connected_components(links).withColumnRenamed("node", "fp")
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    classes = rooted.join(least, "root").join(degree, "fp", "left").select("fp", "n_rows", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = materialize(classes, "simhash-fp-classes", "lz4")
+
+    # common fingerprints are few by their definition and are sent to all tasks, so that none of them meets in one task
+    total = distinct.agg(F.sum("n_rows")).first()[0] or 0
+    is_common = F.col("n_rows") * COMMON_OF > total
+    found = marked.join(F.broadcast(classes.where(is_common).drop("n_rows").withColumn("common", F.lit(True))), "fp", "left")
+    rare = found.where("common is null").select("doc_id", "fp").join(classes.where(~is_common).drop("n_rows"), "fp")
+    every = found.where("common").drop("common").unionByName(rare)
+    return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def drop_near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
