@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from lattica.functions.storage import materialize
 
 #: Entries of a worker's tables of distinct words, and of distinct lower-case words without what follows them.
-TABLE_WORDS, TABLE_CORES = 800_000, 600_000
+TABLE_WORDS, TABLE_CORES = 600_000, 400_000
 #: Words longer than this are encoded but not kept in the table.
 KEPT_WORD_CHARS = 64
 #: Id appended to each document.
@@ -56,19 +57,28 @@ class WordTable(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.most_cores = words, cores
         self.cores: dict[str, bytes] = {}
         self.kind = id_kind(self.tokenizer.get_vocab_size())
+        self._form = "<%dH" if self.kind == "<u2" else "<%dI"
+        # a core is one pre-token, so its bytes' letters go to the model at once
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self._letters = {c: as_bytes(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self._model = self.tokenizer.model.tokenize
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(self._form % len(ids), *ids)
 
     def _segment(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def _core(self, core: str) -> bytes:
         ids = self.cores.get(core)
         if ids is None:
-            ids = self._segment(core)
+            ids = self._packed([t.id for t in self._model(core if core.isascii() else core.translate(self._letters))])
             if len(self.cores) >= self.most_cores:
                 self.cores.clear()
             if len(core) <= KEPT_WORD_CHARS:

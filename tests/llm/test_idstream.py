@@ -24,7 +24,7 @@ def test_words_equal_the_library():
     library = Tokenizer.from_file(tokenizer_path())
     for limit in (3, 1000):
         mine = WordEncoder(tokenizer_path(), limit, limit)
-        for text in ["", "  ", "It's  DON'T\n\tx", "é́ é ́x", "<|endoftext|> a<|endoftext|>b", "ΑΣ ΑΣ. İ", "a\xa0b\x1cc\x85d", "日本 語123", "w" * 3000, "x " * 4000, "Straße, ÀÉÞ!! don't. a.b c's' x<|endoftext|>. ÿ### Ǆ, µ. ªº× ÷÷ a``'' {x}~ it's, A'S"]:
+        for text in ["", "  ", "It's  DON'T\n\tx", "é́ é ́x", "<|endoftext|> a<|endoftext|>b", "ΑΣ ΑΣ. İ", "".join(f"{chr(c)}a{chr(c)} {chr(c)}, x{chr(c)}###.!! " for c in range(0xC0, 0x100)), "a\xa0b\x1cc\x85d", "日本 語123", "w" * 3000, "x " * 4000, "Straße, ÀÉÞ!! don't. a.b c's' x<|endoftext|>. ÿ### Ǆ, µ. ªº× ÷÷ a``'' {x}~ it's, A'S"]:
             assert np.frombuffer(mine.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
