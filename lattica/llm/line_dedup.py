@@ -8,7 +8,8 @@ the second half of what follows the leading tokens is a variable field: lines th
 A template recurs when two documents have it (three for those with a variable half). Of a run of recurring records with at
 least ``RUN_TOKENS`` tokens, one of them of ``LEAST_RECORD`` or more, and of a line of at least ``LEAST_LINE`` tokens that
 ``COMMON_DOCS`` documents have, the document with the smallest id keeps its copy and the others lose theirs. Shorter
-coincidences, such as one-word sentences, stay. Templates are compared by 64-bit hashes, which are counted
+coincidences, such as one-word sentences, stay. With ``whole_lines``, a line of several sentences is filed once more as a
+whole, and goes like a line of one sentence where ``COMMON_DOCS`` documents have it. Templates are compared by 64-bit hashes, which are counted
 and joined; no template's documents ever meet in one task.
 """
 
@@ -56,55 +57,55 @@ def records(line: str) -> list[str]:
     return line.split(". ")
 
 
-def _hashes(text: str) -> tuple[list[list[tuple[int, int]]], list[tuple[int, ...]]]:
-    """Of each line: (hash, tokens) of its records, and the hashes of its varied templates."""
+def _hashes(text: str, whole_lines: bool = False) -> tuple[list[list[tuple[int, int]]], list[tuple[int, ...]], list[int | None]]:
+    """Of each line: (hash, tokens) of its records, the hashes of its varied templates, and of the whole of several records."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    own, more = [], []
+    own, more, lines = [], [], []
     for line in text.split("\n"):
         found = [masked(r) for r in records(line)]
         own.append([(digest(t) - (1 << 63), n) for t, n in found])
         total = sum(n for _, n in found)
         whole = ". ".join(t for t, _ in found)
         more.append(tuple(digest("~" + v) - (1 << 63) for v in varied(whole, total)) if total >= LEAST_VARIED else ())
-    return own, more
+        lines.append(digest(f"={total} {whole}") - (1 << 63) if whole_lines and len(found) > 1 and total >= LEAST_LINE else None)
+    return own, more, lines
 
 
-def _templates(docs: DataFrame) -> DataFrame:
-    """(doc_id, template, varied): the distinct template hashes of each document."""
+def _templates(docs: DataFrame, whole_lines: bool) -> DataFrame:
+    """(doc_id, template, least): the distinct template hashes of each document, and the documents that make each recur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes, kinds = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, more = _hashes(text or "")
-                plain = {h for line in own for h, n in line if n}
-                extra = {h for line in more for h in line}
-                hashes += plain
-                hashes += extra
-                kinds += [False] * len(plain) + [True] * len(extra)
-                ids += [doc] * (len(plain) + len(extra))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(kinds, pa.bool_())], ["doc_id", "template", "varied"])
+                own, more, lines = _hashes(text or "", whole_lines)
+                for least, have in ((DOCS, {h for line in own for h, n in line if n}), (DOCS_VARIED, {h for line in more for h in line}), (COMMON_DOCS, {h for h in lines if h is not None})):
+                    hashes += have
+                    kinds += [least] * len(have)
+                    ids += [doc] * len(have)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(kinds, pa.int32())], ["doc_id", "template", "least"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, template long, varied boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, template long, least int")
 
 
-def recurring(docs: DataFrame) -> DataFrame:
+def recurring(docs: DataFrame, whole_lines: bool = False) -> DataFrame:
     """(doc_id, found array<struct<template, common>>): templates that a document shares with one of a smaller id."""
-    filed = materialize(_templates(docs), "line-templates", "lz4")
-    counts = filed.groupBy("template", "varied").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    counts = counts.where(F.col("n") >= F.when(F.col("varied"), DOCS_VARIED).otherwise(DOCS)).select("template", "first", (F.col("n") >= COMMON_DOCS).alias("common"))
+    filed = materialize(_templates(docs, whole_lines), "line-templates", "lz4")
+    counts = filed.groupBy("template", "least").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    counts = counts.where("n >= least").select("template", "first", (F.col("n") >= COMMON_DOCS).alias("common"))
     later = filed.join(counts, "template").where("doc_id > first")
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("template", "common")).alias("found"))
 
 
-def without(text: str, found: dict[int, bool]) -> tuple[str, int]:
+def without(text: str, found: dict[int, bool], whole_lines: bool = False) -> tuple[str, int]:
     """(text without dropped records, how many were dropped); ``found``: recurring templates, and whether they are common."""
-    own, more = _hashes(text)
+    own, more, whole = _hashes(text, whole_lines)
     flat = [(h, n) for line in own for h, n in line]
     alone = [len(line) == 1 for line in own for _ in line]
     through_line = [any(h in found for h in v) for line, v in zip(own, more, strict=True) for _ in line]
+    common_line = [h is not None and h in found for line, h in zip(own, whole, strict=True) for _ in line]
     again = [n == 0 or h in found or by_line for (h, n), by_line in zip(flat, through_line, strict=True)]
     drop, i = [False] * len(flat), 0
     while i < len(flat):
@@ -117,7 +118,7 @@ def without(text: str, found: dict[int, bool]) -> tuple[str, int]:
         sizes = [n for _, n in flat[i:end]]
         long = sum(sizes) >= RUN_TOKENS and max(sizes) >= LEAST_RECORD
         for j in range(i, end):
-            drop[j] = flat[j][1] > 0 and (long or alone[j] and flat[j][1] >= LEAST_LINE and found.get(flat[j][0], False))
+            drop[j] = flat[j][1] > 0 and (long or common_line[j] or alone[j] and flat[j][1] >= LEAST_LINE and found.get(flat[j][0], False))
         i = end
     if not any(drop):
         return text, 0
@@ -135,14 +136,14 @@ def without(text: str, found: dict[int, bool]) -> tuple[str, int]:
     return "\n".join(lines), sum(drop)
 
 
-def drop_recurring_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, counts: bool = False, whole_lines: bool = False) -> DataFrame:
     """``docs`` with recurring records taken out of ``text``, all columns and rows kept.
 
-    ``counts`` adds ``n_dropped``. Null texts stay null, rows with a null id stay as they are, and rows with the same id
+    ``counts`` adds ``n_dropped``; ``whole_lines`` compares lines of several sentences as wholes too. Null texts stay null, rows with a null id stay as they are, and rows with the same id
     count as one document. A text of which nothing is left is empty.
     """
     names = list(docs.columns)
-    found = recurring(docs).withColumnRenamed("doc_id", "__id").withColumnRenamed("found", "__found")
+    found = recurring(docs, whole_lines).withColumnRenamed("doc_id", "__id").withColumnRenamed("found", "__found")
     both = docs.join(found, docs["doc_id"] == found["__id"], "left").drop("__id")
     at, many = names.index("text"), len(names)
 
@@ -150,7 +151,7 @@ def drop_recurring_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
         for batch in batches:
             texts, dropped = [], []
             for text, own in zip(batch.column(at).to_pylist(), batch.column(many).to_pylist(), strict=True):
-                text, n = without(text, {f["template"]: f["common"] for f in own}) if own and text else (text, 0)
+                text, n = without(text, {f["template"]: f["common"] for f in own}, whole_lines) if own and text else (text, 0)
                 texts.append(text)
                 dropped.append(n)
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(many)]
@@ -162,4 +163,4 @@ def drop_recurring_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_recurring_lines(docs, counts=True)
+    return drop_recurring_lines(docs, counts=True, whole_lines=True)

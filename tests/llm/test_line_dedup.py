@@ -86,3 +86,33 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=str)
     assert got == sorted([(0, PASSAGE), (1, None), (2, PASSAGE), (2, PASSAGE), (3, ""), (4, ""), (5, rows[-1][1])], key=str)
     assert L.drop_recurring_lines(docs.limit(0)).count() == 0
+
+
+def test_whole_lines_of_several_short_sentences(spark):
+    own = lambda i: " ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(9))
+    rows = [(i, f"{own(i)} {i}\nAll of it. No more of it.\nYes. {own(i)} alone. All of it") for i in range(25)]
+    rows += [(100 + i, f"{own(i)} at {i}\nA rare one. In few documents.") for i in range(L.COMMON_DOCS - 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in L.drop_recurring_lines(docs, counts=True, whole_lines=True).collect()}
+    assert got[0].text == rows[0][1]
+    assert all(got[i].text == f"{own(i)} {i}\nYes. {own(i)} alone. All of it" and got[i].n_dropped == 2 for i in range(1, 25))
+    assert all(got[d].text == t for d, t in rows if d >= 100)
+
+
+def test_whole_lines_of_documents_by_op6(spark):
+    """No later copy of a line of several sentences stays where COMMON_DOCS documents have it; other texts are as before."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    key = lambda line: ". ".join(t for t, _ in map(L.masked, line.split(". ")))
+    have = defaultdict(set)
+    for doc, text in texts.items():
+        for line in (text or "").split("\n"):
+            if ". " in line and sum(n for _, n in map(L.masked, line.split(". "))) >= L.LEAST_LINE:
+                have[key(line)].add(doc)
+    common = {k: min(d) for k, d in have.items() if len(d) >= L.COMMON_DOCS}
+    later = {doc for k in common for doc in have[k] if doc > common[k]}
+    assert len(later) > 100
+    before = {r.doc_id: r.text for r in L.drop_recurring_lines(docs).collect()}
+    got = {r.doc_id: r.text for r in L.op6_line_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert not [doc for doc in later for line in got[doc].split("\n") if common.get(key(line), doc) < doc]
+    assert all(got[doc] == before[doc] for doc in texts if doc not in later)
