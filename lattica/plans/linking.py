@@ -37,6 +37,11 @@ def edges_direct(s, d):
     return both.groupBy("caller", "callee", "source", "grade").agg(F.count("*").alias("n"))
 
 
+def _firm_edges(s, d):
+    """(src, dst): all deduplicated edges that are not fuzzy."""
+    return _edges(s, d).where("grade <> 'fuzzy' and src <> dst").select("src", "dst").distinct()
+
+
 @register(query(EDGES, "SELECT src, dst, source, grade FROM edges"))
 def edges_dedup_first(s, d):
     return _edges(s, d)
@@ -294,9 +299,9 @@ def thread_membership(s, d):
     return _members(s, d)
 
 
-def _members(s, d):
+def _members(s, d, edges=A.sparse_edges):
     seeds = A.vertices(s, d).where("lines >= 49").select(F.col("file").alias("thread"), F.col("rowid").alias("node"))
-    return C.closure(seeds, A.sparse_edges(s, d), "thread").drop("depth")
+    return C.closure(seeds, edges(s, d), "thread").drop("depth")
 
 
 _MEMBERS = "reach(thread, node) AS (SELECT file, rowid FROM vertices WHERE lines >= 49 UNION SELECT thread, dst FROM reach JOIN sparse ON src = node)"
@@ -356,3 +361,49 @@ def derive_wrappers(s, d):
 
 
 QUERIES["wrapper_fixpoint"] = derive_wrappers
+
+
+# The SQL of the eight queries named here holds only for edges of order lines with quantity over 45. These walk all firm
+# edges, for which recursive SQL is too slow on whole tables; tests hold them against brute force.
+
+
+@register(None)
+def macro_hop_edges_all(s, d):
+    return E.two_hop(_firm_edges(s, d))
+
+
+@register(None)
+def reachability_liveness_all(s, d):
+    return C.liveness(A.vertices(s, d), _seeds(s, d), _firm_edges(s, d)).drop("depth")
+
+
+@register(None)
+def thread_membership_all(s, d):
+    return _members(s, d, _firm_edges)
+
+
+@register(None)
+def thread_roster_all(s, d):
+    return _members(s, d, _firm_edges).groupBy("thread").agg(F.count("*").alias("n_members"), F.min("node").alias("first_member"))
+
+
+@register(None)
+def multi_thread_members_all(s, d):
+    return _members(s, d, _firm_edges).groupBy("node").agg(F.count("*").alias("n_threads")).where("n_threads > 1")
+
+
+@register(None)
+def thread_boundaries_all(s, d):
+    from lattica.operators.rosters import boundaries
+
+    return boundaries(_firm_edges(s, d), _members(s, d, _firm_edges).withColumnRenamed("thread", "group"))
+
+
+@register(None)
+def chain_forward_all(s, d):
+    return C.chains(_seeds(s, d), _firm_edges(s, d), 3, 4)
+
+
+@register(None)
+def chain_backward_all(s, d):
+    return C.chains(_seeds(s, d), _firm_edges(s, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")), 3, 4)
