@@ -40,12 +40,17 @@ def bind_callbacks(passed: DataFrame, forwarded: DataFrame, most_rounds: int = 1
     raise RuntimeError(f"callbacks did not settle in {most_rounds} rounds")
 
 
-def topic_edges(roles: DataFrame) -> DataFrame:
-    """(topic, emitter, handler): distinct emitters and handlers of a topic, definitions preferred by name.
+def topic_roles(roles: DataFrame) -> DataFrame:
+    """(topic, role, rowid): distinct emitters and handlers, definitions preferred by name.
 
     ``roles``: (topic, role, name, rowid, is_def), role emit or handle.
     """
     some = roles.groupBy("topic", "role", "name").agg(F.max("is_def").alias("any_def"))
-    own = roles.join(some, ["topic", "role", "name"]).where("is_def = any_def").select("topic", "role", "rowid").distinct()
+    return roles.join(some, ["topic", "role", "name"]).where("is_def = any_def").select("topic", "role", "rowid").distinct()
+
+
+def topic_edges(roles: DataFrame) -> DataFrame:
+    """(topic, emitter, handler): emitters times handlers of a topic; ``roles`` as for ``topic_roles``."""
+    own = topic_roles(roles)
     emit = own.where("role = 'emit'").select("topic", F.col("rowid").alias("emitter"))
     return emit.join(own.where("role = 'handle'").select("topic", F.col("rowid").alias("handler")), "topic")

@@ -95,3 +95,15 @@ def one_sided(accesses: DataFrame) -> DataFrame:
 def first_known(rows: DataFrame, keys: list[str], value: str, seq: str, unknown: str = "unknown") -> DataFrame:
     """For each ``keys``, the first value that is not ``unknown``, or that where there is no other."""
     return rows.groupBy(*keys).agg(F.min_by(value, F.struct((F.col(value) == unknown).alias("u"), seq)).alias(value))
+
+
+def side_counts(rows: DataFrame, sides: tuple[str, str]) -> DataFrame:
+    """(key_name, role, participant, n_others): distinct participants of keys that have both ``sides``, and how many they meet.
+
+    ``rows``: (key_name, role, participant). The pairs of a key are not listed, so the result is no larger than ``rows``.
+    """
+    own = rows.select("key_name", "role", "participant").distinct()
+    one, other = sides
+    counts = own.groupBy("key_name").agg(*[F.sum((F.col("role") == r).cast("long")).alias(r) for r in sides])
+    met = F.when(F.col("role") == one, F.col(other)).otherwise(F.col(one)).alias("n_others")
+    return own.join(counts, "key_name").select("key_name", "role", "participant", met).where("n_others > 0")

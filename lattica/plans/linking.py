@@ -354,7 +354,7 @@ def chain_backward(s, d):
 
 def derive_wrappers(s, d):
     """Rows only: a fixpoint with refusal of conflicting places."""
-    line = A.table(s, d, "lineitem").where("l_quantity > 49")
+    line = A.table(s, d, "lineitem")
     fw = line.groupBy(F.col("l_suppkey").alias("name"), (F.col("l_partkey") % 100 + 1).alias("callee"), (F.col("l_linenumber") % 2).alias("callee_place")).agg(F.min("l_linenumber").alias("own_place"))
     known = A.table(s, d, "supplier").where("s_acctbal > 9000").select(F.col("s_suppkey").alias("name"), F.lit(1).alias("place"))
     return C.derive(known, fw)
@@ -407,3 +407,12 @@ def chain_forward_all(s, d):
 @register(None)
 def chain_backward_all(s, d):
     return C.chains(_seeds(s, d), _firm_edges(s, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")), 3, 4)
+
+
+@register(None)
+def shared_key_declared_all(s, d):
+    """All nations, suppliers and customers, as counts: the pairs of a nation grow with the square of its size."""
+    keys = A.table(s, d, "nation").select(F.col("n_name").alias("key_name"), "n_nationkey")
+    w = keys.join(A.table(s, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey")).select("key_name", F.lit("write").alias("role"), F.col("s_suppkey").alias("participant"))
+    r = keys.join(A.table(s, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).select("key_name", F.lit("read").alias("role"), F.col("c_custkey").alias("participant"))
+    return E.side_counts(w.unionByName(r), ("write", "read"))
