@@ -1,8 +1,9 @@
 """Personal data: high-recall generators propose overlapping spans, boosted trees decide which to add to the fixed ones.
 
 The fixed patterns (email, ip, card, phone) always count. Generators propose spans that merely look similar; trees fitted
-on a bounded sample score each by its format and context, and a threshold for each generator, calibrated on documents
-held back from the fit, selects. A proposal is labelled by whether a fixed span covers any of it, and no feature tells
+on a bounded sample score each by its format and context, and a threshold for each generator, calibrated on all documents
+but those of the fit, selects. A proposal is labelled by whether a fixed span covers any of it (a number that begins with
+00 also by whether it would be a phone with a plus instead), and no feature tells
 the parts that a fixed pattern insists on (a leading plus, an at sign). Everything is DataFrame operations; the fitted
 trees become one SQL expression, so the whole corpus is scored where it is read, without a shuffle.
 """
@@ -16,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.spans import bounded_sample, count_of, inside_any, joined, luhn, match_spans, replaced
+from lattica.llm.spans import count_of, inside_any, joined, luhn, match_spans, replaced, sampled
 
 # Kinds in the order of their rank, and their patterns. Possessive forms and the conditions on what stands
 # before give the same matches as the plain forms without trying every start within a long run.
@@ -34,7 +35,9 @@ GENERATORS = (
     ("card", r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9])"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:\.|\(dot\)|\[\.\])\x20?[0-9]{1,3}){3}(?![0-9])"),
 )
-#: Documents that the trees are fitted and calibrated on at most.
+#: The generator of numbers that begin with 00.
+INTERNATIONAL = 2
+#: Documents that the trees are fitted on at most.
 SAMPLE_DOCS = 20_000
 TREES, DEPTH, STEP = 12, 3, 0.3
 #: Share of labelled ones among what a threshold selects from the documents held back. The labels miss what the fixed
@@ -120,24 +123,36 @@ class Trees:
         return F.coalesce(self.score(x["f"]) >= least, F.lit(False))
 
 
+def _label(s: Column, base: Column) -> Column:
+    """Whether a proposal is true: a fixed span covers some of it, or would if its leading 00 were a plus."""
+    as_plus = F.concat(F.lit("+"), F.substring(s["value"], 3, 1_000_000))
+    digits = F.length(F.regexp_replace(as_plus, "[^0-9]", ""))
+    return inside_any(s, base) | ((s["rank"] == INTERNATIONAL) & as_plus.rlike(f"^{PHONE}$") & digits.between(8, 15))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE_DOCS) -> Trees | None:
     """Trees from the proposals in ``bound`` documents; None where the sample lacks either label.
 
-    A quarter of the documents, by a hash of the text, is held back; there a threshold is, for each generator, the
-    smallest score from which on the share of true ones is at least ``LEAST_PRECISION``.
+    A quarter of the sample, by a hash of the text, is held back. There and in all documents outside the sample a threshold
+    is, for each generator, the smallest score from which on the share of true ones is at least ``LEAST_PRECISION``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sample = bounded_sample(docs.select(id_col, text_col), bound).select(text.alias("text"), (F.pmod(F.xxhash64(text), F.lit(4)) == 0).alias("held"))
-    found = sample.select("held", base_spans(F.col("text")).alias("base"), proposed_spans(F.col("text")).alias("proposed")).where(F.size("proposed") > 0)
-    labelled = found.select("held", F.explode(F.transform("proposed", lambda s: F.struct(inside_any(s, F.col("base")).cast("int").alias("label"), described(s).alias("s")))).alias("x"))
-    rows = labelled.select("held", "x.label", F.col("x.s.rank").alias("rank"), F.col("x.s.f").alias("f")).persist()
+    docs = docs.select(id_col, text_col)
+    fitted = F.coalesce(sampled(docs, bound) & (F.pmod(F.xxhash64(text), F.lit(4)) != 0), F.lit(False))
+
+    def labelled(some: DataFrame) -> DataFrame:
+        found = some.select(text.alias("text")).select(base_spans(F.col("text")).alias("base"), proposed_spans(F.col("text")).alias("proposed")).where(F.size("proposed") > 0)
+        each = found.select(F.explode(F.transform("proposed", lambda s: F.struct(_label(s, F.col("base")).cast("int").alias("label"), described(s).alias("s")))).alias("x"))
+        return each.select("x.label", F.col("x.s.rank").alias("rank"), F.col("x.s.f").alias("f"))
+
+    rows = labelled(docs.where(fitted)).persist()
     try:
-        if {r.label for r in rows.where("not held").select("label").distinct().collect()} != {0, 1}:
+        if {r.label for r in rows.select("label").distinct().collect()} != {0, 1}:
             return None
-        flat = rows.where("not held").select("label", *[F.get("f", F.lit(i)).alias(name) for i, name in enumerate(FEATURES)])
+        flat = rows.select("label", *[F.get("f", F.lit(i)).alias(name) for i, name in enumerate(FEATURES)])
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(flat))
         trees = Trees(model.toDebugString, list(model.treeWeights))
-        steps = rows.where("held").groupBy("rank", F.floor(trees.score(F.col("f")) * 100).alias("step")).agg(F.sum("label").alias("true"), F.count("*").alias("n")).collect()  # at most 101 a generator
+        steps = labelled(docs.where(~fitted)).groupBy("rank", F.floor(trees.score(F.col("f")) * 100).alias("step")).agg(F.sum("label").alias("true"), F.count("*").alias("n")).collect()  # at most 101 a generator
     finally:
         rows.unpersist()
     for i in range(len(GENERATORS)):

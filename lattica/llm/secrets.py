@@ -2,7 +2,8 @@
 
 Two character-bigram models, one of random strings and one of ordinary identifiers, are trained from labelled samples
 taken from the documents: values that the fixed patterns find are random strings, other words are identifiers. A long
-token is reported when its log-likelihood ratio per bigram is above a threshold set on the labelled identifiers. All of it
+token is reported when its log-likelihood ratio per bigram is above a threshold set on the labelled identifiers of all
+documents; the models themselves are trained on a bounded sample. All of it
 is DataFrame operations; the models are two tables of fixed size that end up as literals of an expression.
 """
 
@@ -28,6 +29,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Documents that the models are trained on at most.
 SAMPLE_DOCS = 20_000
+#: Steps of a score, by which those of all identifiers are counted.
+STEPS = 1000
 #: Added to each bigram's count.
 SMOOTH = 0.5
 #: Share of labelled identifiers that may lie above the threshold.
@@ -72,7 +75,8 @@ class MarkovModel:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE_DOCS) -> MarkovModel | None:
-    """Models from the labelled tokens of ``bound`` documents; None where either label is missing."""
+    """Models from the labelled tokens of ``bound`` documents, the threshold from those of all documents; None where the
+    sample lacks either label."""
     tokens = labelled_tokens(bounded_sample(docs.select(id_col, text_col), bound), text_col).persist()
     counts = tokens.select("secret", F.explode(_bigrams(F.col("value"))).alias("pair")).groupBy("secret", "pair").count().collect()  # two tables of fixed size
     size = (len(ALPHABET) + 1) ** 2
@@ -82,9 +86,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound
         return None
     log_p = {label: [log((c.get(i, 0) + SMOOTH) / (sum(c.values()) + SMOOTH * size)) for i in range(size)] for label, c in own.items()}
     model = MarkovModel([a - b for a, b in zip(log_p[1], log_p[0], strict=True)], 0.0)
-    cut = tokens.where("secret = 0").select(F.percentile(model.score(F.col("value")), F.lit(1 - MOST_FALSE)).alias("q")).first().q
     tokens.unpersist()
-    model.threshold = max(0.0, cut)
+    ordinary = labelled_tokens(docs.select(id_col, text_col), text_col).where("secret = 0")
+    steps = ordinary.groupBy(F.floor(model.score(F.col("value")) * STEPS).alias("step")).count().collect()  # scores are bounded, and so are their steps
+    above, most = 0, MOST_FALSE * sum(r["count"] for r in steps)
+    for r in sorted(steps, key=lambda r: -r.step):
+        above += r["count"]
+        if above > most:
+            model.threshold = max(0.0, (r.step + 1) / STEPS)
+            break
     return model
 
 

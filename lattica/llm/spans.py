@@ -73,7 +73,12 @@ def luhn(digits: Column) -> Column:
 
 def bounded_sample(docs: DataFrame, bound: int) -> DataFrame:
     """About ``bound`` rows, all if there are fewer, chosen by a hash of all columns: the same rows at every run."""
+    return docs.where(sampled(docs, bound))
+
+
+def sampled(docs: DataFrame, bound: int) -> Column:
+    """Whether ``bounded_sample`` chooses a row of ``docs``."""
     n = docs.count()
     if n <= bound:
-        return docs
-    return docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+        return F.lit(True)
+    return F.pmod(F.xxhash64(*docs.columns), F.lit(1_000_000)) < int(1_000_000 * bound / n)

@@ -65,3 +65,14 @@ def test_documents_and_added_spans(spark):
             assert r.spans == "phone:4:18"
     assert extra <= 20
     assert redact_personal(docs.where("doc_id = 1000000000"), trees).first().text == "the [phone] of it and 123456 there"
+
+
+def test_thresholds_see_documents_outside_the_sample(spark):
+    """International numbers that few sampled documents hold are calibrated on the others, and labelled as if 00 were a plus."""
+    rows = [(i, f"call +1 234 555 {1000 + i} or {i}00 200 {3000 + i}") for i in range(400)]
+    rows += [(1000 + i, f"ring 0044 20 7946 {1000 + i} today") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    trees = fit(docs, bound=60)
+    assert trees.thresholds[2] is not None
+    got = {r.doc_id: r.spans for r in personal_digest(find_personal(docs, trees)).collect()}
+    assert all(got[1000 + i] == "phone:5:22" for i in range(400))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import hashlib
 import re
 
@@ -59,3 +60,17 @@ def test_documents_and_markov_spans(spark):
     assert extra <= 10
     hidden = redact_secrets(docs.where(F.col("doc_id") == 10**9), model).first().text
     assert hidden == "plain words and [markov] between ordinary_identifier_names here"
+
+
+def test_threshold_sees_words_outside_the_sample(spark):
+    """Most of the odd identifiers are outside the sample, and no more than the share that is allowed lies above the threshold."""
+    from lattica.llm import secrets as M
+
+    rng = random.Random(3)
+    rows = [(i, f"password={''.join(rng.choices('abcdefghijklmnopqrstuvwxyz0123456789', k=20))} ordinary{chr(97 + i % 26)} identifier{chr(97 + i // 26 % 26)}") for i in range(2000)]
+    rows += [(5000 + i, "".join(rng.choices("qxzjkvwy", k=24))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = M.train(docs, bound=100)
+    words = M.labelled_tokens(docs, "text").where("secret = 0")
+    above = words.where(model.score(words["value"]) > model.threshold).count()
+    assert above <= M.MOST_FALSE * words.count()
