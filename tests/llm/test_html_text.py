@@ -47,6 +47,41 @@ def test_blocks_references_and_white_space():
     assert len(main_text("<article>" + "<p>word " * 50_000)) == 50_000 * 5 - 1
 
 
+@pytest.mark.parametrize("inline", ["<i aria-hidden='true'></i>", "<i aria-hidden='true'>x</i>", "<span hidden>x</span>", "<b style='display: none'>x</b>", "<button>x</button>", "<svg><text>x</text></svg>", "<a hidden><b>x</a>"])
+def test_inline_noise_leaves_the_rest(inline):
+    assert main_text(f"<article><h1>T</h1><p>{inline}{LONG}</p><p>{LONG} second</p></article>") == f"T\n{LONG}\n{LONG} second"
+
+
+@pytest.mark.parametrize("inline", ["<span class='ad'>x</span>", "<a class='share'>x</a>", "<b role='menu'>x</b>"])
+def test_names_of_inline_elements_count_for_whole_lines_only(inline):
+    assert main_text(f"<article><h1>T</h1><p>{inline} {LONG}</p><p>{inline}</p><p>{LONG}</p></article>") == f"T\nx {LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class=wrap><main><article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></article><section><h2>More</h2><article><h3>Other story</h3><p>teaser</p></article></section></main></div>",
+    f"<div class='content has-sidebar'><h1>Title</h1><div class='notice-board-story'>{LONG}</div><div class='share-price-report'>{LONG}</div></div><div class=sidebar>{LONG}</div>",
+    f"<div id='page' class='right-sidebar'><div><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></div><div class='comments-list'><article><p>{LONG}</p></article></div></div>",
+    f"<form id=all><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><form><p>{LONG}</p></form></form>",
+    f"<div><div><h1>Title</h1></div><div><p>{LONG}</p><p>{LONG}</p></div></div><div><a>one</a><br><a>two</a><br><a>three</a></div>",
+    f"<div><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><ul>{'<li><a>one</a>' * 9}</ul></div>",
+])
+def test_regions(page):
+    assert main_text(f"<html><body>{page}</body></html>") == f"Title\n{LONG}\n{LONG}"
+
+
+def test_pages_without_telling_names(spark):
+    """All tags that name a part, and all classes, are made alike: text, tags and smoothing alone find the article."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    plain = lambda h: re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", h).replace('class="ad"', 'class="x1"')
+    long = [(plain_article(p.html), plain(p.html)) for p in pages if len(plain_article(p.html)) >= 600]
+    assert len(long) > 100 and all(main_text(html) == want for want, html in long)
+
+
+@pytest.mark.parametrize("page", ["<div>" + "<b>" * 20_000 + "<p>x</p>" * 20_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000, "<div>" * 50_000, "<table>" * 20_000 + "<td>x" * 20_000, "<div class=ad>" * 2000 + "x"])
+def test_malformed_pages_end(page):
+    main_text(page)
+
+
 def test_smoothing_keeps_a_constant():
     assert np.allclose(smoothed(np.full(9, 3.0)), 3) and np.allclose(smoothed(np.array([2.0])), 2)
 
