@@ -10,14 +10,12 @@ trees become one SQL expression, so the whole corpus is scored where it is read,
 
 from __future__ import annotations
 
-import re
-
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.spans import count_of, inside_any, joined, luhn, match_spans, replaced, sampled
+from lattica.llm.spans import count_of, joined, luhn, match_spans, outside, replaced, sampled, touched
 
 # Kinds in the order of their rank, and their patterns. Possessive forms and the conditions on what stands
 # before give the same matches as the plain forms without trying every start within a long run.
@@ -95,27 +93,34 @@ def described(s: Column) -> Column:
     return F.struct(*[s[c].alias(c) for c in ("kind", "rank", "start", "end", "value")], F.array(*features(s)).alias("f"))
 
 
+#: A leaf's value, or (feature, cut, node up to the cut, node above it).
+Node = float | tuple
+
+
+def _node(fitted) -> Node:
+    """A node of a fitted tree, as Spark ML holds it."""
+    if not fitted.numDescendants():
+        return float(fitted.prediction())
+    split = fitted.split()
+    return split.featureIndex(), float(split.threshold()), _node(fitted.leftChild()), _node(fitted.rightChild())
+
+
 class Trees:
     """Fitted trees and each generator's threshold (None: it adds nothing)."""
 
-    def __init__(self, printed: str, weights: list[float], thresholds: list[float | None] | None = None):
-        """``printed``: the trees as Spark prints them, nested If, Else and Predict lines."""
-        bodies = re.split(r"\n\s*Tree \d+.*\n", printed)[1:]
-        self.trees = [[line.strip() for line in body.strip().splitlines()] for body in bodies]
-        self.weights, self.thresholds = weights, thresholds or [None] * len(GENERATORS)
-
-    def _value(self, lines: list[str], at: int, f: Column) -> tuple[Column, int]:
-        """The tree that starts at a line, as a column, and the line after it."""
-        if lines[at].startswith("Predict:"):
-            return F.lit(float(lines[at].split()[1])), at + 1
-        feature, cut = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", lines[at]).groups()
-        low, at = self._value(lines, at + 1, f)
-        high, at = self._value(lines, at + 1, f)
-        return F.when(F.get(f, F.lit(int(feature))) <= float(cut), low).otherwise(high), at
+    def __init__(self, trees: list[Node], weights: list[float], thresholds: list[float | None] | None = None):
+        self.trees, self.weights = trees, weights
+        self.thresholds = thresholds or [None] * len(GENERATORS)
+
+    def _value(self, node: Node, f: Column) -> Column:
+        if isinstance(node, float):
+            return F.lit(node)
+        feature, cut, low, high = node
+        return F.when(F.get(f, F.lit(feature)) <= cut, self._value(low, f)).otherwise(self._value(high, f))
 
     def score(self, f: Column) -> Column:
         """Chance, 0 to 1, that a span with features ``f`` is personal data."""
-        margin = sum((self._value(t, 0, f)[0] * w for t, w in zip(self.trees, self.weights, strict=True)), F.lit(0.0))
+        margin = sum((self._value(t, f) * w for t, w in zip(self.trees, self.weights, strict=True)), F.lit(0.0))
         return 1 / (1 + F.exp(-2 * margin))
 
     def selects(self, x: Column) -> Column:
@@ -123,11 +128,11 @@ class Trees:
         return F.coalesce(self.score(x["f"]) >= least, F.lit(False))
 
 
-def _label(s: Column, base: Column) -> Column:
-    """Whether a proposal is true: a fixed span covers some of it, or would if its leading 00 were a plus."""
+def _label(s: Column, hit: Column) -> Column:
+    """Whether a proposal is true: a fixed span covers some of it (``hit``), or would if its leading 00 were a plus."""
     as_plus = F.concat(F.lit("+"), F.substring(s["value"], 3, 1_000_000))
     digits = F.length(F.regexp_replace(as_plus, "[^0-9]", ""))
-    return inside_any(s, base) | ((s["rank"] == INTERNATIONAL) & as_plus.rlike(f"^{PHONE}$") & digits.between(8, 15))
+    return hit | ((s["rank"] == INTERNATIONAL) & as_plus.rlike(f"^{PHONE}$") & digits.between(8, 15))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE_DOCS) -> Trees | None:
@@ -142,7 +147,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound:
 
     def labelled(some: DataFrame) -> DataFrame:
         found = some.select(text.alias("text")).select(base_spans(F.col("text")).alias("base"), proposed_spans(F.col("text")).alias("proposed")).where(F.size("proposed") > 0)
-        each = found.select(F.explode(F.transform("proposed", lambda s: F.struct(_label(s, F.col("base")).cast("int").alias("label"), described(s).alias("s")))).alias("x"))
+        each = found.select(F.explode(F.transform(touched(F.col("proposed"), F.col("base")), lambda x: F.struct(_label(x["s"], x["hit"]).cast("int").alias("label"), described(x["s"]).alias("s")))).alias("x"))
         return each.select("x.label", F.col("x.s.rank").alias("rank"), F.col("x.s.f").alias("f"))
 
     rows = labelled(docs.where(fitted)).persist()
@@ -151,7 +156,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound:
             return None
         flat = rows.select("label", *[F.get("f", F.lit(i)).alias(name) for i, name in enumerate(FEATURES)])
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(flat))
-        trees = Trees(model.toDebugString, list(model.treeWeights))
+        trees = Trees([_node(t._java_obj.rootNode()) for t in model.trees], list(model.treeWeights))
         steps = labelled(docs.where(~fitted)).groupBy("rank", F.floor(trees.score(F.col("f")) * 100).alias("step")).agg(F.sum("label").alias("true"), F.count("*").alias("n")).collect()  # at most 101 a generator
     finally:
         rows.unpersist()
@@ -174,7 +179,7 @@ def find_personal(docs: DataFrame, trees: Trees | None = None, id_col: str = "do
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     if trees is None or all(t is None for t in trees.thresholds):
         return found.withColumn("added", F.slice("base", 1, 0))
-    fresh = F.filter(proposed_spans(F.col("text")), lambda s: ~inside_any(s, F.col("base")))
+    fresh = outside(proposed_spans(F.col("text")), F.col("base"))
     chosen = F.filter(F.transform(fresh, described), trees.selects)
     ranks = F.create_map(*[x for i, k in enumerate(BASE_KINDS) for x in (F.lit(k), F.lit(i))])
     added = F.transform(chosen, lambda x: F.struct(x["kind"].alias("kind"), F.element_at(ranks, x["kind"]).alias("rank"), *[x[c].alias(c) for c in ("start", "end", "value")]))

@@ -14,7 +14,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.spans import bounded_sample, count_of, inside_any, joined, match_spans, replaced
+from lattica.llm.spans import bounded_sample, count_of, joined, let, match_spans, outside, replaced
 
 # Kinds in the order of their rank, and their patterns.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -47,8 +47,9 @@ def base_spans(text: Column) -> Column:
 def _bigrams(value: Column) -> Column:
     """Numbers of the pairs of neighbouring characters."""
     n = len(ALPHABET) + 1
-    places = F.transform(F.split(value, ""), lambda c: F.when(F.instr(F.lit(ALPHABET), c) > 0, F.instr(F.lit(ALPHABET), c) - 1).otherwise(len(ALPHABET)))
-    return F.transform(F.slice(places, 2, F.greatest(F.length(value) - 1, F.lit(0))), lambda b, i: F.get(places, i) * n + b)
+    place = lambda c: F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)), F.lit(n)) - 1
+    pairs = lambda at: F.transform(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda b, i: F.get(at, i) * n + b)
+    return let(F.transform(F.split(value, ""), place), pairs)
 
 
 def labelled_tokens(sample: DataFrame, text_col: str) -> DataFrame:
@@ -69,9 +70,9 @@ class MarkovModel:
 
     def score(self, value: Column) -> Column:
         """Mean log-likelihood ratio per bigram; values of fewer than two characters have none."""
-        table = F.array(*[F.lit(x) for x in self.ratios])
-        pairs = _bigrams(value)
-        return F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.get(table, p)) / F.nullif(F.size(pairs), F.lit(0))
+        table = F.split(F.lit(",".join(map(repr, self.ratios))), ",").cast("array<double>")  # one literal after folding
+        mean = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.get(table, p)) / F.nullif(F.size(pairs), F.lit(0))
+        return let(_bigrams(value), mean)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE_DOCS) -> MarkovModel | None:
@@ -110,7 +111,8 @@ def scan_secrets(docs: DataFrame, model: MarkovModel | None = None, id_col: str
     if model is None:
         return found.select("doc_id", "text", F.col("base").alias("found"))
     tokens = match_spans(F.col("text"), CANDIDATE, "markov", 3)
-    added = F.filter(tokens, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~inside_any(s, F.col("base")) & (model.score(s["value"]) > model.threshold))
+    mixed = F.filter(tokens, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    added = F.filter(outside(mixed, F.col("base")), lambda s: model.score(s["value"]) > model.threshold)
     return found.select("doc_id", "text", F.concat("base", added).alias("found"))
 
 

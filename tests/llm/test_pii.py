@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.pii import find_personal, fit, personal_digest, redact_personal
+from lattica.llm.pii import GENERATORS, Trees, find_personal, fit, personal_digest, redact_personal
+from lattica.llm.spans import touched
 
 
 def good_card(m):
@@ -76,3 +79,28 @@ def test_thresholds_see_documents_outside_the_sample(spark):
     assert trees.thresholds[2] is not None
     got = {r.doc_id: r.spans for r in personal_digest(find_personal(docs, trees)).collect()}
     assert all(got[1000 + i] == "phone:5:22" for i in range(400))
+
+
+def test_long_texts_with_many_matches(spark):
+    """Time grows with the text: tens of thousands of spans and proposals in one text, with fitted trees."""
+    text = "\n".join(f"user{i}@example{i % 97}.com, +1 555 {i:07d}, call 0{i % 9}12 345 6789" for i in range(20_000))
+    always = Trees([1.0], [1.0], [0.0] * len(GENERATORS))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = personal_digest(find_personal(docs, always)).first()
+    assert (r.n_email, r.n_phone) == (20_000, 20_000) and r.spans.count(",") > 59_000
+    clean = redact_personal(docs).first().text
+    assert clean.count("[email], [phone], call 0") == 20_000 and "@" not in clean
+
+
+def test_touched_against_all_pairs(spark):
+    rng = random.Random(3)
+    kind = "array<struct<kind:string,start:int,end:int>>"
+    rows = []
+    for i in range(300):
+        made = lambda n, kind: [(kind, s, s + rng.randrange(1, 9)) for s in (rng.randrange(60) for _ in range(n))]
+        rows.append((i, made(rng.randrange(9), "a"), made(rng.randrange(5), "b")))
+    got = spark.createDataFrame(rows, f"id int, xs {kind}, ys {kind}").select("id", touched(F.col("xs"), F.col("ys")).alias("t")).collect()
+    for r in got:
+        _, xs, ys = rows[r.id]
+        want = [((k, s, e), any(s < f and b < e for _, b, f in ys)) for k, s, e in xs]
+        assert sorted((tuple(x.s), x.hit) for x in r.t) == sorted(want)

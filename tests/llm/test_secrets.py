@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.secrets import redact_secrets, scan_secrets, secret_digest, train
+from lattica.llm.secrets import ALPHABET, MarkovModel, redact_secrets, scan_secrets, secret_digest, train
 
 KINDS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
@@ -74,3 +74,24 @@ def test_threshold_sees_words_outside_the_sample(spark):
     words = M.labelled_tokens(docs, "text").where("secret = 0")
     above = words.where(model.score(words["value"]) > model.threshold).count()
     assert above <= M.MOST_FALSE * words.count()
+
+
+def test_long_tokens_and_many_matches_with_a_model(spark):
+    rng = random.Random(5)
+    model = MarkovModel([rng.uniform(-1, 2) for _ in range((len(ALPHABET) + 1) ** 2)], 0.1)
+    token = "".join(rng.choices(ALPHABET, k=1_000_000))
+    lines = "\n".join(f"password = abc{i}defghi token: 0x{i:024x} own{i}Zq7Kx9Lm2Pw8 end" for i in range(10_000))
+    docs = spark.createDataFrame([(1, f"own {token} end"), (2, lines)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_digest(scan_secrets(docs, model)).collect()}
+    assert got[1].spans.endswith("markov:4:1000004")
+    assert (got[2].n_assign, got[2].n_hex) == (20_000, 10_000) and got[2].spans.count("markov") > 1000
+
+
+def test_scores_against_a_plain_model(spark):
+    rng = random.Random(6)
+    model = MarkovModel([rng.uniform(-1, 2) for _ in range((len(ALPHABET) + 1) ** 2)], 0.1)
+    words = ["", "a", "ab", "é9é", *("".join(rng.choices(ALPHABET + "é ", k=rng.randrange(1, 40))) for _ in range(50))]
+    at = lambda c: ALPHABET.find(c) if c in ALPHABET else len(ALPHABET)
+    for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", model.score(F.col("w")).alias("x")).collect():
+        own = [model.ratios[at(a) * (len(ALPHABET) + 1) + at(b)] for a, b in zip(r.w, r.w[1:])]
+        assert r.x is None if not own else abs(r.x - sum(own) / len(own)) < 1e-9
