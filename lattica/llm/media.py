@@ -23,8 +23,48 @@ from lattica.functions.storage import materialize
 ROW = 64
 #: Rows and columns of a tile.
 TILE = 16
-_HEAD = re.compile(rb"P([1-6])(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)(?:(?:\s+|#[^\n]*\n)+(\d+))?\s")
-_HEAD_BITS = re.compile(rb"P([14])(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)\s")
+#: Samples of an image at most: what a header claims must not size memory beyond what its bytes can hold.
+MOST_SAMPLES = 1 << 28
+
+
+def _netpbm_head(blob: bytes) -> tuple[int, list[int], int]:
+    """(kind, the header's numbers, where the samples begin), read token by token."""
+    if len(blob) < 2 or blob[:1] != b"P" or blob[1] not in b"123456":
+        raise ValueError("no Netpbm header")
+    kind, numbers, at = blob[1] - 48, [], 2
+    for _ in range(2 if kind in (1, 4) else 3):
+        spaced = False
+        while at < len(blob) and (blob[at] in b" \t\r\n\v\f" or blob[at] == 35):
+            spaced = True
+            if blob[at] == 35:
+                end = blob.find(b"\n", at)
+                at = len(blob) if end < 0 else end
+            else:
+                at += 1
+        end = at
+        while end < len(blob) and end - at < 10 and 48 <= blob[end] < 58:
+            end += 1
+        if not spaced or end == at:
+            raise ValueError("no Netpbm header")
+        numbers.append(int(blob[at:end]))
+        at = end
+    if at >= len(blob) or blob[at] not in b" \t\r\n\v\f":
+        raise ValueError("no white space after the header")
+    return kind, numbers, at + 1
+
+
+def _sized(width: int, height: int, colours: int = 1) -> int:
+    """Samples of an image; refuses empty and huge ones."""
+    n = width * height * colours
+    if width <= 0 or height <= 0 or n > MOST_SAMPLES:
+        raise ValueError(f"no image of {width} x {height}")
+    return n
+
+
+def _bytes_at(blob: bytes, start: int, n: int) -> np.ndarray:
+    if start < 0 or start + n > len(blob):
+        raise ValueError("image is cut short")
+    return np.frombuffer(blob, np.uint8, n, start)
 
 
 def decode_netpbm(blob: bytes) -> np.ndarray:
@@ -32,29 +72,35 @@ def decode_netpbm(blob: bytes) -> np.ndarray:
 
     Bitmaps give 0 for black and 255 for white. Raises ValueError for what is not such an image or is cut short.
     """
-    head = _HEAD_BITS.match(blob) or _HEAD.match(blob)
-    if not head:
-        raise ValueError("no Netpbm header")
-    kind, width, height = int(head[1]), int(head[2]), int(head[3])
-    body, colours = blob[head.end() :], 3 if kind in (3, 6) else 1
-    if kind in (1, 4):
-        if kind == 4:
-            row = -(-width // 8)
-            bits = np.unpackbits(np.frombuffer(body, np.uint8, row * height).reshape(height, row), axis=1)[:, :width]
-        else:
-            bits = np.frombuffer(re.sub(rb"[^01]", b"", re.sub(rb"#[^\n]*", b"", body)), np.uint8, width * height).reshape(height, width) - 48
+    kind, numbers, at = _netpbm_head(blob)
+    width, height, colours = numbers[0], numbers[1], 3 if kind in (3, 6) else 1
+    n = _sized(width, height, colours)
+    if kind == 4:
+        row = -(-width // 8)
+        bits = np.unpackbits(_bytes_at(blob, at, row * height).reshape(height, row), axis=1)[:, :width]
         return ((1 - bits) * 255).astype(np.uint8)
-    if head.lastindex != 4 or not 0 < int(head[4]) < 65536:
+    plain = re.sub(rb"#[^\n]*", b"", blob[at:]) if kind < 4 else b""
+    if kind == 1:
+        digits = b"".join(plain.split())[:n]
+        if len(digits) < n or digits.strip(b"01"):
+            raise ValueError("bits are missing or not 0 and 1")
+        return ((49 - np.frombuffer(digits, np.uint8).reshape(height, width)) * 255).astype(np.uint8)
+    most = numbers[2]
+    if not 0 < most < 65536:
         raise ValueError("no largest value")
-    most, n = int(head[4]), width * height * colours
+    kept = np.uint8 if most < 256 else np.uint16
     if kind in (2, 3):
-        values = np.array(re.sub(rb"#[^\n]*", b"", body).split()[:n], np.uint16)
-        if len(values) < n:
-            raise ValueError("image is cut short")
-        values = values.astype(np.uint8 if most < 256 else np.uint16)
+        words = plain.split()[:n]
+        if len(words) < n or not all(w.isdigit() and len(w) < 10 for w in words):
+            raise ValueError("samples are missing or no numbers")
+        values = np.array([int(w) for w in words], np.int64)
+    elif most < 256:
+        values = _bytes_at(blob, at, n)
     else:
-        values = np.frombuffer(body, np.uint8 if most < 256 else ">u2", n)
-    return values.reshape((height, width) if colours == 1 else (height, width, 3))
+        values = _bytes_at(blob, at, 2 * n).view(">u2")
+    if values.max() > most:
+        raise ValueError("a sample is above the largest value")
+    return values.astype(kept).reshape((height, width) if colours == 1 else (height, width, 3))
 
 
 def encode_pgm(grey: np.ndarray) -> bytes:
@@ -84,13 +130,18 @@ def decode_bmp(blob: bytes) -> np.ndarray:
     start, header, width, height, depth, packing, used = at(10, 4), at(14, 4), at(18, 4), at(22, 4), at(28, 2), at(30, 4), at(46, 4)
     if packing or depth not in (8, 24, 32) or width <= 0 or not height:
         raise ValueError("only uncompressed images of 8, 24 or 32 bits are read")
+    _sized(width, abs(height), depth // 8)
     row = -(-width * depth // 32) * 4
-    rows = np.frombuffer(blob, np.uint8, row * abs(height), start).reshape(abs(height), row)
+    rows = _bytes_at(blob, start, row * abs(height)).reshape(abs(height), row)
     rows = rows[::-1] if height > 0 else rows
     if depth > 8:
         return rows[:, : width * depth // 8].reshape(abs(height), width, depth // 8)[:, :, 2::-1]
-    palette = np.frombuffer(blob, np.uint8, 4 * (used or 256), 14 + header).reshape(-1, 4)
+    if not 0 <= used <= 256:
+        raise ValueError("no palette")
+    palette = _bytes_at(blob, 14 + header, 4 * (used or 256)).reshape(-1, 4)
     samples = rows[:, :width]
+    if samples.max() >= len(palette):
+        raise ValueError("a sample is not in the palette")
     if (palette[:, 0] == palette[:, 1]).all() and (palette[:, 1] == palette[:, 2]).all():
         return palette[:, 0][samples]
     return palette[:, 2::-1][samples]

@@ -64,3 +64,37 @@ def test_bad_images_are_told(spark):
     got = {r.image_id: r for r in M.tile_images(images, keep_samples=True).collect()}
     assert got[1].error is None and got[1].samples == np.eye(4, dtype=np.uint8).tobytes()
     assert got[2].tile is None and got[3].error
+
+
+def test_malformed_images_are_refused_in_time():
+    """Truncated, altered and random bytes give an image or a ValueError, and soon."""
+    import random
+    import time
+
+    grey = np.arange(60, dtype=np.uint8).reshape(6, 10)
+    whole = [M.encode_pgm(grey), M.encode_bmp(grey), b"P1\n2 2\n0 1 1 0\n", b"P2 2 1 255 3 4 ", b"P3\n1 1\n65535\n1 2 3\n", b"P4\n9 1\n\xff\x80", b"P6 1 1 255 abc"]
+    rng, began = random.Random(8), time.monotonic()
+    for blob in whole:
+        assert M.decode_image(blob).size
+        tries = [blob[:i] for i in range(len(blob))][:200]
+        for _ in range(200):
+            x = bytearray(blob)
+            for _ in range(rng.randrange(1, 4)):
+                x[rng.randrange(min(len(x), 60))] = rng.randrange(256)
+            tries.append(bytes(x))
+        for x in tries:
+            try:
+                assert M.decode_image(x).size
+            except ValueError:
+                pass
+    bad = [b"P5" + b"\n" * 100_000 + b"x", b"P5" + b"# a\n" * 50_000, b"P5 0 0 255 ", b"P5 99999 99999 255 x", b"P2 1 1 255 300 ", b"P2 1 1 255 -3 ", b"P5 1 1 70000 ab", b"P2 1 1 255 " + b"9" * 5000, b"", b"P", b"BM" + bytes(100), b"P5 1 1 7 \x09", b"P1 2 1 02"]
+    for x in bad:
+        with pytest.raises(ValueError):
+            M.decode_image(x)
+    assert time.monotonic() - began < 20
+
+
+def test_malformed_images_in_a_table(spark):
+    rows = [(1, b"P5 0 0 255 "), (2, b"P2 1 1 255 300 "), (3, None), (4, b""), (5, M.encode_pgm(np.zeros((2, 2), np.uint8)))]
+    got = {r.id: r for r in M.tile_images(spark.createDataFrame(rows, "id int, media binary")).collect()}
+    assert all(got[i].error and got[i].tile is None for i in (1, 2, 3, 4)) and got[5].error is None and got[5].height == 2
