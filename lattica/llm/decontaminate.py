@@ -1,18 +1,21 @@
 """Benchmark decontamination: training passages query a BM25 index of test items with block-max WAND.
 
 Items are cut into segments, which are the index's documents; its terms are pairs of neighbouring words, as single words of
-ordinary prose occur in most segments and let no passage be passed over. Weights are divided by the score a segment gives
-itself, so one threshold serves segments of any length. Every training text is read as overlapping passages; a passage
-whose terms' largest weights cannot add up to the threshold is done, others traverse the postings with block-max WAND,
-which returns every segment at or above the threshold. What is found is verified: word trigrams of the item's question part and of its
-answer part must both occur around the passage.
-
-The index holds ``ITEMS_AT_ONCE`` items at most, so what is sent to executors is bounded; more items are searched in turns.
+ordinary prose occur in most segments and let no passage be passed over (an item of one word has this word as its term).
+Weights are divided by the score a segment gives itself, so one threshold serves segments of any length. Every training text
+is read as overlapping passages; a passage whose terms' largest weights cannot add up to the threshold is done, others
+traverse the postings with block-max WAND, which skips by the ends of blocks and returns every segment at or above the
+threshold. What is found is verified: word trigrams of the item's question part and of its answer part must both occur
+around the passage.
+
+The index holds about ``ITEMS_AT_ONCE`` items and ``BYTES_AT_ONCE`` bytes of text at most, so what is sent to executors is
+bounded; more items are searched in turns.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 from math import log
@@ -22,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.storage import materialize
+
 K1, B = 1.2, 0.75
 #: Words of a segment at most, of a passage, and between the starts of passages.
 SEGMENT, PASSAGE, STRIDE = 48, 96, 48
@@ -31,8 +36,8 @@ THRESHOLD = 0.5
 LEAST_QUESTION, LEAST_ANSWER = 0.7, 0.7
 #: Share of an item's words that are its question; the rest is its answer.
 QUESTION = 2 / 3
-#: Postings of a block, and items of one index.
-BLOCK, ITEMS_AT_ONCE = 32, 20_000
+#: Postings of a block; items of one index, and bytes of their texts.
+BLOCK, ITEMS_AT_ONCE, BYTES_AT_ONCE = 32, 20_000, 64 << 20
 
 words_of = re.compile(r"\w+").findall
 
@@ -43,19 +48,22 @@ def grams(words: list[str]) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """Inverted index of items: for each term, postings (segment, normalised weight) in blocks with their largest weight.
-
-    An item of a single word has no pair of words and is never found.
+    """Inverted index of items: for each term, postings (segment, normalised weight) in blocks with their largest weight
+    and last segment.
     """
 
     def __init__(self, items: list[tuple[int, str]]):
         self.parts, segments, self.owner = [], [], []
+        #: Items of one word: their postings, by term; the word gives such an item its whole score.
+        self.single: dict[str, list[int]] = {}
         for item, text in items:
             words = words_of(text.lower())
             if not words:
                 continue
             cut = min(max(1, round(len(words) * QUESTION)), max(1, len(words) - 1))
             self.parts.append((item, len(words), grams(words[:cut]), grams(words[cut:]) if words[cut:] else set()))
+            if len(words) == 1:
+                self.single.setdefault(words[0], []).append(item)
             for i in range(0, len(words), SEGMENT):
                 segments.append(words[i : i + SEGMENT])
                 self.owner.append(len(self.parts) - 1)
@@ -76,8 +84,10 @@ class Index:
                 own[s] += x
         ordered = sorted(weights)
         self.codes = np.array(ordered, np.int64)
-        self.postings = [[(s, weights[p][s] / own[s]) for s in sorted(weights[p])] for p in ordered]
-        self.block_most = [[max(x for _, x in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for p in self.postings]
+        self.segments = [sorted(weights[p]) for p in ordered]
+        self.weights = [[weights[p][s] / own[s] for s in segs] for p, segs in zip(ordered, self.segments, strict=True)]
+        self.block_most = [[max(w[i : i + BLOCK]) for i in range(0, len(w), BLOCK)] for w in self.weights]
+        self.block_last = [[segs[min(i + BLOCK, len(segs)) - 1] for i in range(0, len(segs), BLOCK)] for segs in self.segments]
         self.most = np.array([max(b) for b in self.block_most] + [0.0])  # the last is for pairs of no item
 
     def pairs(self, words: list[str]) -> np.ndarray:
@@ -98,9 +108,9 @@ class Index:
 
     def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """All (segment, score) at or above the threshold for distinct terms, by block-max WAND."""
-        at = {t: 0 for t in terms}
-        most, postings = self.most, self.postings
-        live = sorted(terms, key=lambda t: postings[t][0][0])
+        most, segments, last = self.most, self.segments, self.block_last
+        at = dict.fromkeys(terms, 0)
+        live = sorted(terms, key=lambda t: segments[t][0])
         out = []
         slack = threshold - 1e-9
         while live:
@@ -112,35 +122,31 @@ class Index:
                     break
             if pivot < 0:
                 break
-            segment = postings[live[pivot]][at[live[pivot]]][0]
-            while pivot + 1 < len(live) and postings[live[pivot + 1]][at[live[pivot + 1]]][0] == segment:
+            segment = segments[live[pivot]][at[live[pivot]]]
+            while pivot + 1 < len(live) and segments[live[pivot + 1]][at[live[pivot + 1]]] == segment:
                 pivot += 1
             # the blocks that would hold the pivot segment: their largest weights, and where the first of them ends
             bound, after = 0.0, 1 << 60
             for t in live[: pivot + 1]:
-                p, k = postings[t], at[t] // BLOCK
-                while (k + 1) * BLOCK < len(p) and p[(k + 1) * BLOCK - 1][0] < segment:
-                    k += 1
-                bound += self.block_most[t][k]
-                if (k + 1) * BLOCK < len(p):
-                    after = min(after, p[(k + 1) * BLOCK - 1][0] + 1)
+                k = bisect_left(last[t], segment, at[t] // BLOCK)
+                if k < len(last[t]):
+                    bound += self.block_most[t][k]
+                    after = min(after, last[t][k] + 1)
             if pivot + 1 < len(live):
-                after = min(after, postings[live[pivot + 1]][at[live[pivot + 1]]][0])
+                after = min(after, segments[live[pivot + 1]][at[live[pivot + 1]]])
             if bound < slack:
                 target = max(after, segment + 1)
             else:
                 target = segment
-                if postings[live[0]][at[live[0]]][0] == segment:
-                    score = sum(postings[t][at[t]][1] for t in live[: pivot + 1])
+                if segments[live[0]][at[live[0]]] == segment:
+                    score = sum(self.weights[t][at[t]] for t in live[: pivot + 1])
                     if score >= slack:
                         out.append((segment, score))
                     target = segment + 1
             for t in live[: pivot + 1]:
-                p, i = postings[t], at[t]
-                while i < len(p) and p[i][0] < target:
-                    i += 1
-                at[t] = i
-            live = sorted((t for t in live if at[t] < len(postings[t])), key=lambda t: postings[t][at[t]][0])
+                k = bisect_left(last[t], target, at[t] // BLOCK)  # whole blocks are passed over
+                at[t] = bisect_left(segments[t], target, max(at[t], k * BLOCK), min((k + 1) * BLOCK, len(segments[t])))
+            live = sorted((t for t in live if at[t] < len(segments[t])), key=lambda t: segments[t][at[t]])
         return out
 
     def leaks(self, text: str, threshold: float = THRESHOLD) -> list[tuple[int, float, float, float]]:
@@ -154,6 +160,8 @@ class Index:
         starts = starts[starts < len(terms)]
         ends = np.minimum(starts + PASSAGE - 1, len(terms))
         best: dict[int, tuple[float, float, float]] = {}
+        if self.single:
+            best = {item: (1.0, 1.0, 1.0) for w in self.single.keys() & set(words) for item in self.single[w]}
         for i in np.flatnonzero(sums[ends] - sums[starts] >= threshold - 1e-9):
             start, end = int(starts[i]), int(ends[i])
             known = [t for t in set(terms[start:end].tolist()) if t < len(self.codes)]
@@ -171,10 +179,12 @@ class Index:
         return [(item, *found) for item, found in sorted(best.items())]
 
 
-def indexes(items: DataFrame, at_once: int = ITEMS_AT_ONCE) -> Iterator[Index]:
-    """Indexes over all items with a text, each of at most about ``at_once`` of them; repeated rows count once."""
+def indexes(items: DataFrame, at_once: int = ITEMS_AT_ONCE, bytes_at_once: int = BYTES_AT_ONCE) -> Iterator[Index]:
+    """Indexes over all items with a text, each of at most about ``at_once`` of them and ``bytes_at_once`` bytes; repeated rows
+    count once, an item longer than that has an index of its own or one with few others."""
     own = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    turns = max(1, -(-own.count() // at_once))
+    n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    turns = max(1, -(-n // at_once), -(-size // bytes_at_once))
     for turn in range(turns):
         some = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == turn).orderBy("item_id", "text")
         yield Index([(r.item_id, r.text) for r in some.collect()])
@@ -208,10 +218,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, at_once: int = ITEMS_AT_ONCE)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
-    """Rows of ``docs`` in which no item leaks, with all their columns."""
-    at, kept = docs.columns.index("text"), docs
+    """Rows of ``docs`` in which no item leaks, with all their columns; null texts stay.
+
+    With several indexes, the rows that each leaves are written before the next one searches them, so a task never holds more
+    than one.
+    """
+    at, kept = docs.columns.index("text"), None
     for index in indexes(items, at_once):
         shared = docs.sparkSession.sparkContext.broadcast(index)
+        kept = docs if kept is None else materialize(kept, "unleaked")
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             leaks = shared.value.leaks
