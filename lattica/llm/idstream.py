@@ -6,7 +6,8 @@ lookup and a running sum without looking at single values.
 
 A file holds blocks of documents in ascending order of id. Blocks are rows of Parquet files (binary columns ``control``
 and ``data``), so that Spark's committer and any store that Spark writes hold them; a lost executor's blocks are written
-anew. Files are numbered by ``shard``, and shards follow each other in id order.
+anew. Files are numbered by ``shard``, and shards follow each other in id order. The table of ids by rank is written beside
+the blocks (folders ``blocks`` and ``ranks``), so a folder alone is enough to read the ids.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions.storage import materialize
+from lattica.functions.storage import materialize, scratch_path
 
 #: Entries of a worker's tables of distinct words, and of distinct lower-case words without what follows them.
 TABLE_WORDS, TABLE_CORES = 600_000, 400_000
@@ -186,11 +188,12 @@ def rank_by_frequency(encoded: DataFrame, kind: str) -> np.ndarray:
     return counts.sort_values(["n", "token"], ascending=[False, True])["token"].to_numpy(np.uint32)
 
 
-def write_blocks(encoded: DataFrame, by_rank: np.ndarray, kind: str, name: str = "id-blocks") -> DataFrame:
-    """Blocks in ascending order of document id, written to the shared folder and read back.
+def write_blocks(encoded: DataFrame, by_rank: np.ndarray, kind: str, path: str) -> None:
+    """Blocks in ascending order of document id, and the table of ids by rank, written to a folder.
 
-    Columns: shard, block, offset (ids of the shard before this block), n_ids, doc_ids, lengths, control, data. Rows are
-    dealt by range of document id, so a shard follows the one before.
+    Columns of ``blocks``: shard, block, offset (ids of the shard before this block), n_ids, doc_ids, lengths, control, data;
+    of ``ranks``: rank, token. Rows are dealt by range of document id, so a shard follows the one before; of rows with the same
+    id the order is that of their ids' hash, then of the ids themselves.
     """
     width = np.dtype(kind).itemsize
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
@@ -223,17 +226,23 @@ def write_blocks(encoded: DataFrame, by_rank: np.ndarray, kind: str, name: str =
         if ids:
             yield close()
 
-    dealt = encoded.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
+    order = [F.col("doc_id"), F.xxhash64("ids"), F.col("ids")]
+    dealt = encoded.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     blocks = dealt.mapInArrow(run, "shard int, block int, offset long, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary")
-    return materialize(blocks, name)
+    blocks.write.parquet(f"{path}/blocks")
+    ranks = pd.DataFrame({"rank": np.arange(len(by_rank)), "token": by_rank.astype(np.int64)})
+    encoded.sparkSession.createDataFrame(ranks, "rank long, token long").coalesce(1).write.parquet(f"{path}/ranks")
 
 
-def read_blocks(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary) decoded from the written blocks.
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids binary) decoded from the files of a folder that ``write_blocks`` has written.
 
-    ``start`` counts the ids of all documents before. Shards' sums, one number each, go through the driver; the payload
-    is read once, without a shuffle.
+    ``start`` counts the ids of all documents before. The table of ranks, bounded by the vocabulary, and shards' sums, one
+    number each, go through the driver; the payload is read once, without a shuffle.
     """
+    ranks = spark.read.schema("rank long, token long").parquet(f"{path}/ranks").orderBy("rank").toPandas()
+    by_rank = ranks["token"].to_numpy(np.uint32)
+    blocks = spark.read.schema("shard int, block int, offset long, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary").parquet(f"{path}/blocks")
     sums = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
     ends = np.cumsum([r.n for r in sums])
     first = {r.shard: int(end - r.n) for r, end in zip(sums, ends, strict=True)}
@@ -253,11 +262,11 @@ def read_blocks(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def store_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, rank, write and read back: (doc_id, start, n_tokens, ids).
+def store_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """Encode, rank, write to ``folder`` (none: a new one in the shared folder) and read back: (doc_id, start, n_tokens, ids).
 
-    One row for each row of ``docs``; repeated ids follow each other in no fixed order, null ids come first, null texts
-    hold the end id alone, and an empty table gives none.
+    One row for each row of ``docs``; rows with the same id follow each other in the order of their ids' hash, null ids come
+    first, null texts hold the end id alone, and an empty table gives none.
     """
     from tokenizers import Tokenizer
 
@@ -265,7 +274,9 @@ def store_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     kind = id_kind(Tokenizer.from_file(path).get_vocab_size())
     encoded = materialize(encode_words(docs, path, id_col, text_col), "ids", "lz4")
     by_rank = rank_by_frequency(encoded, kind)
-    return read_blocks(write_blocks(encoded, by_rank, kind), by_rank)
+    folder = folder or scratch_path(docs.sparkSession, "id-stream")
+    write_blocks(encoded, by_rank, kind, folder)
+    return read_blocks(docs.sparkSession, folder)
 
 
 def with_checksums(stored: DataFrame) -> DataFrame:

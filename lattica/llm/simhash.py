@@ -8,8 +8,9 @@ has and the other lacks. So each fingerprint is filed under (start, two segments
 each set bit of the second segment cleared: an equi-join of bounded fan-out. Longer chains and then all 64 bits are
 checked on the pairs that meet.
 
-Equal fingerprints are grouped first. Where many distinct ones meet under a key, they are dealt into blocks, and each
-pair of blocks gives a spanning forest of its links instead of all pairs; components stay the same.
+Equal fingerprints are grouped first. Where many distinct ones meet under a key, filed or looked up, they are dealt into
+blocks, and each pair of blocks gives a spanning forest of its links instead of all pairs; components stay the same. Chains
+are checked there too: a pair that breaks a budget at this key meets under another one, or does not link.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from lattica.functions.storage import materialize
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: Lengths of the ring's segments; they add up to 64.
 SEGMENTS = (13, 13, 13, 13, 12)
-#: Distinct fingerprints under a key from which blocks are used, and fingerprints of a block.
-HOT_KEY, BLOCK = 64, 1024
+#: Distinct fingerprints under a key, filed or looked up, beyond which blocks are used, and fingerprints of a block.
+HOT_KEY, BLOCK = 1024, 1024
 #: A fingerprint is common if over one in so many rows has it; so fewer than that many fingerprints are.
 COMMON_OF = 10_000
 #: Shingles whose bits are unpacked at a time.
@@ -105,8 +106,16 @@ def _within(a: Column, b: Column, start: Column, most: int) -> Column:
 
 
 def _block_forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
-    """A spanning forest of the links within one pair of blocks (one block alone: of its own links)."""
-    fps = np.unique(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
+    """A spanning forest of the links within one pair of blocks (one block alone: of its own links).
+
+    Rows are filed (``own``) or looked up; a link has a filed end, and every chain from the key's start keeps its budget.
+    """
+    start, n = int(pdf["key"].iloc[0]) >> 40, len(SEGMENTS)
+    filed = np.unique(pdf.loc[pdf["own"], "fp"].to_numpy(np.int64))
+    fps = np.unique(pdf["fp"].to_numpy(np.int64))
+    at = np.searchsorted(fps, filed)
+    masks = [(length * most // n, np.uint64(_chain_mask(start, length) & (1 << 64) - 1)) for length in range(2, n)]
+    bits = fps.view(np.uint64)
     up = list(range(len(fps)))
 
     def find(x: int) -> int:
@@ -116,22 +125,25 @@ def _block_forest(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
         return x
 
     links = []
-    for i in range(len(fps)):
-        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= most) + i + 1:
-            a, b = find(i), find(int(j))
+    for i in at.tolist():
+        differing = bits ^ bits[i]
+        near = np.arange(len(fps))
+        for budget, mask in masks:  # short chains first: few pairs are left for the longer ones
+            near = near[np.bitwise_count(differing[near] & mask) <= budget]
+        for j in near[np.bitwise_count(differing[near]) <= most].tolist():
+            a, b = find(i), find(j)
             if a != b:
                 up[b] = a
-                links.append((i, int(j)))
+                links.append((i, j))
     ends = np.array(links, np.int64).reshape(-1, 2)
-    signed = fps.view(np.int64)
-    return pd.DataFrame({"a": signed[ends[:, 0]], "b": signed[ends[:, 1]]})
+    return pd.DataFrame({"a": fps[ends.min(axis=1)], "b": fps[ends.max(axis=1)]})
 
 
 def fingerprint_links(distinct: DataFrame, most: int = MOST_BITS, hot_key: int = HOT_KEY, block: int = BLOCK) -> DataFrame:
     """(a, b): links of at most ``most`` differing bits between the distinct values of ``distinct.fp``.
 
     All of them, except under keys with over ``hot_key`` values, where links that follow from others through a shared
-    component may be left out.
+    component may be left out; components are whole.
     """
     n = len(SEGMENTS)
     if not 0 <= most < n or 2 * most // n > 1:
@@ -140,8 +152,9 @@ def fingerprint_links(distinct: DataFrame, most: int = MOST_BITS, hot_key: int =
     filed = distinct.select("fp", F.explode(F.array(*[k for s in range(n) for k in _keys(fp, s, False)])).alias("key"))
     looked = distinct.select("fp", F.explode(F.array_compact(F.array(*[k for s in range(n) for k in _keys(fp, s, True)]))).alias("key"))
     filed = materialize(filed, "simhash-filed", "lz4")
-    hot = materialize(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "simhash-hot")
     both = filed.withColumn("own", F.lit(True)).unionByName(looked.withColumn("own", F.lit(False)))
+    sizes = both.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any_filed")).where((F.col("n") > hot_key) & F.col("any_filed"))
+    hot = materialize(sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "simhash-hot")
 
     start = F.shiftrightunsigned(F.col("key"), 40)
     a, b = filed.join(hot, "key", "left_anti").select("key", F.col("fp").alias("a")), both.select("key", "own", F.col("fp").alias("b"))
@@ -150,27 +163,25 @@ def fingerprint_links(distinct: DataFrame, most: int = MOST_BITS, hot_key: int =
 
     # of B blocks, number i takes part in the pairs (0, i) ... (i, i) ... (i, B - 1)
     dealt = both.join(hot, "key").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    paired = dealt.select("fp", "key", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))).alias("pair"))
+    paired = dealt.select("fp", "key", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))).alias("pair"))
     forest = paired.groupBy("key", "pair").applyInPandas(lambda pdf: _block_forest(pdf, most), "a long, b long")
     return plain.unionByName(forest).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_links): one row for each row of ``docs``.
+    """(doc_id, fingerprint, component_id): one row for each row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links of at most ``most`` differing bits, the own one included;
-    equal fingerprints are linked. ``n_links`` counts the distinct other fingerprints that the links found lead to. Null
-    and empty texts share fingerprint 0. Rows with a null id belong to their component; a component of null ids alone has
+    equal fingerprints are linked. Null and empty texts share fingerprint 0. Rows with a null id belong to their component; a component of null ids alone has
     a null id.
     """
     marked = materialize(fingerprints(docs, id_col, text_col), "simhash-docs", "lz4")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows")), "simhash-distinct", "lz4")
     links = materialize(fingerprint_links(distinct.select("fp"), most), "simhash-links", "lz4")
     roots = connected_components(links).withColumnRenamed("node", "fp")
-    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").join(degree, "fp", "left").select("fp", "n_rows", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = rooted.join(least, "root").select("fp", "n_rows", "component_id")
     classes = materialize(classes, "simhash-fp-classes", "lz4")
 
     # common fingerprints are few by their definition and are sent to all tasks, so that none of them meets in one task
@@ -179,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = marked.join(F.broadcast(classes.where(is_common).drop("n_rows").withColumn("common", F.lit(True))), "fp", "left")
     rare = found.where("common is null").select("doc_id", "fp").join(classes.where(~is_common).drop("n_rows"), "fp")
     every = found.where("common").drop("common").unionByName(rare)
-    return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:

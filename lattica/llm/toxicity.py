@@ -1,9 +1,10 @@
 """Toxic spans by a linear-chain conditional random field with two tags, document scores from its marginals.
 
 Labels are of documents, the field tags tokens, so tokens are labelled first: over the labelled rows, features (a word,
-its beginnings) that occur in toxic documents and hardly in others mark the tokens of toxic documents. The field is
-fitted to these token labels by gradient ascent on the conditional log-likelihood. Forward and backward messages give
-each token's marginal; a document's score is a calibrated logistic function of the marginals' pooled evidence, and the
+its beginnings) that occur in toxic documents and hardly in others mark the tokens of toxic documents. These labels only
+start the fit, by gradient ascent on the conditional log-likelihood; then they are replaced, ``RELABELS`` times, by what the
+field itself expects of a document of which all that is known is that some token is toxic (or that none is). Forward and
+backward messages give each token's marginal; a document's score is a calibrated logistic function of the marginals' pooled evidence, and the
 tokens above ``SPAN_LEAST`` are its offending spans.
 
 The two messages of a whole batch of documents are computed at once: a step of a two-tag chain is a 2 x 2 matrix, matrices
@@ -19,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.storage import materialize
@@ -28,13 +29,17 @@ from lattica.functions.storage import materialize
 SAMPLE_DOCS = 24_000
 #: Lengths of the beginnings of words that are features.
 PREFIXES = (4, 5, 6)
-#: A feature needs this log-likelihood ratio (twice the gain in nats) between toxic and other sample documents, and this
-#: log-odds; a word that seven toxic documents in ten thousand have and no other passes, chance words do not.
-LEAST_RATIO, LEAST_ODDS = 30.0, 2.5
+#: A feature needs a log-likelihood ratio (twice the gain in nats) between toxic and other sample documents that chance gives
+#: to fewer than ``BY_CHANCE`` of all that occur in enough documents, and this log-odds.
+BY_CHANCE, LEAST_ODDS = 0.01, 2.5
 #: Features kept at most (the strongest); bounds what is sent to executors.
 MOST_FEATURES = 20_000
-#: Documents of the field's fit, half of them toxic, of at most so many characters; its rounds, rate and ridge.
-FIT_DOCS, FIT_CHARS, ROUNDS, RATE, RIDGE = 2_000, 3_000, 40, 2.0, 1e-3
+#: Documents of the field's fit, half of them toxic, and characters of each half, at most; its rounds, rate and ridge.
+FIT_DOCS, FIT_CHARS, ROUNDS, RATE, RIDGE = 2_000, 2_500_000, 40, 2.0, 1e-3
+#: How often token labels are made anew, evenly over the later half of the rounds.
+RELABELS = 4
+#: Added to a document's evidence before its logarithm is taken.
+FLOOR = 0.05
 #: Chances from which a token adds to its document's evidence and from which it is a span, and the score that counts as toxic.
 SUSPICIOUS, SPAN_LEAST, SCORE_LEAST = 0.1, 0.5, 0.3
 #: A worker's table of words starts anew beyond this.
@@ -163,26 +168,38 @@ def fit_field(texts: list[str], toxic: list[int], features: list[str], share: fl
     first = np.zeros(n, bool)
     first[starts] = True
     inner = np.flatnonzero(~first)
-    tags = gold.astype(int)
-    want_pairs = np.zeros((2, 2))
-    np.add.at(want_pairs, (tags[inner - 1], tags[inner]), 1)
+    of_doc = np.cumsum(first) - 1
+    toxic_doc = np.array(kept, bool)[of_doc]
+    relabel = {ROUNDS - 1 - ROUNDS // 2 * i // RELABELS for i in range(1, RELABELS + 1)}
+
+    def pair_counts() -> np.ndarray:
+        one, other = gold[inner - 1], gold[inner]
+        return np.array([[((1 - one) * (1 - other)).sum(), ((1 - one) * other).sum()], [(one * (1 - other)).sum(), (one * other).sum()]])
+
+    want_pairs = pair_counts()
     seen = np.bincount(cols, minlength=len(features)) + 1.0
     weights, bias, pairs = np.full(len(features), 4.0), -8.0, np.zeros((2, 2))
-    for _ in range(ROUNDS):
+    for at in range(ROUNDS):
         emissions = np.bincount(rows, weights[cols], n) + bias
         chance, joint = marginals(emissions, starts, pairs, joint=True)
+        if at in relabel:
+            some = -np.expm1(np.add.reduceat(np.log1p(-np.minimum(chance, 1 - 1e-9)), starts))  # chance that some token is toxic
+            gold = np.where(toxic_doc, np.minimum(chance / np.maximum(some[of_doc], 1e-9), 1.0), 0.0)
+            want_pairs = pair_counts()
         error = gold - chance
         weights += RATE * (np.bincount(cols, error[rows], len(features)) / seen - RIDGE * weights)
         bias += np.log((gold.sum() + 1) / (chance.sum() + 1)) / 4
         gap = (want_pairs - joint) / (want_pairs.sum(axis=1, keepdims=True) + 1)
         pairs += RATE * (gap - RIDGE * pairs)
     emissions = np.bincount(rows, weights[cols], n) + bias
-    pooled = np.log(evidence(marginals(emissions, starts, pairs)[0], starts) + 1e-6)
-    # then each document's chance by its pooled evidence (Newton's method), shifted to the share of toxic documents
+    pooled = np.log(evidence(marginals(emissions, starts, pairs)[0], starts) + FLOOR)
+    # then each document's chance by its pooled evidence (Newton's method with short steps, as the two may be quite apart),
+    # shifted to the share of toxic documents
     kept, by, x = np.array(kept, float), np.array([1.0, 0.0]), np.stack([pooled, np.ones(len(pooled))], axis=1)
-    for _ in range(30):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ by, -30, 30)))
-        by = by + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2), x.T @ (kept - p) - 0.05 * by)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), x.T @ (kept - p) - 0.1 * by)
+        by = by + step * min(1.0, 0.5 / np.abs(step).max())
     fitted = min(max(kept.mean(), 1e-3), 1 - 1e-3)
     slope, shift = max(0.1, by[0]), by[1] + np.log(share / (1 - share)) - np.log(fitted / (1 - fitted))
     return ToxicField(dict(zip(features, weights.tolist(), strict=True)), float(bias), tuple(map(tuple, pairs.tolist())), (float(slope), float(shift)))
@@ -233,7 +250,8 @@ def choose_features(sample: DataFrame) -> list[str]:
     for seen, rate in ((a, (a + b) * n_toxic / n), (b, (a + b) * n_other / n), (n_toxic - a, n_toxic - (a + b) * n_toxic / n), (n_other - b, n_other - (a + b) * n_other / n)):
         ratio += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(rate, 1e-9)), 0)
     odds = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_other + 1))
-    good = np.flatnonzero((ratio >= LEAST_RATIO) & (odds >= LEAST_ODDS))
+    # a chance ratio is above x for a share exp(-x / 2) of features at most
+    good = np.flatnonzero((ratio >= 2 * np.log(max(len(f), 2) / BY_CHANCE)) & (odds >= LEAST_ODDS))
     return [str(f[i]) for i in sorted(good, key=lambda i: (-ratio[i], f[i]))[:MOST_FEATURES]]
 
 
@@ -257,8 +275,12 @@ def train(docs: DataFrame, labels: DataFrame, keep_out: bool = True, bound: int
     if not features:
         return ToxicField()
     share = sample.agg(F.avg("toxic")).first()[0]
-    short = sample.where(F.length("text").between(1, FIT_CHARS))
-    rows = [r for label in (0, 1) for r in short.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS // 2).collect()]
+    # the sample is bounded, so its ids and lengths may be ordered in one task for each label
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.xxhash64("text")), "doc_id")
+    sized = sample.where("text <> ''").select("toxic", "doc_id", F.xxhash64("text").alias("hash"), F.row_number().over(order).alias("place"), F.sum(F.length("text")).over(order).alias("used"))
+    chosen = sized.where((F.col("place") <= FIT_DOCS // 2) & (F.col("used") <= FIT_CHARS)).select("toxic", "doc_id", "hash").distinct()
+    keyed = sample.withColumn("hash", F.xxhash64("text")).dropDuplicates(["toxic", "doc_id", "hash"])
+    rows = keyed.join(F.broadcast(chosen), ["toxic", "doc_id", "hash"], "left_semi").orderBy("toxic", "hash", "doc_id").collect()  # FIT_CHARS of each label at most
     return fit_field([r.text for r in rows], [r.toxic for r in rows], features, min(max(share, 1e-3), 1 - 1e-3))
 
 
@@ -296,7 +318,7 @@ class Scorer:
         pooled = np.zeros(len(texts))
         pooled[filled] = evidence(chance, starts)
         slope, shift = self.made.calibration
-        scores = 1 / (1 + np.exp(-(slope * np.log(pooled + 1e-6) + shift)))
+        scores = 1 / (1 + np.exp(-np.clip(slope * np.log(pooled + FLOOR) + shift, -500, 500)))
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
         hits = np.flatnonzero(chance >= SPAN_LEAST)
         for k in np.unique(np.searchsorted(starts, hits, side="right") - 1):

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import types as T
 
-from lattica.llm.idstream import WordEncoder, pack, store_ids, tokenizer_path, unpack, with_checksums
+from lattica.llm.idstream import WordEncoder, pack, read_blocks, store_ids, tokenizer_path, unpack, with_checksums
 
 
 @settings(max_examples=60, deadline=None)
@@ -48,3 +48,12 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = [(r.doc_id, r.start, r.n_tokens) for r in store_ids(docs).orderBy("start").collect()]
     assert got == [(None, 0, 2), (2, 2, 3), (2, 5, 3), (3, 8, 1)]
     assert store_ids(docs.limit(0)).count() == 0
+
+
+def test_files_alone_give_the_ids_and_equal_ids_have_a_fixed_order(spark, tmp_path):
+    rows = [(7, f"own text {chr(97 + i % 26) * (i + 1)}") for i in range(60)] + [(None, f"x{i} y") for i in range(20)]
+    folder = f"file://{tmp_path}/ids"
+    wrote = sorted((r.start, r.doc_id or 0, bytes(r.ids)) for r in store_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), folder=folder).collect())
+    again = sorted((r.start, r.doc_id or 0, bytes(r.ids)) for r in read_blocks(spark, folder).collect())
+    other = sorted((r.start, r.doc_id or 0, bytes(r.ids)) for r in store_ids(spark.createDataFrame(rows[::-1], "doc_id long, text string")).collect())
+    assert wrote == again == other and len(wrote) == 80
