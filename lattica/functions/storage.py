@@ -2,26 +2,52 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of intermediate tables that this process has written and not removed.
+_written: list[str] = []
+
+
+def written() -> list[str]:
+    """Paths of the intermediate tables there are, in the order of writing."""
+    return list(_written)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove intermediate tables that no query will read again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        if path in _written:
+            _written.remove(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent, a single-JVM session gets a temporary folder (its driver and executor are one
-    process); any other session falls back to its warehouse folder, which a cluster shares.
+    Where the setting is absent, a single-JVM session gets a temporary folder (its driver and executor are one process), which
+    goes when Python ends; any other session falls back to its warehouse folder, if that is in a store that machines share.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     master = spark.sparkContext.master
     if master.startswith("local") and not master.startswith("local-cluster"):
-        found = "file://" + tempfile.mkdtemp(prefix="lattica-")
+        folder = tempfile.mkdtemp(prefix="lattica-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
     else:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lattica-scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if "://" not in warehouse and not warehouse.startswith("hdfs:") or warehouse.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share; the warehouse is a local one")
+        found = warehouse + "/lattica-scratch"
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -34,5 +60,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
+    _written.append(path)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,33 +7,37 @@ from pyspark.sql import functions as F
 
 from lattica.functions.storage import materialize
 
-#: Rounds after which a closure counts as broken.
-MOST_ROUNDS = 200
+#: Written rounds that are read apart at most.
+MERGE = 16
 
 
-def closure(seeds: DataFrame, edges: DataFrame, group: str | None = None, most_rounds: int = MOST_ROUNDS, stride: int = 3) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, group: str | None = None, stride: int = 3) -> DataFrame:
     """(group, node, depth): nodes reachable from ``seeds`` with the smallest number of steps; seeds have depth 0.
 
     ``seeds``: (node) or, with ``group``, (group, node), each group closing on its own. A round takes ``stride`` steps from the
-    nodes that the round before has found last, and is written once.
+    nodes that the round before has found last, and is written once. It ends with an empty frontier, as nodes are finite; written
+    rounds are merged whenever there are ``MERGE``, so long paths do not pile up files to read.
     """
     keys = ([group] if group else []) + ["node"]
     steps = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).where("src <> dst").distinct(), "closure-edges")
     found = materialize(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)), "closure")
     frontier = found.select(*keys)
-    for done in range(0, most_rounds * stride, stride):
+    done, parts = 0, 1
+    while True:
         hops = None
         for k in range(1, stride + 1):
             frontier = frontier.join(steps, "node").select(*keys[:-1], F.col("next").alias("node")).distinct()
             hop = frontier.withColumn("depth", F.lit(done + k))
             hops = hop if hops is None else hops.unionByName(hop)
         fresh = materialize(hops.groupBy(*keys).agg(F.min("depth").alias("depth")).join(found, keys, "left_anti"), "closure")
-        found = found.unionByName(fresh)
+        found, parts = found.unionByName(fresh), parts + 1
+        if parts == MERGE:
+            found, parts = materialize(found, "closure"), 1
         # nodes found before the last step have been left already
         frontier = fresh.where(F.col("depth") == done + stride).select(*keys)
         if frontier.isEmpty():
             return found
-    raise RuntimeError(f"no fixpoint in {most_rounds} rounds")
+        done += stride
 
 
 def liveness(vertices: DataFrame, seeds: DataFrame, edges: DataFrame) -> DataFrame:

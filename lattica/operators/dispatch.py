@@ -20,24 +20,22 @@ def crossed(edges: DataFrame, overrides: DataFrame, grades: dict[str, int], sour
     return both.select("src", F.col("child").alias("dst"), F.col("parent").alias("via"), grade.alias("grade"))
 
 
-def bind_callbacks(passed: DataFrame, forwarded: DataFrame, most_rounds: int = 16) -> DataFrame:
+def bind_callbacks(passed: DataFrame, forwarded: DataFrame) -> DataFrame:
     """(callee, place, target): what may stand behind each parameter, through functions that forward their own.
 
     ``passed``: (callee, place, target) of concrete arguments; ``forwarded``: (callee, place, to, to_place): ``callee`` hands its
-    parameter ``place`` to ``to`` at ``to_place``.
+    parameter ``place`` to ``to`` at ``to_place``. It ends when a round finds nothing new, as it must: what can be found is finite.
     """
     from lattica.functions.storage import materialize
 
     forwarded = materialize(forwarded, "callback-forwards")
     found = materialize(passed.select("callee", "place", "target").distinct(), "callbacks")
     fresh = found
-    for _ in range(most_rounds):
+    while not fresh.isEmpty():
         made = fresh.join(forwarded, ["callee", "place"]).select(F.col("to").alias("callee"), F.col("to_place").alias("place"), "target").distinct()
         fresh = materialize(made.join(found, ["callee", "place", "target"], "left_anti"), "callbacks")
-        if fresh.isEmpty():
-            return found
         found = found.unionByName(fresh)
-    raise RuntimeError(f"callbacks did not settle in {most_rounds} rounds")
+    return found
 
 
 def topic_roles(roles: DataFrame) -> DataFrame:

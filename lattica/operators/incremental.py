@@ -24,6 +24,18 @@ def tree_digest(files: DataFrame, group: str, path: str, digest: str) -> DataFra
     return files.groupBy(group).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
 
 
+def merkle_digest(files: DataFrame, group: str, path: str, digest: str, bucket: int = 4096) -> DataFrame:
+    """(group, digest): SHA-256 over the digests of hash buckets of a group's files, each over its sorted paths and digests.
+
+    A group of n files has n / ``bucket`` buckets, so no task holds a whole large group.
+    """
+    sizes = files.groupBy(group).agg((F.ceil(F.count("*") / bucket)).alias("buckets"))
+    line = F.concat_ws(":", path, digest)
+    dealt = files.join(sizes, group).select(group, F.pmod(F.xxhash64(F.col(path)), F.col("buckets")).alias("bucket"), line.alias("line"))
+    inner = dealt.groupBy(group, "bucket").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("h"))
+    return inner.groupBy(group).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"))
+
+
 def pressure(events: DataFrame, session: str, order: list[str], search: Column, use: Column) -> DataFrame:
     """``events`` with searches, uses, pressure and due: cumulative searches minus three times cumulative uses.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.storage import materialize
+
 K1, B = 1.2, 0.75
 #: Points of a name that is the query, contains it, and of each token in the name or the description.
 EXACT, INSIDE, IN_NAME, IN_BRIEF = 1000, 200, 50, 5
@@ -53,6 +55,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str]) -> DataF
     words = docs.select(F.col(id_col), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     is_token = lambda t: lambda x: x == t
     counted = words.select(id_col, F.size("w").alias("len"), *[F.size(F.filter("w", is_token(t))).alias(f"tf{i}") for i, t in enumerate(parts)])
+    counted = materialize(counted, "bm25")  # lengths and counts only; texts are cut once
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(parts))])
     both = counted.crossJoin(F.broadcast(stats))  # one row of statistics
     score, hit = F.lit(0.0), F.lit(0)

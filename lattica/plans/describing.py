@@ -85,10 +85,10 @@ def layer_states(s, d):
     return R.layer_states({"vertices": v, "edges": _edges(s, d), "unused": v.where("kind = 'none'"), "locks": None})
 
 
-@register(r"""WITH x AS (SELECT regexp_extract(p_type, '^([A-Z]+) (.+)$', 1) AS prefix, regexp_extract(p_type, '^([A-Z]+) (.+)$', 2) AS key FROM part)
+@register(r"""WITH x AS (SELECT regexp_extract(p_name, '^([a-z]+) (.+)$', 1) AS prefix, regexp_extract(p_name, '^([a-z]+) (.+)$', 2) AS key FROM part)
 SELECT prefix, count(DISTINCT key) AS n_keys, count(*) AS n_rows FROM x WHERE prefix <> '' GROUP BY prefix HAVING count(DISTINCT key) >= 2""")
 def accessor_families(s, d):
-    return R.families(A.table(s, d, "part").select(F.col("p_type").alias("name")), "^([A-Z]+) (.+)$", 2)
+    return R.families(A.table(s, d, "part").select(F.col("p_name").alias("name")), "^([a-z]+) (.+)$", 2)
 
 
 @register("""WITH n AS (SELECT DISTINCT p_brand || '_' || CASE p_size % 4 WHEN 0 THEN 'lock' WHEN 1 THEN 'unlock' WHEN 2 THEN 'take' ELSE 'give' END AS name FROM part WHERE p_size % 9 <> 0)

@@ -8,7 +8,7 @@ from lattica.operators import closure as C
 from lattica.operators import edges as E
 from lattica.operators import identity as I
 from lattica.operators import intervals as V
-from lattica.plans.sql import ACCESSES, EDGES, QUALIFIED, RAW, SECTIONS, SPARSE, VERTICES, points, query
+from lattica.plans.sql import ACCESSES, EDGES, QUALIFIED, RAW, SECTIONS, FIRM, VERTICES, points, query
 from lattica.sources import adapters as A
 
 QUERIES, ORACLES = {}, {}
@@ -47,9 +47,9 @@ def edges_dedup_first(s, d):
     return _edges(s, d)
 
 
-@register(query(SPARSE, "SELECT a.src, b.dst, min(a.dst) AS via, count(*) AS n_paths FROM sparse a JOIN sparse b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY ALL"))
+@register(query(FIRM, "SELECT a.src, b.dst, min(a.dst) AS via, count(*) AS n_paths FROM firm a JOIN firm b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY ALL"))
 def macro_hop_edges(s, d):
-    return E.two_hop(A.sparse_edges(s, d))
+    return E.two_hop(_firm_edges(s, d))
 
 
 _RANK = "CASE grade WHEN 'exact' THEN 2 WHEN 'resolved' THEN 1 ELSE 0 END"
@@ -144,13 +144,13 @@ def name_ambiguity(s, d):
     return named.groupBy("name").agg(F.countDistinct("dst").alias("n_targets"), F.count("*").alias("n_edges"), F.sum((F.col("grade") == "fuzzy").cast("int")).alias("n_fuzzy")).where("n_targets > 1")
 
 
-@register(query(VERTICES, "SELECT rowid, definition FROM vertices WHERE regexp_matches(definition, '(^|[^A-Za-z0-9_])STEEL([^A-Za-z0-9_]|$)') OR regexp_matches(definition, '(^|[^A-Za-z0-9_])Brand#13([^A-Za-z0-9_]|$)')"))
+@register(query(VERTICES, "SELECT rowid, definition FROM vertices WHERE regexp_matches(definition, '(^|[^A-Za-z0-9_])PROMO([^A-Za-z0-9_]|$)') OR regexp_matches(definition, '(^|[^A-Za-z0-9_])Brand#13([^A-Za-z0-9_]|$)')"))
 def boundary_match(s, d):
     v = A.vertices(s, d)
-    return v.where(I.at_boundary(F.col("definition"), "STEEL") | I.at_boundary(F.col("definition"), "Brand#13")).select("rowid", "definition")
+    return v.where(I.at_boundary(F.col("definition"), "PROMO") | I.at_boundary(F.col("definition"), "Brand#13")).select("rowid", "definition")
 
 
-_SITES = """sites AS (SELECT o_orderkey AS site, CASE WHEN o_orderkey % 7 = 0 THEN 'nowhere' ELSE p_name END AS name,
+_SITES = """sites AS (SELECT o_orderkey AS site, CASE WHEN o_orderkey % 7 = 0 THEN 'nowhere' ELSE replace(p_name, ' ', '_') END AS name,
   CASE WHEN o_orderkey % 3 = 0 THEN p_brand WHEN o_orderkey % 3 = 1 THEN 'Brand#0' END AS qualifier
   FROM orders JOIN part ON p_partkey = o_custkey)"""
 
@@ -164,7 +164,7 @@ matched AS (SELECT *, CASE WHEN n_fit = 1 THEN 'resolved' WHEN n = 0 THEN 'exter
 def callee_resolution(s, d):
     both = A.table(s, d, "orders").select("o_orderkey", "o_custkey").join(A.table(s, d, "part").select("p_partkey", "p_name", "p_brand"), F.col("p_partkey") == F.col("o_custkey"))
     k = F.col("o_orderkey")
-    sites = both.select(k.alias("site"), F.when(k % 7 == 0, "nowhere").otherwise(F.col("p_name")).alias("name"), F.when(k % 3 == 0, F.col("p_brand")).when(k % 3 == 1, "Brand#0").alias("qualifier"))
+    sites = both.select(k.alias("site"), F.when(k % 7 == 0, "nowhere").otherwise(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name"), F.when(k % 3 == 0, F.col("p_brand")).when(k % 3 == 1, "Brand#0").alias("qualifier"))
     return I.resolve_names(sites, A.vertices(s, d))
 
 
@@ -192,19 +192,6 @@ def dispatch_mode_first_known(s, d):
     return E.first_known(A.key_accesses(s, d), ["key_name", "participant"], "mode", "event_id")
 
 
-_DECLARED = """declared AS (SELECT n_name AS key_name, n_nationkey FROM nation WHERE n_regionkey < 2),
-w AS (SELECT DISTINCT key_name, s_suppkey AS writer FROM declared JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 5000),
-r AS (SELECT DISTINCT key_name, c_custkey AS reader FROM declared JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 9500)"""
-
-
-@register(query(_DECLARED, "SELECT key_name, writer, reader FROM w JOIN r USING (key_name)"))
-def shared_key_declared(s, d):
-    keys = A.table(s, d, "nation").where("n_regionkey < 2").select(F.col("n_name").alias("key_name"), "n_nationkey")
-    w = keys.join(A.table(s, d, "supplier").where("s_acctbal > 5000"), F.col("s_nationkey") == F.col("n_nationkey")).select("key_name", F.col("s_suppkey").alias("writer")).distinct()
-    r = keys.join(A.table(s, d, "customer").where("c_acctbal > 9500"), F.col("c_nationkey") == F.col("n_nationkey")).select("key_name", F.col("c_custkey").alias("reader")).distinct()
-    return w.join(r, "key_name")
-
-
 _INSIDE = "s.holder = p.holder AND p.at >= s.lo AND (s.hi IS NULL OR p.at <= s.hi)"
 
 
@@ -289,39 +276,39 @@ def _seeds(s, d):
     return A.vertices(s, d).where("lines = 50").select(F.col("rowid").alias("node"))
 
 
-@register(query(VERTICES, SPARSE, "seeds AS (SELECT rowid AS node FROM vertices WHERE lines = 50), reach(node) AS (SELECT node FROM seeds UNION SELECT dst FROM reach JOIN sparse ON src = node)", "SELECT rowid, CASE WHEN EXISTS (SELECT 1 FROM reach WHERE node = rowid) THEN 'live' ELSE 'orphan' END AS state FROM vertices", recursive=True))
+@register(query(VERTICES, FIRM, "seeds AS (SELECT rowid AS node FROM vertices WHERE lines = 50), reach(node) AS (SELECT node FROM seeds UNION SELECT dst FROM reach JOIN firm ON src = node)", "SELECT rowid, CASE WHEN EXISTS (SELECT 1 FROM reach WHERE node = rowid) THEN 'live' ELSE 'orphan' END AS state FROM vertices", recursive=True))
 def reachability_liveness(s, d):
-    return C.liveness(A.vertices(s, d), _seeds(s, d), A.sparse_edges(s, d)).drop("depth")
+    return C.liveness(A.vertices(s, d), _seeds(s, d), _firm_edges(s, d)).drop("depth")
 
 
-@register(query(VERTICES, SPARSE, "reach(thread, node) AS (SELECT file, rowid FROM vertices WHERE lines >= 49 UNION SELECT thread, dst FROM reach JOIN sparse ON src = node)", "SELECT thread, node FROM reach", recursive=True))
+@register(query(VERTICES, FIRM, "reach(thread, node) AS (SELECT file, rowid FROM vertices WHERE lines >= 49 UNION SELECT thread, dst FROM reach JOIN firm ON src = node)", "SELECT thread, node FROM reach", recursive=True))
 def thread_membership(s, d):
     return _members(s, d)
 
 
-def _members(s, d, edges=A.sparse_edges):
+def _members(s, d, edges=_firm_edges):
     seeds = A.vertices(s, d).where("lines >= 49").select(F.col("file").alias("thread"), F.col("rowid").alias("node"))
     return C.closure(seeds, edges(s, d), "thread").drop("depth")
 
 
-_MEMBERS = "reach(thread, node) AS (SELECT file, rowid FROM vertices WHERE lines >= 49 UNION SELECT thread, dst FROM reach JOIN sparse ON src = node)"
+_MEMBERS = "reach(thread, node) AS (SELECT file, rowid FROM vertices WHERE lines >= 49 UNION SELECT thread, dst FROM reach JOIN firm ON src = node)"
 
 
-@register(query(VERTICES, SPARSE, _MEMBERS, "SELECT thread, count(*) AS n_members, min(node) AS first_member FROM reach GROUP BY thread", recursive=True))
+@register(query(VERTICES, FIRM, _MEMBERS, "SELECT thread, count(*) AS n_members, min(node) AS first_member FROM reach GROUP BY thread", recursive=True))
 def thread_roster(s, d):
     return _members(s, d).groupBy("thread").agg(F.count("*").alias("n_members"), F.min("node").alias("first_member"))
 
 
-@register(query(VERTICES, SPARSE, _MEMBERS, "SELECT node, count(*) AS n_threads FROM reach GROUP BY node HAVING count(*) > 1", recursive=True))
+@register(query(VERTICES, FIRM, _MEMBERS, "SELECT node, count(*) AS n_threads FROM reach GROUP BY node HAVING count(*) > 1", recursive=True))
 def multi_thread_members(s, d):
     return _members(s, d).groupBy("node").agg(F.count("*").alias("n_threads")).where("n_threads > 1")
 
 
-@register(query(VERTICES, SPARSE, _MEMBERS, "sets AS (SELECT node, list(thread) AS groups FROM reach GROUP BY node)", "SELECT src, dst, CASE WHEN a.groups IS NOT NULL AND b.groups IS NOT NULL THEN NOT list_has_any(a.groups, b.groups) END AS crosses, CASE WHEN len(b.groups) = 1 THEN b.groups[1] END AS to_group FROM sparse LEFT JOIN sets a ON a.node = src LEFT JOIN sets b ON b.node = dst", recursive=True))
+@register(query(VERTICES, FIRM, _MEMBERS, "sets AS (SELECT node, list(thread) AS groups FROM reach GROUP BY node)", "SELECT src, dst, CASE WHEN a.groups IS NOT NULL AND b.groups IS NOT NULL THEN NOT list_has_any(a.groups, b.groups) END AS crosses, CASE WHEN len(b.groups) = 1 THEN b.groups[1] END AS to_group FROM firm LEFT JOIN sets a ON a.node = src LEFT JOIN sets b ON b.node = dst", recursive=True))
 def thread_boundaries(s, d):
     from lattica.operators.rosters import boundaries
 
-    return boundaries(A.sparse_edges(s, d), _members(s, d).withColumnRenamed("thread", "group"))
+    return boundaries(_firm_edges(s, d), _members(s, d).withColumnRenamed("thread", "group"))
 
 
 def _levels(fan_out: int, depth: int, edges: str) -> list[str]:
@@ -336,17 +323,17 @@ def _levels(fan_out: int, depth: int, edges: str) -> list[str]:
 
 
 def _chain_sql(edges: str) -> str:
-    return query(VERTICES, SPARSE, "back AS (SELECT dst AS src, src AS dst FROM sparse)", _SEEDS, *_levels(4, 3, edges), " UNION ALL ".join(f"SELECT seed, depth, src, dst, omitted FROM h{k}" for k in (1, 2, 3)))
+    return query(VERTICES, FIRM, "back AS (SELECT dst AS src, src AS dst FROM firm)", _SEEDS, *_levels(4, 3, edges), " UNION ALL ".join(f"SELECT seed, depth, src, dst, omitted FROM h{k}" for k in (1, 2, 3)))
 
 
-@register(_chain_sql("sparse"))
+@register(_chain_sql("firm"))
 def chain_forward(s, d):
-    return C.chains(_seeds(s, d), A.sparse_edges(s, d), 3, 4)
+    return C.chains(_seeds(s, d), _firm_edges(s, d), 3, 4)
 
 
 @register(_chain_sql("back"))
 def chain_backward(s, d):
-    e = A.sparse_edges(s, d)
+    e = _firm_edges(s, d)
     return C.chains(_seeds(s, d), e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), 3, 4)
 
 
@@ -360,59 +347,35 @@ def derive_wrappers(s, d):
     return C.derive(known, fw)
 
 
-QUERIES["wrapper_fixpoint"] = derive_wrappers
-
-
-# The SQL of the eight queries named here holds only for edges of order lines with quantity over 45. These walk all firm
-# edges, for which recursive SQL is too slow on whole tables; tests hold them against brute force.
-
-
-@register(None)
-def macro_hop_edges_all(s, d):
-    return E.two_hop(_firm_edges(s, d))
-
-
-@register(None)
-def reachability_liveness_all(s, d):
-    return C.liveness(A.vertices(s, d), _seeds(s, d), _firm_edges(s, d)).drop("depth")
-
-
-@register(None)
-def thread_membership_all(s, d):
-    return _members(s, d, _firm_edges)
-
-
-@register(None)
-def thread_roster_all(s, d):
-    return _members(s, d, _firm_edges).groupBy("thread").agg(F.count("*").alias("n_members"), F.min("node").alias("first_member"))
-
-
-@register(None)
-def multi_thread_members_all(s, d):
-    return _members(s, d, _firm_edges).groupBy("node").agg(F.count("*").alias("n_threads")).where("n_threads > 1")
-
+def _rounds(n: int) -> list[str]:
+    """Unrolled rounds of the fixpoint: a name that would get two places in a round gets none."""
+    parts = ["fw AS (SELECT l_suppkey AS name, l_partkey % 100 + 1 AS callee, l_linenumber % 2 AS callee_place, min(l_linenumber) AS own_place FROM lineitem GROUP BY ALL)", "k0 AS MATERIALIZED (SELECT s_suppkey AS name, 1 AS place, 0 AS round FROM supplier WHERE s_acctbal > 9000)"]
+    for i in range(1, n + 1):
+        parts.append(f"k{i} AS MATERIALIZED (SELECT * FROM k{i - 1} UNION ALL SELECT fw.name, min(own_place), {i} FROM fw JOIN k{i - 1} k ON k.name = callee AND k.place = callee_place WHERE fw.name NOT IN (SELECT name FROM k{i - 1}) GROUP BY fw.name HAVING count(DISTINCT own_place) = 1)")
+    return parts
 
-@register(None)
-def thread_boundaries_all(s, d):
-    from lattica.operators.rosters import boundaries
 
-    return boundaries(_firm_edges(s, d), _members(s, d, _firm_edges).withColumnRenamed("thread", "group"))
+QUERIES["wrapper_fixpoint"] = derive_wrappers
+ORACLES["wrapper_fixpoint"] = query(*_rounds(8), "SELECT name, place, round FROM k8")
 
 
-@register(None)
-def chain_forward_all(s, d):
-    return C.chains(_seeds(s, d), _firm_edges(s, d), 3, 4)
+# The names under which these were known while the others kept few edges only.
+for _name in "macro_hop_edges reachability_liveness thread_membership thread_roster multi_thread_members thread_boundaries chain_forward chain_backward".split():
+    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]
 
 
-@register(None)
-def chain_backward_all(s, d):
-    return C.chains(_seeds(s, d), _firm_edges(s, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")), 3, 4)
+_DECLARED = """own AS (SELECT DISTINCT n_name AS key_name, 'write' AS role, s_suppkey AS participant FROM nation JOIN supplier ON s_nationkey = n_nationkey
+  UNION SELECT n_name, 'read', c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey),
+n AS (SELECT key_name, sum((role = 'write')::INT)::BIGINT AS w, sum((role = 'read')::INT)::BIGINT AS r FROM own GROUP BY key_name)"""
 
 
-@register(None)
-def shared_key_declared_all(s, d):
+@register(query(_DECLARED, "SELECT key_name, role, participant, CASE role WHEN 'write' THEN r ELSE w END AS n_others FROM own JOIN n USING (key_name) WHERE w > 0 AND r > 0"))
+def shared_key_declared(s, d):
     """All nations, suppliers and customers, as counts: the pairs of a nation grow with the square of its size."""
     keys = A.table(s, d, "nation").select(F.col("n_name").alias("key_name"), "n_nationkey")
     w = keys.join(A.table(s, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey")).select("key_name", F.lit("write").alias("role"), F.col("s_suppkey").alias("participant"))
     r = keys.join(A.table(s, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).select("key_name", F.lit("read").alias("role"), F.col("c_custkey").alias("participant"))
     return E.side_counts(w.unionByName(r), ("write", "read"))
+
+
+QUERIES["shared_key_declared_all"], ORACLES["shared_key_declared_all"] = shared_key_declared, ORACLES["shared_key_declared"]

@@ -93,10 +93,12 @@ CASE WHEN bool_or(l_returnflag <> 'N' AND l_linestatus <> 'F') THEN false WHEN b
 CASE WHEN bool_or(l_returnflag <> 'N' AND l_linestatus = 'F') THEN true WHEN bool_or(l_returnflag = 'N') THEN NULL ELSE false END AS some FROM lineitem GROUP BY l_orderkey""")
 def condition_3vl(s, d):
     guard = F.when(F.col("l_returnflag") != "N", F.col("l_linestatus") == "F")
-    # null guards matter here, and collect_list leaves nulls out, so each is held in a struct
-    guards = A.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(guard.alias("g"))).alias("gs"))
-    values = F.transform("gs", lambda x: x["g"])
-    return guards.select("l_orderkey", F.exists(values, lambda g: g.isNotNull()).alias("any_known"), R.all_true(values).alias("every"), R.any_true(values).alias("some"))
+    # three flags are enough, and they combine before the shuffle
+    any_of = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    flags = A.table(s, d, "lineitem").groupBy("l_orderkey").agg(any_of(guard).alias("yes"), any_of(~guard).alias("no"), any_of(guard.isNull()).alias("unknown"))
+    every = F.when(F.col("no"), False).when(~F.col("unknown"), True)
+    some = F.when(F.col("yes"), True).when(~F.col("unknown"), False)
+    return flags.select("l_orderkey", (F.col("yes") | F.col("no")).alias("any_known"), every.alias("every"), some.alias("some"))
 
 
 @register("SELECT event_id, user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS elapsed FROM events")

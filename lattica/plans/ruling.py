@@ -41,30 +41,39 @@ def dispatch_boundary(s, d):
     return _edges(s, d).join(named, "dst").select("src", "boundary").distinct()
 
 
-_BINDINGS = """passed AS (SELECT DISTINCT l_suppkey AS callee, l_linenumber % 3 AS place, l_partkey AS target FROM lineitem WHERE l_quantity > 49 AND l_partkey % 10 = 0),
-fw AS (SELECT DISTINCT l_suppkey AS callee, l_linenumber % 3 AS place, l_partkey % 100 + 1 AS to_callee, (l_linenumber + 1) % 3 AS to_place FROM lineitem WHERE l_quantity > 49 AND l_partkey % 10 = 1),
+_BINDINGS = """named AS (SELECT l_partkey AS callee, l_linenumber % 3 AS place, l_returnflag, s_nationkey AS target, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS to_callee FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+passed AS (SELECT DISTINCT callee, place, target FROM named WHERE l_returnflag <> 'R'),
+fw AS (SELECT DISTINCT callee, place, to_callee, (place + 1) % 3 AS to_place FROM named WHERE l_returnflag = 'R' AND to_callee IS NOT NULL),
 bound(callee, place, target) AS (SELECT callee, place, target FROM passed UNION SELECT to_callee, to_place, target FROM bound JOIN fw USING (callee, place))"""
 
 
 @register(query(_BINDINGS, "SELECT callee, place, target FROM bound", recursive=True))
 def callback_bindings(s, d):
-    line = A.table(s, d, "lineitem").where("l_quantity > 49").select("l_suppkey", "l_partkey", "l_linenumber")
-    passed = line.where("l_partkey % 10 = 0").select(F.col("l_suppkey").alias("callee"), (F.col("l_linenumber") % 3).alias("place"), F.col("l_partkey").alias("target"))
-    forwarded = line.where("l_partkey % 10 = 1").select(F.col("l_suppkey").alias("callee"), (F.col("l_linenumber") % 3).alias("place"), (F.col("l_partkey") % 100 + 1).alias("to"), ((F.col("l_linenumber") + 1) % 3).alias("to_place")).distinct()
+    """All order lines: a returned one forwards its place to the next line's part, the others pass their supplier's nation."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    line = A.table(s, d, "lineitem").join(A.table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("target")), "l_suppkey")
+    named = line.select(F.col("l_partkey").alias("callee"), (F.col("l_linenumber") % 3).alias("place"), "l_returnflag", "target", F.lead("l_partkey").over(order).alias("to"))
+    passed = named.where("l_returnflag <> 'R'").select("callee", "place", "target")
+    forwarded = named.where("l_returnflag = 'R' and `to` is not null").select("callee", "place", "to", ((F.col("place") + 1) % 3).alias("to_place")).distinct()
     return D.bind_callbacks(passed, forwarded)
 
 
 _ROLES = """roles AS (SELECT n_name AS topic, 'emit' AS role, s_name AS name, s_suppkey AS rowid, s_acctbal > 0 AS is_def FROM supplier JOIN nation ON n_nationkey = s_nationkey
-UNION ALL SELECT n_name, 'handle', c_mktsegment, c_custkey, c_acctbal > 9900 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 9800),
-own AS (SELECT DISTINCT topic, role, rowid FROM roles r WHERE is_def = (SELECT max(is_def::INT) = 1 FROM roles q WHERE q.topic = r.topic AND q.role = r.role AND q.name = r.name))"""
+UNION ALL SELECT n_name, 'handle', c_mktsegment, c_custkey, c_acctbal > 0 FROM customer JOIN nation ON n_nationkey = c_nationkey),
+own AS (SELECT DISTINCT topic, role, rowid FROM (SELECT *, max(is_def::INT) OVER (PARTITION BY topic, role, name) AS any_def FROM roles) WHERE is_def::INT = any_def),
+n AS (SELECT topic, sum((role = 'emit')::INT)::BIGINT AS e, sum((role = 'handle')::INT)::BIGINT AS h FROM own GROUP BY topic)"""
 
 
-@register(query(_ROLES, "SELECT e.topic, e.rowid AS emitter, h.rowid AS handler FROM own e JOIN own h ON e.topic = h.topic AND e.role = 'emit' AND h.role = 'handle'"))
+@register(query(_ROLES, "SELECT topic AS key_name, role, rowid AS participant, CASE role WHEN 'emit' THEN h ELSE e END AS n_others FROM own JOIN n USING (topic) WHERE e > 0 AND h > 0"))
 def event_edges(s, d):
+    """All suppliers and customers, with the number of those each meets: the pairs of a topic grow with its square."""
     n = A.table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("topic"))
     emit = A.table(s, d, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select("topic", F.lit("emit").alias("role"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("rowid"), (F.col("s_acctbal") > 0).alias("is_def"))
-    handle = A.table(s, d, "customer").where("c_acctbal > 9800").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select("topic", F.lit("handle").alias("role"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("rowid"), (F.col("c_acctbal") > 9900).alias("is_def"))
-    return D.topic_edges(emit.unionByName(handle))
+    handle = A.table(s, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select("topic", F.lit("handle").alias("role"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("rowid"), (F.col("c_acctbal") > 0).alias("is_def"))
+    own = D.topic_roles(emit.unionByName(handle)).select(F.col("topic").alias("key_name"), "role", F.col("rowid").alias("participant"))
+    return E.side_counts(own, ("emit", "handle"))
 
 
 @register(None)

@@ -22,15 +22,19 @@ def register(oracle: str | None):
 
 
 _CORPUS = """corpus AS (SELECT CASE kind WHEN 'function' THEN 0 WHEN 'variable' THEN 1 ELSE 2 END AS tier, name, definition AS brief FROM vertices
-UNION ALL SELECT 3, s_name, 'supplier of nation ' || s_nationkey FROM supplier)"""
-_TEXT = "steel brand#1"
+UNION ALL SELECT 3, s_name, 'supplier of nation ' || s_nationkey FROM supplier
+UNION ALL SELECT 4, n_name, 'class of region ' || n_regionkey FROM nation UNION ALL SELECT 5, c_name, 'small account of brand#1' || c_nationkey || ' in ' || c_mktsegment FROM customer WHERE c_acctbal < 0)"""
+_TEXT = "small brand#1"
 
 
 def _corpus(s, d):
     tier = F.when(F.col("kind") == "function", 0).when(F.col("kind") == "variable", 1).otherwise(2)
     own = A.vertices(s, d).select(tier.alias("tier"), "name", F.col("definition").alias("brief"))
     other = A.table(s, d, "supplier").select(F.lit(3).alias("tier"), F.col("s_name").alias("name"), F.concat(F.lit("supplier of nation "), F.col("s_nationkey").cast("string")).alias("brief"))
-    return own.unionByName(other)
+    classes = A.table(s, d, "nation").select(F.lit(4).alias("tier"), F.col("n_name").alias("name"), F.concat(F.lit("class of region "), F.col("n_regionkey").cast("string")).alias("brief"))
+    account = F.concat(F.lit("small account of brand#1"), F.col("c_nationkey").cast("string"), F.lit(" in "), F.col("c_mktsegment"))
+    accounts = A.table(s, d, "customer").where("c_acctbal < 0").select(F.lit(5).alias("tier"), F.col("c_name").alias("name"), account.alias("brief"))
+    return own.unionByName(other).unionByName(classes).unionByName(accounts)
 
 
 _EITHER = " AND ".join(f"(contains(lower(name), '{t}') OR contains(lower(brief), '{t}'))" for t in _TEXT.split())
@@ -42,7 +46,7 @@ def search_ranked(s, d):
     return X.search(_corpus(s, d), _TEXT)
 
 
-@register(query(VERTICES, _CORPUS, "SELECT token, (SELECT count(DISTINCT name) FROM corpus WHERE contains(lower(name), token) OR contains(lower(brief), token)) AS n_names FROM (VALUES ('steel'), ('brand#1')) t(token)"))
+@register(query(VERTICES, _CORPUS, "SELECT token, (SELECT count(DISTINCT name) FROM corpus WHERE contains(lower(name), token) OR contains(lower(brief), token)) AS n_names FROM (VALUES ('small'), ('brand#1')) t(token)"))
 def search_token_hits(s, d):
     return X.token_hits(_corpus(s, d), _TEXT)
 
@@ -103,14 +107,14 @@ def extract_tags(s, d):
 
 
 def _lines(df, id_col):
-    """(id, line): the distinct lines of texts, trimmed, of at least 40 characters."""
+    """(id, line): the distinct lines of texts, trimmed, that are not empty."""
     line = F.explode(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))
-    return df.select(id_col, line.alias("line")).where(F.length("line") >= 40).distinct()
+    return df.select(id_col, line.alias("line")).where("line <> ''").distinct()
 
 
 _REQ = """lines AS (SELECT DISTINCT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents),
 items AS (SELECT DISTINCT item_id, trim(unnest(string_split(text, chr(10)))) AS line FROM benchmark),
-req AS (SELECT DISTINCT item_id, doc_id FROM items JOIN lines USING (line) WHERE length(line) >= 40)"""
+req AS (SELECT DISTINCT item_id, doc_id FROM items JOIN lines USING (line) WHERE line <> '')"""
 
 
 def _req(s, d):

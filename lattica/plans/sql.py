@@ -1,7 +1,7 @@
 """Common table expressions of the oracles: the layers of ``lattica.sources.adapters`` in SQL."""
 
 VERTICES = """vertices AS (
-  SELECT p_partkey AS rowid, p_name AS name, p_type || ' ' || p_brand || '::' || p_name AS definition,
+  SELECT p_partkey AS rowid, replace(p_name, ' ', '_') AS name, p_type || ' ' || p_brand || '::' || replace(p_name, ' ', '_') AS definition,
     CASE WHEN p_size <= 40 THEN 'function' WHEN p_size <= 45 THEN 'variable' ELSE 'macro' END AS kind,
     p_brand AS file, p_size % 2 = 0 AS is_def, p_size::BIGINT AS lines FROM part)"""
 RAW = """led AS (
@@ -13,8 +13,9 @@ raw AS (
 EDGES = RAW + """,
 edges AS (
   SELECT src, dst, source, arg_min(grade, row(s1, s2, s3, s4)) AS grade FROM raw GROUP BY src, dst, source)"""
-SPARSE = RAW + """,
-sparse AS (SELECT DISTINCT src, dst FROM raw WHERE weight > 45 AND src <> dst)"""
+#: All deduplicated edges that are not fuzzy.
+FIRM = EDGES + """,
+firm AS (SELECT DISTINCT src, dst FROM edges WHERE grade <> 'fuzzy' AND src <> dst)"""
 ACCESSES = """accesses AS (
   SELECT user_id AS participant, json_extract_string(props, '$.k') || '/' || ((day(ts) - 1) // 7)::VARCHAR AS key_name,
     CASE WHEN event_type IN ('purchase', 'signup') THEN 'write' ELSE 'read' END AS role,

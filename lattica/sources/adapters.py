@@ -20,10 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rowid, name, definition, kind, file, is_def, lines): parts; names repeat, definitions are qualified by brand."""
     p = table(spark, sf_dir, "part")
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
     return p.select(
         F.col("p_partkey").alias("rowid"),
-        F.col("p_name").alias("name"),
-        F.concat_ws("", "p_type", F.lit(" "), "p_brand", F.lit("::"), "p_name").alias("definition"),
+        name.alias("name"),
+        F.concat_ws("", "p_type", F.lit(" "), "p_brand", F.lit("::"), name).alias("definition"),
         F.when(F.col("p_size") <= 40, "function").when(F.col("p_size") <= 45, "variable").otherwise("macro").alias("kind"),
         F.col("p_brand").alias("file"),
         (F.col("p_size") % 2 == 0).alias("is_def"),
@@ -45,11 +46,6 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): distinct edges of large order lines, for closures."""
-    return raw_edges(spark, sf_dir).where("weight > 45 and src <> dst").select("src", "dst").distinct()
-
-
 def key_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(participant, key_name, role, mode): users write (purchase, signup) and read (view, click) keys named by k and week."""
     e = table(spark, sf_dir, "events").where(F.col("event_type") != "error")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def swap_table(rows: DataFrame, path: str) -> None:
-    """Write a new table beside ``path``, then rename it into place; readers see the old rows or the new ones."""
+    """Write a new table beside ``path``, then rename it into place.
+
+    No reader sees half a table, but between two renames there is none at ``path``; use ``publish_table`` where readers run
+    meanwhile.
+    """
     spark = rows.sparkSession
     import uuid
 
@@ -23,6 +27,51 @@ def swap_table(rows: DataFrame, path: str) -> None:
         fs.delete(at(old), True)
 
 
+def publish_table(rows: DataFrame, path: str) -> str:
+    """Write a new version below ``path`` and make it the current one; returns the version's path.
+
+    The name of the current version is in one small file, which is replaced by one rename: readers of ``current_table`` see the
+    old rows or the new ones, also after a crash at any point. Older versions stay for readers that have begun.
+    """
+    import uuid
+
+    spark = rows.sparkSession
+    name = f"version-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{name}")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    staged = at(f"{path}/_next-{name}")
+    out = staged.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(staged)
+    out.write(bytearray(name.encode()))
+    out.close()
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    context.rename(staged, at(f"{path}/_current"), options)
+    return f"{path}/{name}"
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The path of the current version, if any has been published."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    name = bytes(stream.readNBytes(200)).decode()
+    stream.close()
+    return f"{path}/{name}"
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the version that is current now."""
+    found = current_version(spark, path)
+    if found is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(found)
+
+
 def upsert(before: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``changes`` and those of ``before`` whose key is not among them."""
     return before.join(changes.select(*key), key, "left_anti").unionByName(changes)

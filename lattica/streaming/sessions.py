@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lattica.functions.storage import scratch_path
-
 
 def windowed_counts(events: DataFrame, width: str, late: str) -> DataFrame:
     """(window, event_type, n, total) of tumbling windows; rows later than ``late`` behind the watermark are left out."""
@@ -38,7 +36,11 @@ def pressure_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def upsert_stream(changes: DataFrame, path: str, key: list[str], seq: str):
-    """A running query that keeps the last row of each key in the table at ``path``, one version a micro-batch."""
+    """A running query that keeps the last row of each key in the table at ``path``, one version a micro-batch.
+
+    Its checkpoint is beside the table, so a restart goes on where it stopped. Each micro-batch writes the whole table; for
+    large ones use ``delta_stream``.
+    """
     from lattica.operators.edges import last_writer
     from lattica.sources.sinks import swap_table
 
@@ -49,4 +51,25 @@ def upsert_stream(changes: DataFrame, path: str, key: list[str], seq: str):
         rows = spark.read.schema(batch.schema).parquet(path).unionByName(batch) if there else batch
         swap_table(last_writer(rows, key, seq).select(batch.columns), path)
 
-    return changes.writeStream.foreachBatch(each).option("checkpointLocation", scratch_path(changes.sparkSession, "upsert")).trigger(availableNow=True).start()
+    return changes.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}.checkpoint").trigger(availableNow=True).start()
+
+
+def delta_stream(changes: DataFrame, path: str, key: list[str], seq: str):
+    """A running query that writes each micro-batch's last row of each key to a folder of its own below ``path``.
+
+    A micro-batch that is run again overwrites its folder, so each change counts once; no batch reads or writes what others
+    wrote. ``read_deltas`` gives the last rows of all.
+    """
+    from lattica.operators.edges import last_writer
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        last_writer(batch, key, seq).select(batch.columns).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return changes.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}.checkpoint").trigger(availableNow=True).start()
+
+
+def read_deltas(spark: SparkSession, path: str, key: list[str], seq: str) -> DataFrame:
+    """The last row of each key over all micro-batches that ``delta_stream`` has written."""
+    from lattica.operators.edges import last_writer
+
+    return last_writer(spark.read.parquet(path).drop("epoch"), key, seq)

@@ -72,3 +72,14 @@ def test_key_pairs_suppress_products(spark):
     pairs = edges.shared_key_pairs(accesses)
     assert pairs.count() == 64 and {r.key_name for r in pairs.collect()} == {"small"}
     assert [(r.key_name, r.writers, r.readers) for r in edges.shared_key_pairs(accesses, suppressed=True).collect()] == [("big", 5, 13)]
+
+
+def test_merkle_digests_tell_any_change(spark):
+    from lattica.operators.incremental import merkle_digest
+
+    rows = [("a", f"p{i}", f"h{i}") for i in range(50)] + [("b", "p", "h")]
+    made = lambda some: {r.g: r.digest for r in merkle_digest(spark.createDataFrame(some, "g string, p string, h string"), "g", "p", "h", bucket=8).collect()}
+    base = made(rows)
+    assert made(rows[::-1]) == base
+    changed = made([("a", "p7", "other") if r[:2] == ("a", "p7") else r for r in rows])
+    assert changed["a"] != base["a"] and changed["b"] == base["b"]

@@ -48,3 +48,13 @@ def test_sinks(spark, tmp_path):
     wired = rows.withColumn("body", sinks.wire_json(["i", "a", "b"]))
     assert [r.body for r in wired.orderBy("i").collect()][:2] == ['{"i":1,"a":"x"}', '{"i":2,"b":"y"}']
     assert [(r.i, r.left_out) for r in sinks.within_bytes(wired, "g", ["i"], "body", 40).orderBy("i").collect()] == [(1, 1), (2, 1)]
+
+
+def test_published_versions(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    assert sinks.current_version(spark, path) is None
+    first = sinks.publish_table(spark.range(3), path)
+    old = sinks.current_table(spark, path)
+    assert old.count() == 3 and sinks.current_version(spark, path) == first
+    second = sinks.publish_table(spark.range(5), path)
+    assert sinks.current_table(spark, path).count() == 5 and old.count() == 3 and second != first

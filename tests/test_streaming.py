@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattica.plans.reporting import pressure_counter
-from lattica.streaming.sessions import pressure_stream, upsert_stream, windowed_counts
+from lattica.streaming.sessions import delta_stream, pressure_stream, read_deltas, upsert_stream, windowed_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +42,14 @@ def test_upserts_keep_the_last_row(spark, tmp_path):
     table = spark.read.parquet(f"{SF}/events.parquet")
     got = {r.user_id: r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {r.user_id: r.m for r in table.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
+
+
+def test_deltas_give_the_last_row_and_restarts_add_nothing(spark, tmp_path):
+    out = f"file://{tmp_path}/deltas"
+    changes = stream(spark, tmp_path).select("user_id", "event_id", "value")
+    for _ in range(2):
+        delta_stream(changes, out, ["user_id"], "event_id").awaitTermination()
+    table = spark.read.parquet(f"{SF}/events.parquet")
+    got = [(r.user_id, r.event_id) for r in read_deltas(spark, out, ["user_id"], "event_id").collect()]
+    assert len(got) == len(set(got)) and dict(got) == {r.user_id: r.m for r in table.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
+    assert len([p for p in (tmp_path / "deltas").iterdir() if p.name.startswith("epoch=")]) == 3
