@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.storage import materialize
@@ -35,7 +35,7 @@ BY_CHANCE, LEAST_ODDS = 0.01, 2.5
 #: Features kept at most (the strongest); bounds what is sent to executors.
 MOST_FEATURES = 20_000
 #: Documents of the field's fit, half of them toxic, and characters of each half, at most; its rounds, rate and ridge.
-FIT_DOCS, FIT_CHARS, ROUNDS, RATE, RIDGE = 2_000, 2_500_000, 40, 2.0, 1e-3
+FIT_DOCS, FIT_CHARS, ROUNDS, RATE, RIDGE = 2_000, 1_500_000, 40, 2.0, 1e-3
 #: How often token labels are made anew, evenly over the later half of the rounds.
 RELABELS = 4
 #: Added to a document's evidence before its logarithm is taken.
@@ -275,12 +275,17 @@ def train(docs: DataFrame, labels: DataFrame, keep_out: bool = True, bound: int
     if not features:
         return ToxicField()
     share = sample.agg(F.avg("toxic")).first()[0]
-    # the sample is bounded, so its ids and lengths may be ordered in one task for each label
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.xxhash64("text")), "doc_id")
-    sized = sample.where("text <> ''").select("toxic", "doc_id", F.xxhash64("text").alias("hash"), F.row_number().over(order).alias("place"), F.sum(F.length("text")).over(order).alias("used"))
-    chosen = sized.where((F.col("place") <= FIT_DOCS // 2) & (F.col("used") <= FIT_CHARS)).select("toxic", "doc_id", "hash").distinct()
-    keyed = sample.withColumn("hash", F.xxhash64("text")).dropDuplicates(["toxic", "doc_id", "hash"])
-    rows = keyed.join(F.broadcast(chosen), ["toxic", "doc_id", "hash"], "left_semi").orderBy("toxic", "hash", "doc_id").collect()  # FIT_CHARS of each label at most
+    keyed = sample.where("text <> ''").withColumn("hash", F.xxhash64("text")).dropDuplicates(["toxic", "doc_id", "hash"])
+    # ids and lengths of the sample, SAMPLE_DOCS of them at most
+    sizes = keyed.select("toxic", "doc_id", "hash", F.length("text").alias("chars"), F.xxhash64("doc_id", "hash").alias("place")).collect()
+    chosen, docs_of, chars_of = [], [0, 0], [0, 0]
+    for r in sorted(sizes, key=lambda r: (r.place, r.doc_id, r.hash)):
+        if docs_of[r.toxic] < FIT_DOCS // 2 and chars_of[r.toxic] + r.chars <= FIT_CHARS:
+            docs_of[r.toxic] += 1
+            chars_of[r.toxic] += r.chars
+            chosen.append((r.toxic, r.doc_id, r.hash))
+    picked = docs.sparkSession.createDataFrame(chosen, "toxic int, doc_id long, hash long")
+    rows = keyed.join(F.broadcast(picked), ["toxic", "doc_id", "hash"], "left_semi").orderBy("toxic", "hash", "doc_id").collect()  # FIT_CHARS of each label at most
     return fit_field([r.text for r in rows], [r.toxic for r in rows], features, min(max(share, 1e-3), 1 - 1e-3))
 
 
