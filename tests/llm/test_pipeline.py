@@ -9,7 +9,7 @@ import numpy as np
 import corpus_pipeline as P
 from lattica.llm.toxicity import Scorer, train
 from tests.llm.test_decontaminate import contained
-from tests.llm.test_line_dedup import brute as recurring_records
+from tests.llm.test_line_dedup import brute as texts_left
 from tests.llm.test_simhash import classes, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -32,8 +32,8 @@ def test_stages_against_plain_versions(spark):
     assert set(rows[1]) == {i for i, r in rows[0].items() if scorer.score([r.text])[0][0] < 0.3}
     assert all(rows[1][i] == rows[0][i] for i in rows[1])
 
-    gone = recurring_records([(i, r.text) for i, r in rows[1].items()])
-    assert set(rows[2]) == set(rows[1]) and {i for i in rows[2] if rows[2][i].text != rows[1][i].text} == {i for i in gone if gone[i]}
+    left = texts_left([(i, r.text) for i, r in rows[1].items()])
+    assert {i: r.text for i, r in rows[2].items()} == left
 
     fps = {i: plain_fingerprint(r.text) for i, r in rows[2].items()}
     by, least = classes(fps.values()), defaultdict(lambda: 1 << 60)
