@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lattica.plans import answering, describing, linking, reporting, ruling, searching
+from lattica.plans import answering, describing, linking, reporting, ruling, scanning, searching
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (linking, describing, searching, reporting, ruling, answering):
+for _part in (linking, describing, searching, reporting, ruling, answering, scanning):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
