@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.storage import materialize
+
 #: Writer and reader pairs of a key beyond which it joins nothing.
 KEY_PRODUCT = 64
+#: Pairs through one middle node that one task makes; a node with more of them is dealt to several.
+HUB_PAIRS = 1_000_000
 
 
 def first_writer(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -27,10 +31,19 @@ def last_writer(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
     return kept.select(*key, F.col(f"last.{seq}").alias(seq), *[F.col(f"last.{c}").alias(c) for c in rest])
 
 
-def two_hop(edges: DataFrame) -> DataFrame:
-    """(src, dst, via, n_paths): pairs two edges apart, no pair of a node with itself, with the smallest middle node."""
-    out = edges.select(F.col("src").alias("via"), "dst")
-    both = edges.select("src", F.col("dst").alias("via")).join(out, "via").where("src <> dst")
+def two_hop(edges: DataFrame, hub_pairs: int = HUB_PAIRS) -> DataFrame:
+    """(src, dst, via, n_paths): pairs two edges apart, no pair of a node with itself, with the smallest middle node.
+
+    Edges into a hub are dealt over as many shares as its pairs ask for, and its edges out are copied to each share.
+    """
+    edges = materialize(edges.select("src", "dst"), "hops")
+    into, out = edges.select("src", F.col("dst").alias("via")), edges.select(F.col("src").alias("via"), "dst")
+    pairs = into.groupBy("via").agg(F.count("*").alias("n_in")).join(out.groupBy("via").agg(F.count("*").alias("n_out")), "via")
+    hubs = pairs.where(F.col("n_in") * F.col("n_out") > hub_pairs).select("via", F.least("n_in", F.ceil(F.col("n_in") * F.col("n_out") / hub_pairs)).cast("int").alias("shares"))
+    shares = F.coalesce("shares", F.lit(1))
+    dealt = into.join(hubs, "via", "left").select("src", "via", F.pmod(F.xxhash64("src"), shares).cast("int").alias("share"))
+    copied = out.join(hubs, "via", "left").select("via", "dst", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    both = dealt.join(copied, ["via", "share"]).where("src <> dst")
     return both.groupBy("src", "dst").agg(F.min("via").alias("via"), F.count("*").alias("n_paths"))
 
 
@@ -63,12 +76,17 @@ def dominated(edges: DataFrame, identity: DataFrame, overrides: DataFrame) -> Da
     qualified); ``overrides``: (child, parent), both directions count.
     """
     named = edges.join(identity.select(F.col("rowid").alias("dst"), "name", "qualified"), "dst")
-    fuzzy = named.where("grade = 'fuzzy'").select("src", "dst", "source", "name", "qualified")
-    firm = named.where("grade <> 'fuzzy'").select("src", "name", F.col("dst").alias("anchor"), F.col("qualified").alias("anchor_qualified")).distinct()
-    pairs = overrides.select(F.col("child").alias("dst"), F.col("parent").alias("anchor")).unionByName(overrides.select(F.col("parent").alias("dst"), F.col("child").alias("anchor"))).distinct().withColumn("overriding", F.lit(1))
-    joined = fuzzy.join(firm, ["src", "name"], "left").join(pairs, ["dst", "anchor"], "left")
-    grouped = joined.groupBy("src", "dst", "source").agg(F.count("anchor").alias("anchors"), F.max((F.col("qualified") == F.col("anchor_qualified")).cast("int")).alias("same"), F.max("overriding").alias("over"))
-    verdict = F.when(F.col("anchors") == 0, "unanchored").when(F.col("same") == 1, "same_identity").when(F.col("over") == 1, "override").otherwise("dominated")
+    named = materialize(named.select("src", "dst", "source", "grade", "name", "qualified"), "named-edges")
+    fuzzy = named.where("grade = 'fuzzy'").select("src", "dst", "source", "name", "qualified").distinct()
+    firm = named.where("grade <> 'fuzzy'").select("src", "name", F.col("dst").alias("anchor"), "qualified").distinct()
+    # three tests for existence, so that many fuzzy and many firm edges of one source and name never meet in pairs
+    anchored = firm.select("src", "name").distinct().withColumn("anchored", F.lit(True))
+    alike = firm.select("src", "name", "qualified").distinct().withColumn("same", F.lit(True))
+    pairs = overrides.select(F.col("child").alias("dst"), F.col("parent").alias("anchor")).unionByName(overrides.select(F.col("parent").alias("dst"), F.col("child").alias("anchor"))).distinct()
+    over = fuzzy.join(pairs, "dst").join(firm.select("src", "name", "anchor"), ["src", "name", "anchor"], "left_semi").select("src", "name", "dst").distinct().withColumn("over", F.lit(True))
+    joined = fuzzy.join(anchored, ["src", "name"], "left").join(alike, ["src", "name", "qualified"], "left").join(over, ["src", "name", "dst"], "left")
+    grouped = joined.groupBy("src", "dst", "source").agg(*[F.max(c).alias(c) for c in ("anchored", "same", "over")])
+    verdict = F.when(F.col("anchored").isNull(), "unanchored").when(F.col("same"), "same_identity").when(F.col("over"), "override").otherwise("dominated")
     return grouped.select("src", "dst", "source", verdict.alias("verdict"))
 
 

@@ -1,7 +1,8 @@
 """Points and intervals: containment, overlap, nesting, attribution to what came before.
 
-Joins go by (holder, bucket of the axis), an equi-join, and the exact range is tested on what meets. A long interval is
-filed under each bucket it touches; one that is open at its end, up to the last bucket that has points.
+Joins go by (holder, level, bucket of the axis), an equi-join, and the exact range is tested on what meets. Buckets are twice
+as wide at each level, and an interval is filed at the first level where it touches at most two, however long it is; one that
+is open at its end reaches to the last point of its holder. A point is looked up at the levels that its holder has.
 """
 
 from __future__ import annotations
@@ -10,19 +11,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _bucket(at: Column, width: int, level: Column) -> Column:
+    return F.floor(at / (F.lit(width) * F.pow(F.lit(2.0), level)))
+
+
 def _filed(spans: DataFrame, last: DataFrame, width: int) -> DataFrame:
-    """Spans under each bucket from their start to their end, or to the last bucket of their holder's points."""
-    ends = spans.join(last, "holder")
-    end = F.least(F.coalesce(F.col("hi"), F.col("last")), F.col("last"))
-    buckets = F.sequence(F.floor(F.col("lo") / width), F.greatest(F.floor(end / width), F.floor(F.col("lo") / width)))
-    return ends.withColumn("bucket", F.explode(buckets)).drop("last")
+    """Spans with a level and their one or two buckets there, up to their end or the last of their holder's points."""
+    ends = spans.join(last, "holder").withColumn("end", F.greatest(F.least(F.coalesce("hi", "last"), F.col("last")), F.col("lo")))
+    length = F.greatest((F.col("end") - F.col("lo")) / width, F.lit(1.0))
+    leveled = ends.withColumn("level", F.ceil(F.log2(length)).cast("int"))
+    touched = F.sequence(_bucket(F.col("lo"), width, F.col("level")), _bucket(F.col("end"), width, F.col("level")))
+    return leveled.withColumn("bucket", F.explode(touched)).drop("last", "end")
 
 
 def contained(points: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     """(point, holder, at, section, lo, hi): each point with each span of its holder that contains it, ends included."""
     last = points.groupBy("holder").agg(F.max("at").alias("last"))
     filed = _filed(spans, last, width)
-    return points.withColumn("bucket", F.floor(F.col("at") / width)).join(filed, ["holder", "bucket"]).where("at >= lo and (hi is null or at <= hi)").drop("bucket")
+    levels = filed.groupBy("holder").agg(F.collect_set("level").alias("levels"))  # at most the logarithm of the longest span
+    looked = points.join(levels, "holder").withColumn("level", F.explode("levels")).drop("levels")
+    met = looked.withColumn("bucket", _bucket(F.col("at"), width, F.col("level"))).join(filed, ["holder", "level", "bucket"])
+    return met.where("at >= lo and (hi is null or at <= hi)").drop("level", "bucket")
 
 
 def enclosing(points: DataFrame, spans: DataFrame, width: int) -> DataFrame:

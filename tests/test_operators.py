@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -66,6 +67,43 @@ def test_containment_against_all_pairs(spark):
     assert {r.point for r in intervals.uncovered(p, q, 50).collect()} == {a for a, *_ in points} - inside
 
 
+def test_long_spans_have_few_copies(spark):
+    spans = spark.createDataFrame([(1, 1, 3, 9_000_000), (2, 1, 0, None), (3, 1, 5, 2), (4, 1, None, 7)], "section long, holder int, lo long, hi long")
+    points = spark.createDataFrame([(i, 1, at) for i, at in enumerate((0, 3, 5, 8_999_999, 9_000_000, 9_000_001))], "point long, holder int, at long")
+    last = points.groupBy("holder").agg({"at": "max"}).toDF("holder", "last")
+    assert intervals._filed(spans, last, 1).count() <= 6
+    assert {(r.point, r.section) for r in intervals.contained(points, spans, 1).collect()} == {(p, 1) for p in range(1, 5)} | {(p, 2) for p in range(6)}
+
+
+def test_two_hops_through_hubs(spark):
+    rng = random.Random(4)
+    some = [(rng.randrange(30), 99) for _ in range(60)] + [(99, rng.randrange(30)) for _ in range(60)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(80)]
+    paths = Counter((a, d) for a, b in some for c, d in some if b == c and a != d)
+    for hub_pairs in (1, 50, 10_000):
+        got = {(r.src, r.dst): r.n_paths for r in edges.two_hop(spark.createDataFrame(some, "src long, dst long"), hub_pairs).collect()}
+        assert got == paths
+
+
+def test_dominated_against_pairs(spark):
+    rng = random.Random(6)
+    names = {i: (f"n{i % 4}", rng.choice(["q", f"q{i}", None])) for i in range(24)}
+    some = {(rng.randrange(9), rng.randrange(24), rng.choice(["x", "y"]), rng.choice(["fuzzy", "firm"])) for _ in range(160)}
+    over = [(rng.randrange(24), rng.randrange(24)) for _ in range(12)]
+    want = {}
+    for src, dst, source, grade in some:
+        if grade == "fuzzy":
+            anchors = [d for s, d, _, g in some if s == src and g == "firm" and names[d][0] == names[dst][0]]
+            same = any(names[d][1] is not None and names[d][1] == names[dst][1] for d in anchors)
+            crossing = any((d, dst) in over or (dst, d) in over for d in anchors)
+            want[src, dst, source] = "unanchored" if not anchors else "same_identity" if same else "override" if crossing else "dominated"
+    made = edges.dominated(
+        spark.createDataFrame(sorted(some), "src long, dst long, source string, grade string"),
+        spark.createDataFrame([(i, n, q) for i, (n, q) in names.items()], "rowid long, name string, qualified string"),
+        spark.createDataFrame(over, "child long, parent long"),
+    )
+    assert {(r.src, r.dst, r.source): r.verdict for r in made.collect()} == want and len(set(want.values())) == 4
+
+
 def test_key_pairs_suppress_products(spark):
     rows = [("small", "write", i) for i in range(4)] + [("small", "read", i) for i in range(16)] + [("big", "write", i) for i in range(5)] + [("big", "read", i) for i in range(13)]
     accesses = spark.createDataFrame(rows * 2, "key_name string, role string, participant int")
