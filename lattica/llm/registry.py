@@ -10,6 +10,8 @@ from lattica.llm.media import op5_media
 from lattica.llm.pii import op4_pii
 from lattica.llm.secrets import op10_secrets
 from lattica.llm.simhash import op3_simhash
+from lattica.llm.sketches import SQL as SKETCH_SQL
+from lattica.llm.sketches import op12_sketch_search
 from lattica.llm.toxicity import op2_toxicity
 from lattica.llm.wordpieces import op7_sentencepiece
 
@@ -24,5 +26,6 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_idstream": op9_idstream,
     "op10_secrets": op10_secrets,
+    "op12_sketch_search": op12_sketch_search,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_sketch_search": SKETCH_SQL}
