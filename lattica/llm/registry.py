@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lattica.llm.alignment import op11_alignment
 from lattica.llm.decontaminate import op1_decontaminate
 from lattica.llm.html_text import op8_html_text
 from lattica.llm.idstream import op9_idstream
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_idstream": op9_idstream,
     "op10_secrets": op10_secrets,
+    "op11_alignment": op11_alignment,
     "op12_sketch_search": op12_sketch_search,
 }
 ORACLES: dict[str, str] = {"op12_sketch_search": SKETCH_SQL}
