@@ -9,6 +9,7 @@ from lattica.llm.idstream import op9_idstream
 from lattica.llm.line_dedup import op6_line_dedup
 from lattica.llm.media import op5_media
 from lattica.llm.pii import op4_pii
+from lattica.llm.repeats import op13_repeats
 from lattica.llm.secrets import op10_secrets
 from lattica.llm.simhash import op3_simhash
 from lattica.llm.sketches import SQL as SKETCH_SQL
@@ -29,5 +30,6 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_alignment": op11_alignment,
     "op12_sketch_search": op12_sketch_search,
+    "op13_repeats": op13_repeats,
 }
 ORACLES: dict[str, str] = {"op12_sketch_search": SKETCH_SQL}
