@@ -12,6 +12,7 @@ A window is a string of ``LENGTH`` bytes of a text. Windows that occur twice are
    stand for two or more occurrences is a repeat.
 3. Spans. Repeats go back to the texts that hold their segments, where covered bytes are removed.
 
+Joins merge sorted sides: what compresses well on disk may be large, so no side is broadcast for the size of its files.
 Distinct texts and distinct segments are kept once with the number of their occurrences, so groups of copies stay small. A key
 with over ``HOT_BYTES`` of distinct segments, as at the ends of a passage that many texts continue in their own way, is dealt
 anew: windows whose own hash occurs once are dropped, the others get their hash as key.
@@ -111,15 +112,25 @@ def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
     for k in range(have):
         word = word << np.uint64(9) | padded[k : k + n]
     order = np.argsort(word)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.append(0, word[order[1:]] != word[order[:-1]]))
-    while have < length and rank[order[-1]] < n - 1:
+    word = word[order]
+    rank = np.empty(n, np.int64)  # the first row of those that are equal so far
+    first = np.append(True, word[1:] != word[:-1])
+    rank[order] = np.flatnonzero(first)[np.cumsum(first) - 1]
+    rows = np.arange(n)
+    while have < length:
+        alone = first & np.append(first[1:], True)
+        rows = rows[~alone]
+        if not len(rows):
+            break
         ahead = min(have, length - have)
-        following = np.zeros(n, np.int64)
-        following[: max(0, n - ahead)] = rank[ahead:]
-        word = (rank.astype(np.uint64) << np.uint64(32)) | following.astype(np.uint64)
-        order = np.argsort(word)
-        rank[order] = np.cumsum(np.append(0, word[order[1:]] != word[order[:-1]]))
+        places = order[rows]
+        # what is not alone ends before the last symbol, so there is a suffix ahead
+        word = rank[places] << 32 | rank[places + ahead]
+        by = np.argsort(word)
+        word, places = word[by], places[by]
+        order[rows] = places
+        first = np.append(True, word[1:] != word[:-1])
+        rank[places] = rows[np.flatnonzero(first)[np.cumsum(first) - 1]]
         have += ahead
     return order
 
@@ -136,6 +147,7 @@ def prefix_edges(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray
     by_symbol = np.argsort(before, kind="stable")
     back = np.empty(n, np.int64)  # where the suffix that is longer by one symbol stands
     back[by_symbol] = np.arange(n)
+    every = np.arange(n)
     is_set = np.zeros(n + 1, bool)
     is_set[[0, n]] = True
     low, high = np.array([0]), np.array([n - 1])
@@ -149,12 +161,18 @@ def prefix_edges(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray
         owner = np.repeat(np.arange(len(low)), size)
         rows = np.arange(len(owner)) + np.repeat(low - (np.cumsum(size) - size), size)
         # within an interval, rows of one symbol go to neighbouring places
-        place = np.sort(owner << 32 | back[rows])
-        owner, place = place >> 32, place & 0xFFFFFFFF
+        if 8 * len(rows) > n:
+            of_row = np.full(n, -1, np.int32)
+            of_row[rows] = owner
+            owner, place = of_row[by_symbol], every
+        else:
+            place = np.sort(owner << 32 | back[rows])
+            owner, place = place >> 32, place & 0xFFFFFFFF
         symbol = first[place]
         new = np.append(True, (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])) if len(place) else np.zeros(0, bool)
-        low = np.concatenate([single, place[new]])
-        high = np.concatenate([single, place[np.append(new[1:], True)] if len(place) else place])
+        ends = np.append(new[1:], True) if len(place) else new
+        low = np.concatenate([single, place[new & (owner >= 0)]])
+        high = np.concatenate([single, place[ends & (owner >= 0)]])
         fresh = ~is_set[high + 1]
         low, high = low[fresh], high[fresh]
         is_set[high + 1] = True
@@ -303,6 +321,18 @@ def _expanded(strings: DataFrame, length: int, block: int) -> DataFrame:
     return strings.select("key", "digest", "string", "n").mapInArrow(run, "digest binary, low long, high long")
 
 
+def _runs(placed: DataFrame, length: int) -> DataFrame:
+    """(digest, low, high): maximal runs of the bytes that windows at a string's ``places`` cover; a string has few places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [covered(np.sort(np.array(x, np.int64)), length) for x in batch.column(1).to_pylist()]
+            again = np.repeat(np.arange(len(runs)), [len(low) for low, _ in runs])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(again, pa.int64())), *(pa.array(np.concatenate([x[k] for x in runs]), pa.int64()) for k in range(2))], ["digest", "low", "high"])
+
+    return placed.mapInArrow(run, "digest binary, low long, high long")
+
+
 def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_bytes: int = HOT_BYTES, block: int = BLOCK) -> DataFrame:
     """(dk, low, high): runs of bytes of the distinct texts that repeated strings of ``length`` bytes cover; runs may touch.
 
@@ -313,8 +343,8 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_by
     listed = marked.select("dk", "copies", each).select("dk", "copies", F.col("x.keys").alias("key"), F.col("x.starts").alias("start"), F.col("x.sizes").alias("size"), F.col("x.twins").alias("twin"))
     # a segment may repeat within itself where two of its anchors have the key's hash
     twice = materialize(listed.groupBy("key").agg(F.sum("copies").alias("n"), F.max("twin").alias("twin")).where("n > 1 or twin").select("key"), "repeats-keys")
-    live = listed.join(twice, "key").groupBy("dk").agg(F.collect_list(F.struct("key", "start", "size")).alias("live"))
-    cut = materialize(_cut(texts.join(live, "dk"), length), "repeats-cut")
+    live = listed.join(twice.hint("merge"), "key").groupBy("dk").agg(F.collect_list(F.struct("key", "start", "size")).alias("live"))
+    cut = materialize(_cut(texts.join(live.hint("merge"), "dk"), length), "repeats-cut")
 
     strings = cut.groupBy("key", "digest", "string").agg(F.sum("copies").alias("n"))
     strings = materialize(strings, "repeats-strings")
@@ -324,14 +354,14 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_by
     if not hot.isEmpty():
         wide = materialize(strings.join(hot, "key", "left_semi").select("string", "n", "digest"), "repeats-wide")
         again = materialize(_windows_of(wide, length, False).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "repeats-again")
-        windows = materialize(_windows_of(wide, length, True).join(again, "key"), "repeats-windows")
+        windows = materialize(_windows_of(wide, length, True).join(again.hint("merge"), "key"), "repeats-windows")
         # one string for each distinct window; where it is a repeat, all its places are
         own = windows.groupBy("key", F.col("string")).agg(F.sum("n").alias("n")).withColumn("digest", F.unhex(F.sha2("string", 256)))
         proven = _expanded(own.repartition("key").sortWithinPartitions("key"), length, block).select(F.col("digest").alias("window")).distinct()
-        placed = windows.withColumn("window", F.unhex(F.sha2("string", 256))).join(proven, "window", "left_semi")
-        found = found.unionByName(placed.select("digest", F.col("place").alias("low"), (F.col("place") + length).alias("high")))
+        placed = windows.withColumn("window", F.unhex(F.sha2("string", 256))).join(proven.hint("merge"), "window", "left_semi")
+        found = found.unionByName(_runs(placed.groupBy("digest").agg(F.collect_set("place").alias("places")), length))
     found = materialize(found, "repeats-found")
-    return cut.select("dk", "digest", "start").join(found, "digest").select("dk", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
+    return cut.select("dk", "digest", "start").join(found.hint("merge"), "digest").select("dk", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
 
 def _removed(placed: DataFrame) -> DataFrame:
@@ -372,8 +402,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     texts = materialize(own.select(dk, "held").groupBy("dk", "held").agg(F.count("*").alias("copies")), "repeats-texts")
     runs = repeats(texts.where(F.octet_length("held") >= length), length, anchor, hot_bytes, block)
     runs = runs.groupBy("dk").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-    left = materialize(_removed(texts.select("dk", "held").join(runs, "dk", "left")), "repeats-left")
-    return own.select("doc_id", dk).join(left, "dk").drop("dk")
+    left = materialize(_removed(texts.select("dk", "held").join(runs.hint("merge"), "dk", "left")), "repeats-left")
+    return own.select("doc_id", dk).join(left.hint("merge"), "dk").drop("dk")
 
 
 def op13_repeats(spark, sf_dir: str) -> DataFrame:
