@@ -168,20 +168,15 @@ def fingerprint_links(distinct: DataFrame, most: int = MOST_BITS, hot_key: int =
     return plain.unionByName(forest).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id): one row for each row of ``docs``.
-
-    ``component_id`` is the smallest id reachable over links of at most ``most`` differing bits, the own one included;
-    equal fingerprints are linked. Null and empty texts share fingerprint 0. Rows with a null id belong to their component; a component of null ids alone has
-    a null id.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """(doc_id, fp, root, component_id): the component of each row, known by its least fingerprint, and its smallest id."""
     marked = materialize(fingerprints(docs, id_col, text_col), "simhash-docs", "lz4")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows")), "simhash-distinct", "lz4")
     links = materialize(fingerprint_links(distinct.select("fp"), most), "simhash-links", "lz4")
     roots = connected_components(links).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "n_rows", "component_id")
+    classes = rooted.join(least, "root").select("fp", "n_rows", "root", "component_id")
     classes = materialize(classes, "simhash-fp-classes", "lz4")
 
     # common fingerprints are few by their definition and are sent to all tasks, so that none of them meets in one task
@@ -189,22 +184,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is_common = F.col("n_rows") * COMMON_OF > total
     found = marked.join(F.broadcast(classes.where(is_common).drop("n_rows").withColumn("common", F.lit(True))), "fp", "left")
     rare = found.where("common is null").select("doc_id", "fp").join(classes.where(~is_common).drop("n_rows"), "fp")
-    every = found.where("common").drop("common").unionByName(rare)
+    return found.where("common").drop("common").unionByName(rare)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id): one row for each row of ``docs``.
+
+    ``component_id`` is the smallest id reachable over links of at most ``most`` differing bits, the own one included;
+    equal fingerprints are linked. Null and empty texts share fingerprint 0. Rows with a null id belong to their component; a component of null ids alone has
+    a null id.
+    """
+    every = _classes(docs, id_col, text_col, most)
     return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """One document of each component stays: the one with the smallest id (of rows that share it, one).
+    """One document of each component stays: the one with the smallest id (of rows of the component that share it, one).
 
-    All columns stay. Documents with a null id stay where their component has no id at all.
+    All columns stay. Documents with a null id stay where their component has no id at all. An id that several rows have is
+    judged by row: it may be the one of its component with one text and go with another.
     """
-    small = materialize(near_duplicates(docs, most=most).select("doc_id", "component_id"), "simhash-classes", "lz4")
-    losers = small.where("doc_id != component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    repeated = small.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(losers, docs["doc_id"].eqNullSafe(losers["doc_id"]), "left_anti")
-    if repeated.isEmpty():
+    small = materialize(_classes(docs, "doc_id", "text", most), "simhash-classes", "lz4")
+    several = materialize(small.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "simhash-several", "lz4")
+    losers = small.where("doc_id != component_id").select("doc_id").distinct()
+    same_id = docs["doc_id"].eqNullSafe(several["doc_id"])
+    kept = docs.join(losers, "doc_id", "left_anti").join(several, same_id, "left_anti")
+    if several.isEmpty():
         return kept
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+    @F.pandas_udf("long")
+    def marks(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t or "") for t in texts], np.uint64).view(np.int64))
+
+    fp, root, component = (f"{name} of {'_'.join(docs.columns)}" for name in ("fp", "root", "component"))  # no column of docs
+    own = docs.join(several, same_id, "left_semi").withColumn(fp, marks("text"))
+    classes = small.select(F.col("doc_id").alias(component + " id"), F.col("fp").alias(fp + " id"), F.col("root").alias(root), F.col("component_id").alias(component)).distinct()
+    held = own.join(classes, own["doc_id"].eqNullSafe(classes[component + " id"]) & (own[fp] == classes[fp + " id"]))
+    first = held.where(F.col("doc_id") == F.col(component)).dropDuplicates(["doc_id", root])
+    nameless = held.where(F.col("doc_id").isNull() & F.col(component).isNull())
+    return kept.unionByName(first.unionByName(nameless).select(docs.columns))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

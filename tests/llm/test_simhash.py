@@ -92,3 +92,14 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 4] and set(kept.columns) == set(docs.columns)
     assert near_duplicates(docs.limit(0)).count() == 0
     assert drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_drop_judges_repeated_ids_by_row(spark):
+    """An id keeps the text for which it is the one of a component; two components of one id keep a text each."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    schema = "doc_id long, text string, fp string, root string, component_id string"
+    rows = [(5, a), (3, b), (5, b), (7, c), (5, c), (5, c), (None, a), (None, "none of them has an id"), (9, None), (9, ""), (10, "")]
+    docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], schema)
+    got = sorted(((r.doc_id, r.text) for r in drop_near_duplicates(docs).collect()), key=str)
+    assert len(got) == 5 and {x for x in got if x[0] != 9} == {(5, a), (3, b), (5, c), (None, "none of them has an id")}
+    assert drop_near_duplicates(docs).columns == docs.columns and drop_near_duplicates(docs.limit(0)).count() == 0
