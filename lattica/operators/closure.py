@@ -68,25 +68,3 @@ def chains(seeds: DataFrame, edges: DataFrame, most_depth: int, fan_out: int, st
         frontier = step.select("seed", F.col("dst").alias("src")).distinct().join(expanded, ["seed", "src"], "left_anti")
         expanded = expanded.unionByName(frontier)
     return hops
-
-
-def derive(known: DataFrame, forwards: DataFrame) -> DataFrame:
-    """(name, place, round): wrappers of known spawners, to a fixpoint; a name that would get two places gets none.
-
-    ``known``: (name, place of the entry argument); ``forwards``: (name, callee, own_place, callee_place): ``name`` passes its
-    argument ``own_place`` to ``callee`` at ``callee_place``. It ends when a round finds no new name, as names are finite; what
-    a round finds is joined with all that is known, since a name left out for two places stays open.
-    """
-    forwards = materialize(forwards, "derive-forwards")
-    found = materialize(known.select("name", "place").distinct().withColumn("round", F.lit(0)), "derive")
-    n, parts = 0, 1
-    while True:
-        n += 1
-        made = forwards.join(found.select(F.col("name").alias("callee"), F.col("place").alias("callee_place")), ["callee", "callee_place"])
-        fresh = made.groupBy("name").agg(F.min("own_place").alias("place"), F.countDistinct("own_place").alias("places")).where("places = 1").select("name", "place")
-        fresh = materialize(fresh.join(found.select("name"), "name", "left_anti").withColumn("round", F.lit(n)), "derive")
-        if fresh.isEmpty():
-            return found
-        found, parts = found.unionByName(fresh), parts + 1
-        if parts == MERGE:
-            found, parts = materialize(found, "derive"), 1

@@ -47,9 +47,14 @@ def edges_dedup_first(s, d):
     return _edges(s, d)
 
 
-@register(query(FIRM, "SELECT a.src, b.dst, min(a.dst) AS via, count(*) AS n_paths FROM firm a JOIN firm b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY ALL"))
+@register(query(VERTICES, FIRM, """kinds AS (SELECT rowid, kind FROM vertices)""", """SELECT a.src, b.dst, min(a.dst) AS via, count(*) AS n_paths FROM firm a JOIN firm b ON a.dst = b.src
+JOIN kinds x ON x.rowid = a.src JOIN kinds m ON m.rowid = a.dst JOIN kinds y ON y.rowid = b.dst
+WHERE a.src <> b.dst AND x.kind = 'function' AND m.kind = 'macro' AND y.kind = 'function' GROUP BY ALL"""))
 def macro_hop_edges(s, d):
-    return E.two_hop(_firm_edges(s, d))
+    """Calls that functions make through macros: the kinds are tested before the two hops meet."""
+    kinds = A.vertices(s, d).select("rowid", "kind")
+    e = _firm_edges(s, d).join(kinds.select(F.col("rowid").alias("src"), F.col("kind").alias("of")), "src").join(kinds.select(F.col("rowid").alias("dst"), F.col("kind").alias("to")), "dst")
+    return E.two_hop(e.where("of = 'function' and to = 'macro' or of = 'macro' and to = 'function'").select("src", "dst"))
 
 
 _RANK = "CASE grade WHEN 'exact' THEN 2 WHEN 'resolved' THEN 1 ELSE 0 END"
@@ -270,41 +275,53 @@ def start_stop_pairs(s, d):
 
 
 _SEEDS = "seeds AS (SELECT rowid AS node FROM vertices WHERE lines = 50)"
+#: A declared layer: exact calls between parts of one make; and of these the direct ones.
+_LAYER = """layer AS (
+  SELECT DISTINCT src, dst, source FROM edges JOIN vertices a ON a.rowid = src JOIN vertices b ON b.rowid = dst
+  WHERE grade = 'exact' AND src <> dst AND split_part(a.definition, ' ', 1) = split_part(b.definition, ' ', 1))"""
+
+
+def _layer(s, d):
+    """(src, dst, source): exact calls between parts of one make. Calls of all makes together reach everything from anywhere."""
+    make = A.vertices(s, d).select("rowid", F.substring_index("definition", " ", 1).alias("make"))
+    e = _edges(s, d).where("grade = 'exact' and src <> dst")
+    e = e.join(make.select(F.col("rowid").alias("src"), F.col("make").alias("a")), "src").join(make.select(F.col("rowid").alias("dst"), F.col("make").alias("b")), "dst")
+    return e.where("a = b").select("src", "dst", "source")
 
 
 def _seeds(s, d):
     return A.vertices(s, d).where("lines = 50").select(F.col("rowid").alias("node"))
 
 
-@register(query(VERTICES, FIRM, "seeds AS (SELECT rowid AS node FROM vertices WHERE lines = 50), reach(node) AS (SELECT node FROM seeds UNION SELECT dst FROM reach JOIN firm ON src = node)", "SELECT rowid, CASE WHEN EXISTS (SELECT 1 FROM reach WHERE node = rowid) THEN 'live' ELSE 'orphan' END AS state FROM vertices", recursive=True))
+@register(query(VERTICES, EDGES, _LAYER, "seeds AS (SELECT rowid AS node FROM vertices WHERE lines = 50), reach(node) AS (SELECT node FROM seeds UNION SELECT dst FROM reach JOIN layer ON src = node)", "SELECT rowid, CASE WHEN EXISTS (SELECT 1 FROM reach WHERE node = rowid) THEN 'live' ELSE 'orphan' END AS state FROM vertices", recursive=True))
 def reachability_liveness(s, d):
-    return C.liveness(A.vertices(s, d), _seeds(s, d), _firm_edges(s, d)).drop("depth")
+    return C.liveness(A.vertices(s, d), _seeds(s, d), _layer(s, d)).drop("depth")
+
 
+_MEMBERS = "reach(thread, node) AS (SELECT file, rowid FROM vertices WHERE lines >= 49 UNION SELECT thread, dst FROM reach JOIN layer ON src = node AND source = 'direct')"
 
-@register(query(VERTICES, FIRM, "reach(thread, node) AS (SELECT file, rowid FROM vertices WHERE lines >= 49 UNION SELECT thread, dst FROM reach JOIN firm ON src = node)", "SELECT thread, node FROM reach", recursive=True))
+
+@register(query(VERTICES, EDGES, _LAYER, _MEMBERS, "SELECT thread, node FROM reach", recursive=True))
 def thread_membership(s, d):
     return _members(s, d)
 
 
-def _members(s, d, edges=_firm_edges):
+def _members(s, d):
     seeds = A.vertices(s, d).where("lines >= 49").select(F.col("file").alias("thread"), F.col("rowid").alias("node"))
-    return C.closure(seeds, edges(s, d), "thread").drop("depth")
-
+    return C.closure(seeds, _layer(s, d).where("source = 'direct'"), "thread").drop("depth")
 
-_MEMBERS = "reach(thread, node) AS (SELECT file, rowid FROM vertices WHERE lines >= 49 UNION SELECT thread, dst FROM reach JOIN firm ON src = node)"
 
-
-@register(query(VERTICES, FIRM, _MEMBERS, "SELECT thread, count(*) AS n_members, min(node) AS first_member FROM reach GROUP BY thread", recursive=True))
+@register(query(VERTICES, EDGES, _LAYER, _MEMBERS, "SELECT thread, count(*) AS n_members, min(node) AS first_member FROM reach GROUP BY thread", recursive=True))
 def thread_roster(s, d):
     return _members(s, d).groupBy("thread").agg(F.count("*").alias("n_members"), F.min("node").alias("first_member"))
 
 
-@register(query(VERTICES, FIRM, _MEMBERS, "SELECT node, count(*) AS n_threads FROM reach GROUP BY node HAVING count(*) > 1", recursive=True))
+@register(query(VERTICES, EDGES, _LAYER, _MEMBERS, "SELECT node, count(*) AS n_threads FROM reach GROUP BY node HAVING count(*) > 1", recursive=True))
 def multi_thread_members(s, d):
     return _members(s, d).groupBy("node").agg(F.count("*").alias("n_threads")).where("n_threads > 1")
 
 
-@register(query(VERTICES, FIRM, _MEMBERS, "sets AS (SELECT node, list(thread) AS groups FROM reach GROUP BY node)", "SELECT src, dst, CASE WHEN a.groups IS NOT NULL AND b.groups IS NOT NULL THEN NOT list_has_any(a.groups, b.groups) END AS crosses, CASE WHEN len(b.groups) = 1 THEN b.groups[1] END AS to_group FROM firm LEFT JOIN sets a ON a.node = src LEFT JOIN sets b ON b.node = dst", recursive=True))
+@register(query(VERTICES, FIRM, _LAYER, _MEMBERS, "sets AS (SELECT node, list(thread) AS groups FROM reach GROUP BY node)", "SELECT src, dst, CASE WHEN a.groups IS NOT NULL AND b.groups IS NOT NULL THEN NOT list_has_any(a.groups, b.groups) END AS crosses, CASE WHEN len(b.groups) = 1 THEN b.groups[1] END AS to_group FROM firm LEFT JOIN sets a ON a.node = src LEFT JOIN sets b ON b.node = dst", recursive=True))
 def thread_boundaries(s, d):
     from lattica.operators.rosters import boundaries
 
@@ -337,33 +354,6 @@ def chain_backward(s, d):
     return C.chains(_seeds(s, d), e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), 3, 4)
 
 
-
-
-def derive_wrappers(s, d):
-    """Rows only: a fixpoint with refusal of conflicting places."""
-    line = A.table(s, d, "lineitem")
-    fw = line.groupBy(F.col("l_suppkey").alias("name"), (F.col("l_partkey") % 100 + 1).alias("callee"), (F.col("l_linenumber") % 2).alias("callee_place")).agg(F.min("l_linenumber").alias("own_place"))
-    known = A.table(s, d, "supplier").where("s_acctbal > 9000").select(F.col("s_suppkey").alias("name"), F.lit(1).alias("place"))
-    return C.derive(known, fw)
-
-
-def _rounds(n: int) -> list[str]:
-    """Unrolled rounds of the fixpoint: a name that would get two places in a round gets none."""
-    parts = ["fw AS (SELECT l_suppkey AS name, l_partkey % 100 + 1 AS callee, l_linenumber % 2 AS callee_place, min(l_linenumber) AS own_place FROM lineitem GROUP BY ALL)", "k0 AS MATERIALIZED (SELECT s_suppkey AS name, 1 AS place, 0 AS round FROM supplier WHERE s_acctbal > 9000)"]
-    for i in range(1, n + 1):
-        parts.append(f"k{i} AS MATERIALIZED (SELECT * FROM k{i - 1} UNION ALL SELECT fw.name, min(own_place), {i} FROM fw JOIN k{i - 1} k ON k.name = callee AND k.place = callee_place WHERE fw.name NOT IN (SELECT name FROM k{i - 1}) GROUP BY fw.name HAVING count(DISTINCT own_place) = 1)")
-    return parts
-
-
-QUERIES["wrapper_fixpoint"] = derive_wrappers
-ORACLES["wrapper_fixpoint"] = query(*_rounds(8), "SELECT name, place, round FROM k8")
-
-
-# The names under which these were known while the others kept few edges only.
-for _name in "macro_hop_edges reachability_liveness thread_membership thread_roster multi_thread_members thread_boundaries chain_forward chain_backward".split():
-    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]
-
-
 _DECLARED = """own AS (SELECT DISTINCT n_name AS key_name, 'write' AS role, s_suppkey AS participant FROM nation JOIN supplier ON s_nationkey = n_nationkey
   UNION SELECT n_name, 'read', c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey),
 n AS (SELECT key_name, sum((role = 'write')::INT)::BIGINT AS w, sum((role = 'read')::INT)::BIGINT AS r FROM own GROUP BY key_name)"""
@@ -376,6 +366,3 @@ def shared_key_declared(s, d):
     w = keys.join(A.table(s, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey")).select("key_name", F.lit("write").alias("role"), F.col("s_suppkey").alias("participant"))
     r = keys.join(A.table(s, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).select("key_name", F.lit("read").alias("role"), F.col("c_custkey").alias("participant"))
     return E.side_counts(w.unionByName(r), ("write", "read"))
-
-
-QUERIES["shared_key_declared_all"], ORACLES["shared_key_declared_all"] = shared_key_declared, ORACLES["shared_key_declared"]

@@ -76,26 +76,6 @@ def event_edges(s, d):
     return E.side_counts(own, ("emit", "handle"))
 
 
-@register(None)
-def callback_bindings_all(s, d):
-    """All order lines: returned ones forward, the others pass a part."""
-    line = A.table(s, d, "lineitem")
-    at = [F.col("l_suppkey").alias("callee"), (F.col("l_linenumber") % 3).alias("place")]
-    passed = line.where("not l_returnflag <=> 'R'").select(*at, F.col("l_partkey").alias("target"))
-    forwarded = line.where("l_returnflag <=> 'R'").select(*at, (F.col("l_partkey") % 100 + 1).alias("to"), ((F.col("l_linenumber") + 1) % 3).alias("to_place")).distinct()
-    return D.bind_callbacks(passed, forwarded)
-
-
-@register(None)
-def event_edges_all(s, d):
-    """All suppliers and customers, as counts; each customer is a handler of its own name."""
-    n = A.table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("topic"))
-    emit = A.table(s, d, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select("topic", F.lit("emit").alias("role"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("rowid"), (F.col("s_acctbal") > 0).alias("is_def"))
-    handle = A.table(s, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select("topic", F.lit("handle").alias("role"), F.col("c_name").alias("name"), F.col("c_custkey").alias("rowid"), (F.col("c_acctbal") > 9900).alias("is_def"))
-    own = D.topic_roles(emit.unionByName(handle)).select(F.col("topic").alias("key_name"), "role", F.col("rowid").alias("participant"))
-    return E.side_counts(own, ("emit", "handle"))
-
-
 @register(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), c AS (SELECT *, regexp_extract(left(t, 240), '^(.*) ', 1) AS cut FROM f)
 SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE CASE WHEN cut = '' THEN left(t, 240) ELSE cut END || '…' END AS brief FROM c""")
 def doc_briefs(s, d):

@@ -39,7 +39,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
 def test_query_against_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
     if name not in ORACLES:
-        assert got.count() >= 0
+        assert got.count() > 0
         return
     want = duck.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
@@ -52,3 +52,15 @@ def test_query_against_sql(spark, duck, name):
     for (n, kind), (m, other) in zip(sorted(got.dtypes), sorted((c[0], str(c[1]).lower()) for c in want.description), strict=True):
         if kind in ints or other in ("bigint", "integer", "hugeint"):
             assert other != "hugeint" and kind in ints, (n, kind, other)
+
+
+#: Columns of closures, walks and judgements that must take several values: a constant one would pass without the work.
+VARIED = {
+    "reachability_liveness": "state", "thread_membership": "thread", "thread_boundaries": "crosses", "wrapper_fixpoint": "state", "chain_two_classes": "stop",
+    "conditions_evaluated": "live", "guard_verdicts": "verdict", "subjects_resolved": "kind", "prose_index_batch": "widened", "dominated_verdicts": "verdict",
+}
+
+
+@pytest.mark.parametrize("name", sorted(VARIED))
+def test_no_judgement_is_constant(duck, name):
+    assert len(duck.execute(f"SELECT DISTINCT {VARIED[name]} FROM ({ORACLES[name]})").fetchall()) > 1

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from collections import deque
 
-from lattica.operators.closure import chains, closure, derive
+from lattica.operators.closure import chains, closure
 
 
 def bfs(seeds, edges):
@@ -35,17 +35,3 @@ def test_chain_taper_stops_and_cycles(spark):
     seeds = spark.createDataFrame([(0,)], "node long")
     got = {(r.depth, r.src, r.dst, r.omitted) for r in chains(seeds, edges, 2, 4, spark.createDataFrame([(2,)], "node long")).collect()}
     assert got == {(1, 0, 1, 2), (1, 0, 2, 2), (1, 0, 3, 2), (1, 0, 4, 2), (2, 1, 0, 2), (2, 1, 7, 2)}
-
-
-def test_wrappers_refuse_conflicts(spark):
-    known = spark.createDataFrame([("spawn", 1)], "name string, place int")
-    forwards = spark.createDataFrame([("wrap", "spawn", 0, 1), ("outer", "wrap", 2, 0), ("torn", "spawn", 0, 1), ("torn", "spawn", 1, 1), ("off", "spawn", 0, 9)], "name string, callee string, own_place int, callee_place int")
-    got = {(r.name, r.place, r["round"]) for r in derive(known, forwards).collect()}
-    assert got == {("spawn", 1, 0), ("wrap", 0, 1), ("outer", 2, 2)}
-
-
-def test_wrappers_of_wrappers_without_a_cap_on_rounds(spark):
-    known = spark.createDataFrame([("w0", 1)], "name string, place int")
-    forwards = spark.createDataFrame([(f"w{i + 1}", f"w{i}", i % 2, 1 if i == 0 else (i - 1) % 2) for i in range(18)], "name string, callee string, own_place int, callee_place int")
-    got = {(r.name, r.place, r["round"]) for r in derive(known, forwards).collect()}
-    assert got == {("w0", 1, 0)} | {(f"w{i + 1}", i % 2, i + 1) for i in range(18)}

@@ -19,11 +19,12 @@ def tables(spark, tmp_path_factory):
     first = {}
     for a, b in zip(lines, lines[1:], strict=False):
         if a[0] == b[0]:
-            first.setdefault((a[2], b[2], a[5]), "fuzzy" if a[4] < 10 else "firm")
-    edges = {(s, t) for (s, t, _), grade in first.items() if grade == "firm" and s != t}
+            first.setdefault((a[2], b[2], a[5]), "fuzzy" if a[4] < 10 else "exact" if a[6] == "F" else "resolved")
+    edges = {(s, t) for (s, t, _), grade in first.items() if grade != "fuzzy" and s != t}
+    exact = {(s, t, source) for (s, t, source), grade in first.items() if grade == "exact" and s != t}
     large = {(a[2], b[2]) for a, b in zip(lines, lines[1:], strict=False) if a[0] == b[0] and a[4] > 45 and a[2] != b[2]}
     assert large < edges
-    return folder, parts, edges
+    return folder, parts, edges, exact
 
 
 def reach(seeds, edges):
@@ -60,30 +61,32 @@ def walk(seeds, edges):
     return found
 
 
-def test_liveness_hops_and_chains_over_all_firm_edges(spark, tables):
-    folder, parts, edges = tables
+def test_liveness_hops_and_chains(spark, tables):
+    folder, parts, edges, exact = tables
     seeds = [p[0] for p in parts if p[4] == 50]
-    live = reach(seeds, edges)
-    assert rows(spark, "reachability_liveness_all", folder) == {(p[0], "live" if p[0] in live else "orphan") for p in parts}
+    live = reach(seeds, {(a, b) for a, b, _ in exact})
+    kind = {p[0]: "function" if p[4] <= 40 else "variable" if p[4] <= 45 else "macro" for p in parts}
+    assert rows(spark, "reachability_liveness", folder) == {(p[0], "live" if p[0] in live else "orphan") for p in parts}
     hops = defaultdict(list)
     for a, b in edges:
         for c, e in edges:
-            if b == c and a != e:
+            if b == c and a != e and (kind[a], kind[b], kind[e]) == ("function", "macro", "function"):
                 hops[a, e].append(b)
-    assert rows(spark, "macro_hop_edges_all", folder) == {(a, b, min(v), len(v)) for (a, b), v in hops.items()}
-    assert rows(spark, "chain_forward_all", folder) == walk(seeds, edges)
-    assert rows(spark, "chain_backward_all", folder) == walk(seeds, {(b, a) for a, b in edges})
+    assert rows(spark, "macro_hop_edges", folder) == {(a, b, min(v), len(v)) for (a, b), v in hops.items()}
+    assert rows(spark, "chain_forward", folder) == walk(seeds, edges)
+    assert rows(spark, "chain_backward", folder) == walk(seeds, {(b, a) for a, b in edges})
 
 
-def test_threads_over_all_firm_edges(spark, tables):
-    folder, parts, edges = tables
-    threads = {t: reach([p[0] for p in parts if p[3] == t and p[4] >= 49], edges) for t in {p[3] for p in parts if p[4] >= 49}}
+def test_threads_of_direct_calls(spark, tables):
+    folder, parts, edges, exact = tables
+    direct = {(a, b) for a, b, source in exact if source == "A"}
+    threads = {t: reach([p[0] for p in parts if p[3] == t and p[4] >= 49], direct) for t in {p[3] for p in parts if p[4] >= 49}}
     of = defaultdict(set)
     for t, nodes in threads.items():
         for n in nodes:
             of[n].add(t)
-    assert rows(spark, "thread_membership_all", folder) == {(t, n) for t, nodes in threads.items() for n in nodes}
-    assert rows(spark, "thread_roster_all", folder) == {(t, len(nodes), min(nodes)) for t, nodes in threads.items()}
-    assert rows(spark, "multi_thread_members_all", folder) == {(n, len(t)) for n, t in of.items() if len(t) > 1}
-    got = {(r.src, r.dst): (r.crosses, r.to_group) for r in QUERIES["thread_boundaries_all"](spark, folder).collect()}
+    assert rows(spark, "thread_membership", folder) == {(t, n) for t, nodes in threads.items() for n in nodes}
+    assert rows(spark, "thread_roster", folder) == {(t, len(nodes), min(nodes)) for t, nodes in threads.items()}
+    assert rows(spark, "multi_thread_members", folder) == {(n, len(t)) for n, t in of.items() if len(t) > 1}
+    got = {(r.src, r.dst): (r.crosses, r.to_group) for r in QUERIES["thread_boundaries"](spark, folder).collect()}
     assert got == {(a, b): (not of[a] & of[b] if of[a] and of[b] else None, min(of[b]) if len(of[b]) == 1 else None) for a, b in edges}

@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-from collections import defaultdict
-
 from lattica.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -11,50 +9,11 @@ def table(spark, name):
     return spark.read.parquet(f"{SF}/{name}.parquet").collect()
 
 
-def test_callbacks_of_all_lines(spark):
-    bound, hands = set(), defaultdict(set)
-    for r in table(spark, "lineitem"):
-        if r.l_returnflag == "R":
-            hands[r.l_suppkey, r.l_linenumber % 3].add((r.l_partkey % 100 + 1, (r.l_linenumber + 1) % 3))
-        else:
-            bound.add((r.l_suppkey, r.l_linenumber % 3, r.l_partkey))
-    todo = list(bound)
-    while todo:
-        callee, place, target = todo.pop()
-        for to in hands[callee, place]:
-            if (*to, target) not in bound:
-                bound.add((*to, target))
-                todo.append((*to, target))
-    got = [tuple(r) for r in QUERIES["callback_bindings_all"](spark, SF).select("callee", "place", "target").collect()]
-    assert set(got) == bound and len(got) == len(bound)
-
-
-def test_wrappers_of_all_lines(spark):
-    calls = defaultdict(list)
-    for r in table(spark, "lineitem"):
-        calls[r.l_suppkey, r.l_partkey % 100 + 1, r.l_linenumber % 2].append(r.l_linenumber)
-    found = {r.s_suppkey: (1, 0) for r in table(spark, "supplier") if r.s_acctbal > 9000}
-    for n in range(1, 9):
-        own = defaultdict(set)
-        for (name, callee, place), at in calls.items():
-            if name not in found and found.get(callee, (None,))[0] == place:
-                own[name].add(min(at))
-        found |= {name: (min(p), n) for name, p in own.items() if len(p) == 1}
-    assert {(r["name"]): (r.place, r["round"]) for r in QUERIES["wrapper_fixpoint"](spark, SF).collect()} == found
-
-
 def test_every_supplier_and_customer_takes_part(spark):
     nations = {r.n_nationkey: r.n_name for r in table(spark, "nation")}
     suppliers = [(nations[r.s_nationkey], r.s_suppkey) for r in table(spark, "supplier")]
     customers = [(nations[r.c_nationkey], r.c_custkey) for r in table(spark, "customer")]
-    for query, one, other in (("shared_key_declared_all", "write", "read"), ("event_edges_all", "emit", "handle")):
+    for query, one, other in (("shared_key_declared", "write", "read"),):
         want = {(k, one, p, sum(c[0] == k for c in customers)) for k, p in suppliers} | {(k, other, p, sum(x[0] == k for x in suppliers)) for k, p in customers}
         got = [tuple(r) for r in QUERIES[query](spark, SF).collect()]
         assert set(got) == {w for w in want if w[3]} and len(got) == len(set(got))
-
-
-def test_a_wrapper_on_a_line_of_small_quantity(spark, tmp_path):
-    spark.createDataFrame([(1, 9500.0), (2, 10.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
-    spark.createDataFrame([(1, 100, 2, 1, 5.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {(r["name"], r.place, r["round"]) for r in QUERIES["wrapper_fixpoint"](spark, str(tmp_path)).collect()}
-    assert got == {(1, 1, 0), (2, 1, 1)}
