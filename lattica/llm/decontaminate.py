@@ -162,31 +162,62 @@ class Index:
         best: dict[int, tuple[float, float, float]] = {}
         if self.single:
             best = {item: (1.0, 1.0, 1.0) for w in self.single.keys() & set(words) for item in self.single[w]}
+        hits: dict[int, dict[tuple[int, int], float]] = {}
         for i in np.flatnonzero(sums[ends] - sums[starts] >= threshold - 1e-9):
             start, end = int(starts[i]), int(ends[i])
             known = [t for t in set(terms[start:end].tolist()) if t < len(self.codes)]
             for segment, score in self.search(known, threshold):
-                item, size, question, answer = self.parts[self.owner[segment]]
-                around = set(zip(*(words[max(0, start - size) + k : end + 1 + size] for k in range(3)), strict=False)) if len(words) > 2 else {tuple(words)}
-                if size < 5:  # parts of fewer than three words: compare runs of their length
-                    near = words[max(0, start - size) : end + 1 + size]
-                    around |= {tuple(near[k : k + n]) for n in (1, 2) for k in range(len(near))}
-                q = len(question & around) / len(question)
-                a = len(answer & around) / len(answer) if answer else q
-                if q >= LEAST_QUESTION and a >= LEAST_ANSWER:
+                held = hits.setdefault(self.owner[segment], {})
+                held[start, end] = max(score, held.get((start, end), 0.0))
+        places: dict[int, dict[tuple[str, ...], list[int]]] = {}
+        for part, held in hits.items():
+            item, size, question, answer = self.parts[part]
+            around = [(max(0, start - size), end + 1 + size) for start, end in sorted(held)]  # both ends ascend
+            q = _shares(question, words, around, places)
+            a = _shares(answer, words, around, places) if answer else q
+            for window, x, y in zip(sorted(held), q, a, strict=True):
+                if x >= LEAST_QUESTION and y >= LEAST_ANSWER:
                     old = best.get(item, (0.0, 0.0, 0.0))
-                    best[item] = (max(score, old[0]), max(q, old[1]), max(a, old[2]))
+                    best[item] = (max(held[window], old[0]), max(x, old[1]), max(y, old[2]))
         return [(item, *found) for item, found in sorted(best.items())]
 
 
+def _shares(part: set[tuple[str, ...]], words: list[str], around: list[tuple[int, int]], places: dict[int, dict[tuple[str, ...], list[int]]]) -> list[float]:
+    """For each window of a text, whose ends ascend, the share of a part's runs of words that occur in it.
+
+    The text's runs are filed once by their places in ``places``; a run enters the count with the first window that holds it and
+    leaves with the first that starts behind it, so the time follows the occurrences and not the windows' sizes.
+    """
+    n = len(next(iter(part)))
+    if n not in places:
+        filed = places[n] = {}
+        for k, run in enumerate(zip(*(words[j:] for j in range(n)), strict=False)):
+            filed.setdefault(run, []).append(k)
+    spots = sorted((k, i) for i, run in enumerate(part) for k in places[n].get(run, ()))
+    counts, shares, entered, left = {}, [], 0, 0
+    for low, high in around:
+        while entered < len(spots) and spots[entered][0] + n <= high:
+            i = spots[entered][1]
+            counts[i] = counts.get(i, 0) + 1
+            entered += 1
+        while left < entered and spots[left][0] < low:
+            i = spots[left][1]
+            counts[i] -= 1
+            if not counts[i]:
+                del counts[i]
+            left += 1
+        shares.append(len(counts) / len(part))
+    return shares
+
+
 def indexes(items: DataFrame, at_once: int = ITEMS_AT_ONCE, bytes_at_once: int = BYTES_AT_ONCE) -> Iterator[Index]:
     """Indexes over all items with a text, each of at most about ``at_once`` of them and ``bytes_at_once`` bytes; repeated rows
-    count once, an item longer than that has an index of its own or one with few others."""
+    count once, an item longer than that has an index of its own or one with few others. All texts of an item are in one."""
     own = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     turns = max(1, -(-n // at_once), -(-size // bytes_at_once))
     for turn in range(turns):
-        some = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == turn).orderBy("item_id", "text")
+        some = own.where(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == turn).orderBy("item_id", "text")
         yield Index([(r.item_id, r.text) for r in some.collect()])
 
 
@@ -194,7 +225,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, at_once: int = ITEMS_AT_ONCE)
     """(doc_id, item_id, score, question_overlap, answer_overlap): each verified pair once for each row of ``docs``.
 
     ``score`` is the best passage's share of the segment's own score. Null texts and items have no pairs; an item's repeats
-    with different texts count as one item, whose best values are given.
+    with different texts count as one item, whose best values are given, however many indexes there are. Time is linear in the
+    length of a text, and in that of an item it holds.
     """
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]

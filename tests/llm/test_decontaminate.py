@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+import time
 
+import pytest
 from pyspark.sql import types as T
 
 from lattica.llm import decontaminate as D
@@ -71,7 +73,7 @@ def exhaustive(index, text):
     for start in range(0, max(1, len(words) - D.PASSAGE + D.STRIDE), D.STRIDE):
         for item, size, question, answer in index.parts:
             near = words[max(0, start - size) : start + D.PASSAGE + size]
-            around = set(zip(near, near[1:], near[2:]))
+            around = {tuple(near[k : k + n]) for n in {len(g) for g in question | answer} for k in range(len(near) - n + 1)}
             q = len(question & around) / len(question)
             a = len(answer & around) / len(answer) if answer else q
             if q >= D.LEAST_QUESTION and a >= D.LEAST_ANSWER:
@@ -111,3 +113,22 @@ def test_short_items_by_containment():
         document = " ".join(word() for _ in range(rng.randrange(1, 90)))
         got = {x[0] for x in index.leaks(document)}
         assert {i for i, text in items if contained(document, text)} <= got
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 20_000])
+def test_turns_do_not_change_the_result(spark, at_once):
+    """One item with several texts is one item in any number of indexes."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(n)) for n in (5, 6, 7, 12, 40, 90)]
+    items = spark.createDataFrame([(7, x) for x in texts[:5]] + [(8, texts[5]), (8, None), (9, "alone")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before it " + " and then ".join(texts) + " after"), (2, texts[1]), (3, texts[2] + " " + texts[5]), (4, None), (5, "alone at last"), (6, "nothing of these")], "doc_id long, text string")
+    got = sorted(tuple(r)[:2] for r in D.find_leaks(docs, items, at_once).collect())
+    assert got == [(1, 7), (1, 8), (2, 7), (3, 7), (3, 8), (5, 9)]
+
+
+def test_long_items_take_linear_time():
+    rng = random.Random(12)
+    words = [f"w{rng.randint(0, 50_000)}" for _ in range(60_000)]
+    index, began = D.Index([(1, " ".join(words))]), time.process_time()
+    found = index.leaks("x y z " + " ".join(words) + " x y z")
+    assert [f[0] for f in found] == [1] and found[0][2] == found[0][3] == 1.0 and time.process_time() - began < 20
