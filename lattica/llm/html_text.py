@@ -10,7 +10,9 @@ lines included, but for containers in it without a high line whose text is mostl
 Elements that HTML itself sets apart (navigation, headers, footers, asides, scripts) are left out. A class, id or role
 that names noise (``sidebar``, ``user-comments``; not ``notice-board-story`` or ``has-sidebar``) lowers the ratio of the lines
 that lie in it entirely to zero, so they are in no cluster; it does not where the element holds the page's first heading,
-its ``main`` or nearly all of its text.
+its ``main`` or nearly all of its text. On a paragraph, or another element of text alone, such a name rather tells what the text
+is about (``<p class=related>``): unless it names an advert or a comment, it lowers the ratio by a factor (``SOFT``) and keeps
+neighbours from raising it, so a long line stays and a short one (``Share this``) goes.
 """
 
 from __future__ import annotations
@@ -43,12 +45,16 @@ NAMES = frozenset("ad ads adsense adv advert adverts advertisement banner breadc
 PLACES = frozenset("area bar block bottom box container form group inner item items left links list outer panel right section slot top unit wrap wrapper".split())
 NEGATIONS = frozenset("has hide is no non not with without".split())
 DISCUSSION = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Names that are meant of the text itself, on whatever element.
+MEANT = DISCUSSION - {"reply", "replies"} | frozenset("ad ads adsense adv advert adverts advertisement banner consent cookie cookies popup promo promoted sponsor sponsored".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 
 #: Neighbours on each side that smoothing reaches, and the share of the standard deviation that is the threshold.
 RADIUS, SIGMA, SHARE = 2, 1.0, 0.5
 #: Shares of a container's high text: outside the child that is entered at most; of the container's own lines at most.
 OUTSIDE, OWN = 0.3, 0.05
+#: Factor of the ratio of a line whose paragraph has the name of noise.
+SOFT = 0.5
 #: An element outweighs the page if it holds this many times the text outside it, in this many lines.
 OUTWEIGHS, LINES = 10, 3
 _words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
@@ -86,10 +92,10 @@ def _is_dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "node", "hints", "heading")
+    __slots__ = ("text", "tags", "linked", "node", "hints", "heading", "soft")
 
-    def __init__(self, text: str, tags: int, linked: int, node: int, hints: tuple[int, ...], heading: bool):
-        self.text, self.tags, self.linked, self.node, self.hints, self.heading = text, tags, linked, node, hints, heading
+    def __init__(self, text: str, tags: int, linked: int, node: int, hints: tuple[int, ...], heading: bool, soft: bool):
+        self.text, self.tags, self.linked, self.node, self.hints, self.heading, self.soft = text, tags, linked, node, hints, heading, soft
 
 
 class PageLines(HTMLParser):
@@ -104,8 +110,8 @@ class PageLines(HTMLParser):
         self.lines: list[Line] = []
         #: Of each container: its element and the container around it. The first is the page.
         self.tags_of, self.parent = ["html"], [-1]
-        #: Of each element that names noise: its name, and whether it holds a first heading, main or article.
-        self.named: list[tuple[str, set[str]]] = []
+        #: Of each element that names noise: its name, whether it holds a first heading, main or article, and whether it is one of text alone.
+        self.named: list[tuple[str, set[str], bool]] = []
         self.active: list[int] = []
         self.text: list[str] = []
         self.tags = self.dropped = self.links = self.linked = 0
@@ -116,7 +122,8 @@ class PageLines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             node = self.open[-1][2] if self.open else 0
-            self.lines.append(Line(text, self.tags, min(self.linked, len(text)), node, self.hints or (), self.heading))
+            hints = self.hints or ()
+            self.lines.append(Line(text, self.tags, min(self.linked, len(text)), node, tuple(k for k in hints if not self.named[k][2]), self.heading, any(self.named[k][2] for k in hints)))
         if self.text or text:
             self.text, self.tags, self.linked, self.hints = [], 0, 0, None
 
@@ -158,7 +165,7 @@ class PageLines(HTMLParser):
                 self.named[k][1].add(tag)
         if hint:
             self.active.append(len(self.named))
-            self.named.append((hint, set()))
+            self.named.append((hint, set(), tag not in GROUPS and tag != "form" and hint not in MEANT and hint != "role"))
         if tag in HEADINGS:
             self.heading = True
         self.at.setdefault(tag, []).append(len(self.open))
@@ -168,6 +175,10 @@ class PageLines(HTMLParser):
         self.dropped += dropped
         self.links += tag == "a"
 
+    def parse_html_declaration(self, i):
+        """A marked section is a comment in pages, up to the next ``>``; the standard parser fails on one without a name."""
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
         if tag in BLOCKS:
@@ -212,7 +223,7 @@ def _noisy(parser: PageLines) -> list[bool]:
             inside[k] += len(line.text)
             count[k] += 1
     noise = []
-    for (name, holds), size, n in zip(parser.named, inside, count, strict=True):
+    for (name, holds, _), size, n in zip(parser.named, inside, count, strict=True):
         wraps = "h1" in holds or "main" in holds or "article" in holds and name not in DISCUSSION
         noise.append(not (wraps or n >= LINES and size >= OUTWEIGHS * (total - size)))
     return [any(noise[k] for k in line.hints) for line in parser.lines]
@@ -242,17 +253,39 @@ def _region(parser: PageLines, weight: list[int], own: list[int], heads: list[in
         at = best
 
 
-def main_text(html: str) -> str:
-    """Content lines of a page in order, joined by line feeds; empty where there are none."""
+def parsed(html: str) -> PageLines:
+    """A page's events taken up. A comment or tag that the page does not end is ended with it: the standard parser would read it
+    as text and look for its end again from each of its characters."""
     parser = PageLines()
     parser.feed(html)
+    parser.dropped += 1
+    for end in ("-->", ">", '">', "'>"):
+        if not parser.rawdata.startswith("<"):
+            break
+        if end != "-->" or parser.rawdata.startswith("<!--"):
+            parser.feed(end)
+    parser.dropped -= 1
+    if parser.rawdata.startswith("<") and len(parser.rawdata) > 1:
+        parser.rawdata = ""
     parser.close()
+    return parser
+
+
+def main_text(html: str) -> str:
+    """Content lines of a page in order, joined by line feeds; empty where there are none."""
+    parser = parsed(html)
     lines = parser.lines
     noisy = _noisy(parser) if lines else []
     if all(noisy):
         return ""
-    ratios = smoothed(np.array([len(line.text) / max(1, line.tags) for line in lines])) * ~np.array(noisy)
-    high = ratios >= max(min(SHARE * ratios.std(), ratios.max()), 1e-9)
+    plain = np.array([len(line.text) / max(1, line.tags) for line in lines])
+    ratios = smoothed(plain) * ~np.array(noisy)
+    least = max(min(SHARE * ratios.std(), ratios.max()), 1e-9)
+    soft = np.array([line.soft for line in lines])
+    high = np.where(soft, SOFT * np.minimum(ratios, plain), ratios) >= least
+    noisy = [bad or s and not h for bad, s, h in zip(noisy, soft.tolist(), high.tolist(), strict=True)]
+    if all(noisy):
+        return ""
     n = len(parser.parent)
     weight, own, heads, linked, chars, links = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for line, h, bad in zip(lines, high.tolist(), noisy, strict=True):

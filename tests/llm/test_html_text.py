@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html as H
 import re
+import time
 
 import numpy as np
 import pytest
@@ -92,3 +93,25 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in extract_pages(pages).collect())
     assert got == [(0, "u", "a", 1), (1, None, "", 0), (2, "u", "b", 1), (2, "u", "b", 1)]
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+PROSE = "A paragraph that goes on and on, as those of articles do, with a number of clauses and a full stop at the very end. " * 2
+
+
+@pytest.mark.parametrize("name", ["related", "share", "reply", "tags", "toc", "notice"])
+def test_a_name_on_a_paragraph_lowers_its_ratio_only(name):
+    page = f"<div><h1>T</h1><p>{PROSE}</p><p class={name}>Also {PROSE}</p><p class={name}>Share this</p><p>{PROSE}</p></div>"
+    assert main_text(page) == "\n".join(["T", PROSE.strip(), f"Also {PROSE}".strip(), PROSE.strip()])
+
+
+@pytest.mark.parametrize("name", ["ad", "sponsored", "comment", "cookie"])
+def test_a_name_meant_of_the_text_removes_it(name):
+    assert main_text(f"<div><p>{PROSE}</p><p class={name}>Also {PROSE}</p><p>{PROSE}</p></div>") == f"{PROSE.strip()}\n{PROSE.strip()}"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<!--", "<?", "<!", "<![", "</", "&", '<a href="', "<a x='", "<", "<script>", "<![CDATA[", "<p"])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_unterminated_constructs_end_in_time(part, end):
+    began = time.process_time()
+    assert main_text("<p>kept text here</p>" + part * 20_000 + end).startswith("kept text here")
+    assert time.process_time() - began < 2
