@@ -38,6 +38,8 @@ MOST_WINDOWS = 4096
 BLOCK = 1 << 20
 #: Bytes of distinct segments of a key beyond which its windows are dealt by their own hashes.
 HOT_BYTES = 1 << 20
+#: Shares of the strings that hold a window of a hot key.
+SALTS = 32
 #: Bytes of texts that are hashed together, about.
 BATCH_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -358,7 +360,10 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_by
         # one string for each distinct window; where it is a repeat, all its places are
         own = windows.groupBy("key", F.col("string")).agg(F.sum("n").alias("n")).withColumn("digest", F.unhex(F.sha2("string", 256)))
         proven = _expanded(own.repartition("key").sortWithinPartitions("key"), length, block).select(F.col("digest").alias("window")).distinct()
-        placed = windows.withColumn("window", F.unhex(F.sha2("string", 256))).join(proven.hint("merge"), "window", "left_semi")
+        # a window of many strings meets its proof in as many shares as there are salts
+        salted = proven.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own_salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")
+        placed = windows.select("digest", "place", F.unhex(F.sha2("string", 256)).alias("window"), own_salt.alias("salt")).join(salted.hint("merge"), ["window", "salt"], "left_semi")
         found = found.unionByName(_runs(placed.groupBy("digest").agg(F.collect_set("place").alias("places")), length))
     found = materialize(found, "repeats-found")
     return cut.select("dk", "digest", "start").join(found.hint("merge"), "digest").select("dk", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
