@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.storage import materialize
-from lattica.llm.wordpieces import MARK, ChunkEncoder, model_path
+from lattica.llm.wordpieces import MARK, model_path
 
 #: Tokens of a lane, about.
 LANE = 512
 #: Bytes of texts that are merged together, about.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Steps between compactions of the state vector.
 COMPACT = 16
 #: Ids of B are the low bits of a pair's code.
@@ -54,6 +54,7 @@ class Pair:
 
     def __init__(self, a_path: str, b_path: str):
         import public_tokenizers
+        import sentencepiece
         import tiktoken
 
         with open(a_path, encoding="utf-8") as file:
@@ -64,25 +65,47 @@ class Pair:
         # ids follow the order of merges, so they are the ranks; strings of special tokens are plain text
         self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks={b: i for i, b in entries.items()}, special_tokens={})
         self.a_bytes = [entries.get(i, b"") for i in range(max(entries) + 1)]
-        self.b = ChunkEncoder(b_path)
-        self.b_bytes = [self._piece(self.b.model.id_to_piece(i), self.b.model.is_byte(i)) for i in range(self.b.model.get_piece_size())]
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.b_bytes = [self._piece(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())]
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        #: Decimal ids of both with what follows them in a digest, within a group and at its end.
+        n, m = len(self.a_bytes), len(self.b_bytes)
+        self.written = [f"{i}{end}" for count, ends in ((n, ",|"), (m, ",;")) for end in ends for i in range(count)]
 
     @staticmethod
     def _piece(piece: str, byte: bool) -> bytes:
         return bytes([int(piece[3:-1], 16)]) if byte else piece.replace(MARK, " ").encode()
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both, or nothing where a tokenizer's bytes differ from a space and the text, or there is no text."""
-        if not text:
-            return None
-        whole = b" " + text.encode()
-        a = np.array(self.a.encode_ordinary(" " + text), np.int64)
-        b = np.frombuffer(self.b.encode(text), "<u4")[1:-1].astype(np.int64)
-        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
-            return None
-        return a, b
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both for each text; none where a tokenizer's bytes differ from a space and the text, or there is no text."""
+        none = np.zeros(0, np.int32)
+        out = []
+        for text, pieces in zip(texts, self.b.encode([t or "" for t in texts], num_threads=1), strict=True):
+            if not text:
+                out.append((none, none))
+                continue
+            whole = b" " + text.encode()
+            a, b = np.array(self.a.encode_ordinary(" " + text), np.int32), np.array(pieces, np.int32)
+            # lengths first: they differ wherever a marker of B stands in the text
+            same = int(self.b_sizes[b].sum()) == int(self.a_sizes[a].sum()) == len(whole) and b"".join(map(self.b_bytes.__getitem__, pieces)) == whole
+            same = same and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole
+            out.append((a, b) if same else (none, none))
+        return out
+
+    def groups_text(self, a: np.ndarray, b: np.ndarray, a_places: np.ndarray, b_places: np.ndarray) -> str:
+        """``a1,a2|b1;a3|b2,b3``: ids of both between cuts."""
+        if not len(a_places):
+            return ""
+        n, m = len(self.a_bytes), len(self.b_bytes)
+        a_last, b_last = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        a_last[a_places] = b_last[b_places] = True
+        # a group's A tokens come after the B tokens of the groups before, its B tokens after its own A tokens
+        a_sizes, b_sizes = np.diff(a_places, prepend=-1), np.diff(b_places, prepend=-1)
+        order = np.empty(len(a) + len(b), np.int32)
+        order[np.arange(len(a)) + np.repeat(np.cumsum(b_sizes) - b_sizes, a_sizes)] = a + n * a_last
+        order[np.arange(len(b)) + np.repeat(np.cumsum(a_sizes), b_sizes)] = b + 2 * n + m * b_last
+        return "".join(map(self.written.__getitem__, order.tolist()))[:-1]
 
     def possible_pairs(self) -> set[tuple[int, int]]:
         """All (A id, B id) whose tokens can end together: one's bytes are a suffix of the other's."""
@@ -143,10 +166,9 @@ def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, a_from: np.ndarray, a_to: n
     return found_a[order], found_b[order]
 
 
-def align(encoded: list[tuple[np.ndarray, np.ndarray] | None], a_sizes: np.ndarray, b_sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def align(encoded: list[tuple[np.ndarray, np.ndarray]], a_sizes: np.ndarray, b_sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each document, the places of A and B tokens that end together."""
-    a_ids = [e[0] if e else np.zeros(0, np.int64) for e in encoded]
-    b_ids = [e[1] if e else np.zeros(0, np.int64) for e in encoded]
+    a_ids, b_ids = [a for a, _ in encoded], [b for _, b in encoded]
     a_at, b_at = np.cumsum([0, *map(len, a_ids)]), np.cumsum([0, *map(len, b_ids)])
     a_ends = [np.cumsum(a_sizes[x]) for x in a_ids]
     b_ends = [np.cumsum(b_sizes[x]) for x in b_ids]
@@ -162,15 +184,6 @@ def align(encoded: list[tuple[np.ndarray, np.ndarray] | None], a_sizes: np.ndarr
     return [(found_a[cuts[d] : cuts[d + 1]] - a_at[d], found_b[cuts[d] : cuts[d + 1]] - b_at[d]) for d in range(len(encoded))]
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, a_places: np.ndarray, b_places: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: ids of both between cuts."""
-    x, y, out, i, j = list(map(str, a.tolist())), list(map(str, b.tolist())), [], 0, 0
-    for p, q in zip((a_places + 1).tolist(), (b_places + 1).tolist(), strict=True):
-        out.append(",".join(x[i:p]) + "|" + ",".join(y[j:q]))
-        i, j = p, q
-    return ";".join(out)
-
-
 def _batches(texts: list[str | None]) -> Iterator[list[str | None]]:
     """Runs of texts of about BATCH_BYTES."""
     some, size = [], 0
@@ -184,6 +197,16 @@ def _batches(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield some
 
 
+def _aligned(batches: Iterator[pa.RecordBatch], pair: Pair) -> Iterator[tuple[pa.Array, list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]]:
+    """(document ids, ids of both tokenizers, places that link) of runs of rows of (id, text)."""
+    for batch in batches:
+        at = 0
+        for texts in _batches(batch.column(1).to_pylist()):
+            encoded = pair.encode(texts)
+            yield batch.column(0).slice(at, len(texts)), encoded, align(encoded, pair.a_sizes, pair.b_sizes)
+            at += len(texts)
+
+
 def align_documents(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, a_ids, b_ids, a_ends, b_ends): ids of both tokenizers and places of the tokens that link.
 
@@ -194,45 +217,32 @@ def align_documents(docs: DataFrame, a_path: str | None = None, b_path: str | No
     names = ["doc_id", "n_a", "n_b", "n_groups", "a_ids", "b_ids", "a_ends", "b_ends"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(*paths)
-        for batch in batches:
-            at = 0
-            for texts in _batches(batch.column(1).to_pylist()):
-                encoded = [pair.encode(t) for t in texts]
-                places = align(encoded, pair.a_sizes, pair.b_sizes)
-                ids = [(e if e else (np.zeros(0, np.int64),) * 2) for e in encoded]
-                arrays = zip(*[(a, b, p, q) for (a, b), (p, q) in zip(ids, places, strict=True)], strict=True)
-                counts = [[len(a) for a, _ in ids], [len(b) for _, b in ids], [len(p) for p, _ in places]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), *(pa.array(c, pa.int64()) for c in counts), *(pa.array([x.astype("<u4").tobytes() for x in column], pa.binary()) for column in arrays)], names
-                )
-                at += len(texts)
+        for ids, encoded, places in _aligned(batches, _pair(*paths)):
+            arrays = zip(*[(a, b, p, q) for (a, b), (p, q) in zip(encoded, places, strict=True)], strict=True)
+            counts = [[len(a) for a, _ in encoded], [len(b) for _, b in encoded], [len(p) for p, _ in places]]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in counts), *(pa.array([x.astype("<u4").tobytes() for x in column], pa.binary()) for column in arrays)], names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, a_ids binary, b_ids binary, a_ends binary, b_ends binary")
 
 
-def _ints(held: bytes) -> np.ndarray:
-    return np.frombuffer(held, "<u4").astype(np.int64)
-
-
 def link_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a << B_BITS | b
+    return a.astype(np.int64) << B_BITS | b
 
 
-def linked(aligned: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, links, groups_sha256): the linked id pairs of each document as 64-bit codes, and its digest."""
+    paths = a_path or byte_path(), b_path or model_path()
     names = ["doc_id", "n_a", "n_b", "n_groups", "links", "groups_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links, digests = [], []
-            for held in zip(*(batch.column(k).to_pylist() for k in range(4, 8)), strict=True):
-                a, b, p, q = map(_ints, held)
-                links.append(link_codes(a[p], b[q]).astype("<i8").tobytes())
-                digests.append(hashlib.sha256(groups_text(a, b, p, q).encode()).hexdigest() if len(a) else "")
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(links, pa.binary()), pa.array(digests, pa.string())], names)
+        pair = _pair(*paths)
+        for ids, encoded, places in _aligned(batches, pair):
+            links = [link_codes(a[p], b[q]).astype("<i8").tobytes() for (a, b), (p, q) in zip(encoded, places, strict=True)]
+            digests = [hashlib.sha256(pair.groups_text(a, b, p, q).encode()).hexdigest() if len(a) else "" for (a, b), (p, q) in zip(encoded, places, strict=True)]
+            counts = [[len(a) for a, _ in encoded], [len(b) for _, b in encoded], [len(p) for p, _ in places]]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in counts), pa.array(links, pa.binary()), pa.array(digests, pa.string())], names)
 
-    return aligned.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, links binary, groups_sha256 string")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, links binary, groups_sha256 string")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -258,7 +268,7 @@ def tokenizer_alignment(docs: DataFrame, a_path: str | None = None, b_path: str
     ``n_best`` counts links whose pair is the most frequent of its B id in the corpus, ties included; ``count_sum`` adds the
     counts of all links. Texts without tokens have zeros and an empty digest. Repeated rows count as documents of their own.
     """
-    links = materialize(linked(align_documents(docs, a_path, b_path, id_col, text_col)), "alignment")
+    links = materialize(linked(docs, a_path, b_path, id_col, text_col), "alignment")
     table = pair_counts(links).toPandas()  # bounded by the vocabularies
     codes = link_codes(table["a_id"].to_numpy(np.int64), table["b_id"].to_numpy(np.int64))
     order = np.argsort(codes)

@@ -111,5 +111,18 @@ def test_pairs_are_bounded_by_the_vocabularies(spark):
     possible = pair.possible_pairs()
     assert len(possible) < 1_000_000
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    found = {(r.a_id, r.b_id) for r in A.pair_counts(A.linked(A.align_documents(docs))).collect()}
+    found = {(r.a_id, r.b_id) for r in A.pair_counts(A.linked(docs)).collect()}
     assert found <= possible
+
+
+def test_places_of_the_general_form(spark):
+    docs = spark.createDataFrame([(i, t, "x", None) for i, t in enumerate(TEXTS)], SCHEMA)
+    pair = A._pair(A.byte_path(), model_path())
+    ints = lambda x: np.frombuffer(bytes(x), "<u4")
+    seen = 0
+    for r in A.align_documents(docs).collect():
+        a_ends, b_ends = np.cumsum(pair.a_sizes[ints(r.a_ids)]), np.cumsum(pair.b_sizes[ints(r.b_ids)])
+        assert (r.n_a, r.n_b, r.n_groups) == (len(a_ends), len(b_ends), len(ints(r.a_ends)))
+        assert a_ends[ints(r.a_ends)].tolist() == b_ends[ints(r.b_ends)].tolist() == np.intersect1d(a_ends, b_ends).tolist()
+        seen += r.n_groups > 0
+    assert seen > 8
