@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lattica.operators import budget as B
 from lattica.operators import conditions as K
 from lattica.operators import edges as E
 from lattica.operators import fixpoint as X
@@ -243,3 +244,39 @@ def subjects_resolved(s, d):
     )
     asked = named.select("name").unionByName(A.table(s, d, "events").select(F.col("event_type").alias("name"))).unionByName(A.table(s, d, "documents").select(F.col("lang").alias("name")))
     return S.resolve(asked, named)
+
+
+_ANSWERS = """bought AS (SELECT o_custkey AS customer, o_orderkey, o_orderpriority, l_partkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+nodes AS (SELECT customer, list({'name': name, 'depth': depth} ORDER BY depth, name) AS nodes FROM (SELECT DISTINCT customer, 'o' || o_orderkey AS name, 1 AS depth FROM bought
+  UNION SELECT customer, 'p' || l_partkey, 2 FROM bought UNION SELECT customer, 's' || l_suppkey, 3 FROM bought) GROUP BY customer),
+hops AS (SELECT customer, list({'from': a, 'to': b} ORDER BY a, b) AS hops FROM (SELECT customer, 'o' || o_orderkey AS a, 'p' || l_partkey AS b FROM bought
+  UNION SELECT customer, 'p' || l_partkey, 's' || l_suppkey FROM bought) GROUP BY customer),
+bodies AS (SELECT customer, list(DISTINCT o_orderkey ORDER BY o_orderkey) AS orders, list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS priorities FROM bought GROUP BY customer),
+steps AS (
+  SELECT customer, nodes, hops, orders, priorities, 0 AS rings, 0 AS halvings, 0 AS n, len(nodes) + len(hops) + len(orders) + len(priorities) AS total FROM nodes JOIN hops USING (customer) JOIN bodies USING (customer)
+  UNION ALL
+  SELECT customer, CASE WHEN deep THEN inner_nodes ELSE nodes END, CASE WHEN deep THEN list_filter(hops, lambda h: list_contains(names, h['from']) AND list_contains(names, h['to'])) ELSE hops END,
+    CASE WHEN NOT deep AND len(orders) >= len(priorities) THEN orders[1:greatest(len(orders) // 2, 1)] ELSE orders END,
+    CASE WHEN NOT deep AND len(orders) < len(priorities) THEN priorities[1:greatest(len(priorities) // 2, 1)] ELSE priorities END,
+    rings + deep::INT, halvings + (NOT deep)::INT, n + 1, total
+  FROM (SELECT *, list_transform(inner_nodes, lambda x: x['name']) AS names FROM (
+    SELECT *, list_max(list_transform(nodes, lambda x: x['depth'])) > 1 AS deep, list_filter(nodes, lambda x: x['depth'] < list_max(list_transform(nodes, lambda y: y['depth']))) AS inner_nodes FROM steps))
+  WHERE n < 64 AND strlen(to_json({'customer': customer, 'nodes': nodes, 'hops': hops, 'orders': orders, 'priorities': priorities})::VARCHAR) > 600 AND (deep OR greatest(len(orders), len(priorities)) > 1))"""
+
+
+@register(query(_ANSWERS, """SELECT customer, len(nodes) AS n_nodes, len(hops) AS n_hops, len(orders) AS n_orders, len(priorities) AS n_priorities, rings, halvings, (total - len(nodes) - len(hops) - len(orders) - len(priorities))::INT AS left_out,
+  strlen(to_json({'customer': customer, 'nodes': nodes, 'hops': hops, 'orders': orders, 'priorities': priorities})::VARCHAR)::INT AS n_bytes FROM steps QUALIFY n = max(n) OVER (PARTITION BY customer)""", recursive=True))
+def answers_in_budget(s, d):
+    """A customer's orders, their parts and suppliers as rings of a chain, and two lists, in 600 bytes."""
+    lines = A.table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey")
+    bought = A.table(s, d, "orders").select(F.col("o_custkey").alias("customer"), "o_orderkey", "o_orderpriority").join(lines, "o_orderkey")
+    o, p, u = (F.concat(F.lit(x), F.col(c).cast("string")) for x, c in (("o", "o_orderkey"), ("p", "l_partkey"), ("s", "l_suppkey")))
+    node = lambda depth, name: F.struct(F.lit(depth).alias("depth"), name.alias("name"))
+    hop = lambda a, b: F.struct(a.alias("from"), b.alias("to"))
+    every = bought.select("customer", "o_orderkey", "o_orderpriority", F.explode(F.array(F.struct(node(1, o).alias("node"), hop(o, p).alias("hop")), F.struct(node(2, p).alias("node"), hop(p, u).alias("hop")), F.struct(node(3, u).alias("node"), hop(o, p).alias("hop")))).alias("x"))
+    rows = every.groupBy("customer").agg(
+        F.array_sort(F.collect_set("x.node")).alias("nodes"), F.array_sort(F.collect_set("x.hop")).alias("hops"), F.array_sort(F.collect_set("o_orderkey")).alias("orders"), F.array_sort(F.collect_set("o_orderpriority")).alias("priorities")
+    )
+    rows = rows.withColumn("nodes", F.transform("nodes", lambda n: F.struct(n["name"].alias("name"), n["depth"].alias("depth"))))
+    size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    return B.shrink(rows, "customer", ["orders", "priorities"], 600).select("customer", size("nodes"), size("hops"), size("orders"), size("priorities"), "rings", "halvings", "left_out", "n_bytes")

@@ -38,18 +38,18 @@ def pressure_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
 def upsert_stream(changes: DataFrame, path: str, key: list[str], seq: str):
     """A running query that keeps the last row of each key in the table at ``path``, one version a micro-batch.
 
-    Its checkpoint is beside the table, so a restart goes on where it stopped. Each micro-batch writes the whole table; for
-    large ones use ``delta_stream``.
+    The table is read with ``current_table``. Its checkpoint is beside it, so a restart goes on where it stopped: a crash leaves
+    the version before or after the micro-batch, and one that runs again gives the same rows. Each micro-batch writes the whole
+    table; for large ones use ``delta_stream``.
     """
     from lattica.operators.edges import last_writer
-    from lattica.sources.sinks import swap_table
+    from lattica.sources.sinks import current_version, publish_table
 
     def each(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-        rows = spark.read.schema(batch.schema).parquet(path).unionByName(batch) if there else batch
-        swap_table(last_writer(rows, key, seq).select(batch.columns), path)
+        before = current_version(spark, path)
+        rows = spark.read.schema(batch.schema).parquet(before).unionByName(batch) if before else batch
+        publish_table(last_writer(rows, key, seq).select(batch.columns), path)
 
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}.checkpoint").trigger(availableNow=True).start()
 

@@ -8,6 +8,7 @@ from math import log
 import pytest
 from pyspark.sql import functions as F
 
+from lattica.operators import budget as B
 from lattica.operators import conditions as K
 from lattica.operators import fixpoint as X
 from lattica.operators import postings as P
@@ -213,3 +214,34 @@ def test_index_of_nothing_and_batches(spark):
     assert P.search_index(none, spark, {}).columns == ["query", "doc", "rank", "score", "n_hit", "widened"]
     with pytest.raises(ValueError):
         P.search_index(none, spark, dict.fromkeys(range(2000), "a"))
+
+
+def test_budget_drops_rings_then_halves(spark):
+    import json
+
+    schema = "k int, nodes array<struct<name:string,depth:int>>, hops array<struct<from:string,to:string>>, xs array<string>, ys array<long>"
+    nodes = [("a", 1), ("b", 1), ("c", 2), ("d", 3), ("é", 3)]
+    hops = [("a", "c"), ("c", "d"), ("c", "é"), ("a", "b")]
+    rows = [(1, nodes, hops, ["x"] * 3, [1]), (2, nodes, hops, ["x" * 20] * 9, [1] * 9), (3, None, None, None, None), (4, [("a", 1)], [], ["w" * 900], [7, 8])]
+    df = spark.createDataFrame(rows, schema)
+
+    def plain(row, budget):
+        k, n, h, xs, ys = (x if x is not None else [] for x in row)
+        rings = halvings = 0
+        size = lambda: len(json.dumps({"k": k, "nodes": [{"name": a, "depth": d} for a, d in n], "hops": [{"from": a, "to": b} for a, b in h], "xs": xs, "ys": ys}, separators=(",", ":"), ensure_ascii=False).encode())
+        for _ in range(64):
+            if size() <= budget:
+                break
+            deep = max((d for _, d in n), default=0)
+            if deep > 1:
+                n = [x for x in n if x[1] < deep]
+                names = {a for a, _ in n}
+                h, rings = [x for x in h if x[0] in names and x[1] in names], rings + 1
+            elif max(len(xs), len(ys)) > 1:
+                xs, ys = (xs[: len(xs) // 2], ys) if len(xs) >= len(ys) else (xs, ys[: len(ys) // 2])
+                halvings += 1
+        return k, len(n), len(h), len(xs), len(ys), rings, halvings, size()
+
+    for budget in (10_000, 330, 250, 150, 10):
+        got = {(r.k, len(r.nodes), len(r.hops), len(r.xs), len(r.ys), r.rings, r.halvings, r.n_bytes) for r in B.shrink(df, "k", ["xs", "ys"], budget).collect()}
+        assert got == {plain(r, budget) for r in rows}

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattica.plans.reporting import pressure_counter
+from lattica.sources import sinks
+from lattica.sources.sinks import current_table
 from lattica.streaming.sessions import delta_stream, pressure_stream, read_deltas, upsert_stream, windowed_counts
 
 SF = "/root/testdata/sf0.001"
@@ -40,7 +43,7 @@ def test_upserts_keep_the_last_row(spark, tmp_path):
     changes = stream(spark, tmp_path).select("user_id", "event_id", "value")
     upsert_stream(changes, f"file://{tmp_path}/out", ["user_id"], "event_id").awaitTermination()
     table = spark.read.parquet(f"{SF}/events.parquet")
-    got = {r.user_id: r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    got = {r.user_id: r.event_id for r in current_table(spark, f"file://{tmp_path}/out").collect()}
     assert got == {r.user_id: r.m for r in table.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
 
 
@@ -53,3 +56,26 @@ def test_deltas_give_the_last_row_and_restarts_add_nothing(spark, tmp_path):
     got = [(r.user_id, r.event_id) for r in read_deltas(spark, out, ["user_id"], "event_id").collect()]
     assert len(got) == len(set(got)) and dict(got) == {r.user_id: r.m for r in table.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
     assert len([p for p in (tmp_path / "deltas").iterdir() if p.name.startswith("epoch=")]) == 3
+
+
+def test_upserts_survive_a_crash_before_a_version_is_published(spark, tmp_path, monkeypatch):
+    """The table stays as it was, and the restart gives what no crash would have."""
+    out, publish, calls = f"file://{tmp_path}/out", sinks.publish_table, []
+    changes = stream(spark, tmp_path).select("user_id", "event_id", "value")
+
+    def failing(rows, path):
+        calls.append(path)
+        if len(calls) == 2:
+            rows.write.parquet(f"{path}/version-half")
+            raise OSError("the driver is gone")
+        return publish(rows, path)
+
+    monkeypatch.setattr(sinks, "publish_table", failing)
+    with pytest.raises(Exception, match="the driver is gone"):
+        upsert_stream(changes, out, ["user_id"], "event_id").awaitTermination()
+    kept = current_table(spark, out).count()
+    assert kept > 0 and len(calls) == 2
+    upsert_stream(changes, out, ["user_id"], "event_id").awaitTermination()
+    table = spark.read.parquet(f"{SF}/events.parquet")
+    got = {r.user_id: r.event_id for r in current_table(spark, out).collect()}
+    assert got == {r.user_id: r.m for r in table.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
