@@ -31,13 +31,14 @@ def last_writer(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
     return kept.select(*key, F.col(f"last.{seq}").alias(seq), *[F.col(f"last.{c}").alias(c) for c in rest])
 
 
-def two_hop(edges: DataFrame, hub_pairs: int = HUB_PAIRS) -> DataFrame:
+def two_hop(edges: DataFrame, hub_pairs: int = HUB_PAIRS, onward: DataFrame | None = None) -> DataFrame:
     """(src, dst, via, n_paths): pairs two edges apart, no pair of a node with itself, with the smallest middle node.
 
-    Edges into a hub are dealt over as many shares as its pairs ask for, and its edges out are copied to each share.
+    The second edge is one of ``onward``, if given. Edges into a hub are dealt over as many shares as its pairs ask for, and its edges out are copied to each share.
     """
     edges = materialize(edges.select("src", "dst"), "hops")
-    into, out = edges.select("src", F.col("dst").alias("via")), edges.select(F.col("src").alias("via"), "dst")
+    onward = edges if onward is None else materialize(onward.select("src", "dst"), "hops-onward")
+    into, out = edges.select("src", F.col("dst").alias("via")), onward.select(F.col("src").alias("via"), "dst")
     pairs = into.groupBy("via").agg(F.count("*").alias("n_in")).join(out.groupBy("via").agg(F.count("*").alias("n_out")), "via")
     hubs = pairs.where(F.col("n_in") * F.col("n_out") > hub_pairs).select("via", F.least("n_in", F.ceil(F.col("n_in") * F.col("n_out") / hub_pairs)).cast("int").alias("shares"))
     shares = F.coalesce("shares", F.lit(1))

@@ -54,7 +54,7 @@ def macro_hop_edges(s, d):
     """Calls that functions make through macros: the kinds are tested before the two hops meet."""
     kinds = A.vertices(s, d).select("rowid", "kind")
     e = _firm_edges(s, d).join(kinds.select(F.col("rowid").alias("src"), F.col("kind").alias("of")), "src").join(kinds.select(F.col("rowid").alias("dst"), F.col("kind").alias("to")), "dst")
-    return E.two_hop(e.where("of = 'function' and to = 'macro' or of = 'macro' and to = 'function'").select("src", "dst"))
+    return E.two_hop(e.where("of = 'function' and to = 'macro'"), onward=e.where("of = 'macro' and to = 'function'"))
 
 
 _RANK = "CASE grade WHEN 'exact' THEN 2 WHEN 'resolved' THEN 1 ELSE 0 END"
