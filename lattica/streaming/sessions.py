@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def windowed_counts(events: DataFrame, width: str, late: str) -> DataFrame:
@@ -35,6 +36,67 @@ def pressure_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, pressure long, due boolean", "searches long, uses long", "append", GroupStateTimeout.NoTimeout)
 
 
+class _LatePressure(StatefulProcessor):
+    """A user's rows wait until the watermark has passed them, then count in the order of (ts, event_id)."""
+
+    def __init__(self, idle: int | None):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "event_id long, event_type string, ms long, us long")
+        self.counts = handle.getValueState("counts", "searches long, uses long, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            us = part["ts"].astype("datetime64[us]").astype("int64")
+            new = [(int(e), t, int(u) // 1000, int(u)) for e, t, u in zip(part["event_id"], part["event_type"], us, strict=True)]
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(n[2] for n in new) + 1)
+        yield pd.DataFrame({c: [] for c in ("event_id", "user_id", "pressure", "due")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.waiting.get())
+        ready = sorted((r for r in rows if r[2] < mark), key=lambda r: (r[3], r[0]))
+        later = [r for r in rows if r[2] >= mark]
+        searches, uses, last = self.counts.get() if self.counts.exists() else (0, 0, 0)
+        found = []
+        for event, kind, ms, _ in ready:
+            if self.idle is not None and last and ms - last > self.idle:
+                searches, uses = 0, 0
+            searches, uses, last = searches + (kind == "view"), uses + (kind == "purchase"), ms
+            if kind == "view":
+                level = searches - 3 * uses
+                found.append((event, key[0], level, level >= 5 and (level % 5 == 0 or level >= 20)))
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(r[2] for r in later) + 1)
+        else:
+            self.waiting.clear()
+        if self.idle is not None and not later and last + self.idle < mark:
+            self.counts.clear()
+        else:
+            self.counts.update((searches, uses, last))
+            if self.idle is not None and not later:
+                self.handle.registerTimer(last + self.idle + 1)
+        yield pd.DataFrame(found, columns=["event_id", "user_id", "pressure", "due"])
+
+    def close(self) -> None:
+        pass
+
+
+def late_pressure_stream(events: DataFrame, late: str, idle: int | None = None) -> DataFrame:
+    """``pressure_stream`` for rows in any order: each counts once the watermark, ``late`` behind the newest row, has passed it.
+
+    Rows that come later than that are left out, as with every watermark. A user's state is the rows that wait and two counts;
+    after ``idle`` milliseconds without a row the counts begin anew and the state goes (None: never). Rows with a null user
+    are one user's; those with a null time are left out. The session's state store must be RocksDB (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    rows = events.where("ts is not null").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return rows.groupBy("user_id").transformWithStateInPandas(_LatePressure(idle), "event_id long, user_id long, pressure long, due boolean", "append", "eventTime")
+
+
 def upsert_stream(changes: DataFrame, path: str, key: list[str], seq: str):
     """A running query that keeps the last row of each key in the table at ``path``, one version a micro-batch.
 

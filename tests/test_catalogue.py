@@ -58,6 +58,7 @@ def test_query_against_sql(spark, duck, name):
 VARIED = {
     "reachability_liveness": "state", "thread_membership": "thread", "thread_boundaries": "crosses", "wrapper_fixpoint": "state", "chain_two_classes": "stop",
     "conditions_evaluated": "live", "guard_verdicts": "verdict", "subjects_resolved": "kind", "prose_index_batch": "widened", "answers_in_budget": "halvings", "dominated_verdicts": "verdict",
+    "data_model_keys": "listed", "manifest_states": "state", "external_termini": "depth", "stage_cache_reuse": "reused",
 }
 
 

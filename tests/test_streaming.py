@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lattica.plans.reporting import pressure_counter
 from lattica.sources import sinks
 from lattica.sources.sinks import current_table
-from lattica.streaming.sessions import delta_stream, pressure_stream, read_deltas, upsert_stream, windowed_counts
+from lattica.streaming.sessions import delta_stream, late_pressure_stream, pressure_stream, read_deltas, upsert_stream, windowed_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +79,43 @@ def test_upserts_survive_a_crash_before_a_version_is_published(spark, tmp_path,
     table = spark.read.parquet(f"{SF}/events.parquet")
     got = {r.user_id: r.event_id for r in current_table(spark, out).collect()}
     assert got == {r.user_id: r.m for r in table.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, before)
+
+
+def shuffled(spark, tmp_path, parts=3):
+    """The events table in an order of no sense, then one row a year on, which moves the watermark past all others."""
+    table = spark.read.parquet(f"{SF}/events.parquet")
+    dealt = table.withColumn("n", F.pmod(F.xxhash64("event_id"), F.lit(parts)))
+    for i in range(parts):
+        dealt.where(F.col("n") == i).drop("n").coalesce(1).write.mode("append").parquet(f"{tmp_path}/late")
+    end = table.agg(F.max("ts") + F.expr("interval 400 days")).first()[0]
+    spark.createDataFrame([(-1, end, -1, "error", 0.0, "{}")], table.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/late")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/late")
+
+
+def test_pressure_of_shuffled_batches_equals_the_batch_form(spark, tmp_path, rocks):
+    got = run(late_pressure_stream(shuffled(spark, tmp_path), "200 days"), "late_pressure").collect()
+    want = {r.event_id: (r.pressure, r.due) for r in pressure_counter(spark, SF).where("event_type = 'view'").collect()}
+    assert len(got) == len(want) and {r.event_id: (r.pressure, r.due) for r in got} == want
+
+
+def test_idle_users_begin_anew(spark, tmp_path, rocks):
+    hour = 3_600_000
+    got = {r.event_id: r.pressure for r in run(late_pressure_stream(shuffled(spark, tmp_path), "200 days", hour), "idle_pressure").collect()}
+    want, last, level = {}, {}, {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id").selectExpr("event_id", "user_id", "event_type", "unix_millis(cast(ts as timestamp)) as ms").collect():
+        if r.user_id in last and r.ms - last[r.user_id] > hour:
+            level[r.user_id] = 0
+        last[r.user_id] = r.ms
+        level[r.user_id] = level.get(r.user_id, 0) + {"view": 1, "purchase": -3}.get(r.event_type, 0)
+        if r.event_type == "view":
+            want[r.event_id] = level[r.user_id]
+    assert got == want and len(set(want.values())) > 2
