@@ -55,3 +55,14 @@ def layered(explicit: Column, declared: Column, found: Column, facts: Column) ->
 def carried(new: Column, old: Column) -> Column:
     """A restated list: absent inherits the old one, empty withdraws it, anything else replaces it."""
     return F.when(new.isNull(), old).when(F.size(new) == 0, None).otherwise(new)
+
+
+def extract_version(detail: Column) -> Column:
+    """The first word of a version section's paragraph, empty where there is none."""
+    return F.coalesce(F.regexp_extract(detail, r'<simplesect kind="version"><para>\s*([^\s<]+)', 1), F.lit(""))
+
+
+def report_line(*cells: Column) -> Column:
+    """A row of a Markdown table; bars within cells are escaped, nulls are empty."""
+    shown = [F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in cells]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |"))

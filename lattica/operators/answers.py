@@ -17,14 +17,18 @@ def emptiness(asked: DataFrame, searched: DataFrame, unread: DataFrame) -> DataF
     A query finds the names of ``searched`` (name, text) that hold all its words. An empty answer is ``conjunction`` where
     each word occurs but no name holds all, ``missing_word`` where some do not, ``unread_corpus`` where a row of ``unread``
     (name, text), which is not searched, holds all of them, and ``definitive`` where a query of one word is nowhere.
-    Words meet by an equi-join; no query meets the whole corpus.
+    A query first meets the names of its rarest word, and each of these is then asked for by (word, name), so that a word that
+    is everywhere brings no query together with the whole corpus.
     """
     wanted = asked.select("query", F.explode(words(F.col("query"))).alias("word"))
     sizes = wanted.groupBy("query").agg(F.count("*").alias("n_words"))
 
     def hits(corpus: DataFrame) -> DataFrame:
         own = corpus.select("name", F.explode(words(F.concat_ws(" ", "name", "text"))).alias("word")).distinct()
-        return wanted.join(own, "word").groupBy("query", "name").agg(F.countDistinct("word").alias("n"))
+        many = wanted.join(own.groupBy("word").agg(F.count("*").alias("names")), "word", "left").fillna(0, ["names"])
+        rarest = many.groupBy("query").agg(F.min(F.struct("names", "word")).alias("m")).select("query", F.col("m.word").alias("word"))
+        near = rarest.join(own, "word").select("query", "name")
+        return near.join(wanted, "query").join(own, ["word", "name"]).groupBy("query", "name").agg(F.count("*").alias("n"))
 
     def whole(found: DataFrame, name: str) -> DataFrame:
         return found.join(sizes, "query").where("n = n_words").groupBy("query").agg(F.count("*").alias(name))
@@ -56,6 +60,17 @@ def source_slice(text: Column, lo: Column, hi: Column, most: int) -> tuple[Colum
     return F.array_join(F.slice(lines, F.lit(1), F.lit(most)), "\n"), F.greatest(F.size(lines) - most, F.lit(0))
 
 
+def declaration_excerpt(text: Column, start: Column, most: int, ends: str = ";") -> tuple[Column, Column, Column]:
+    """(lines from ``start`` to the first that holds ``ends``, last line's number, whether ``most`` lines came before any did).
+
+    Lines count from 1; all three are null where the text is or has no such line. A terminator inside a string ends it too early.
+    """
+    window = F.slice(F.split(text, "\n"), F.greatest(start, F.lit(1)), F.lit(most))
+    found = F.array_position(F.transform(window, lambda x: F.contains(x, F.lit(ends))), F.lit(True))
+    size = F.when(found > 0, found.cast("int")).when(F.size(window) > 0, F.size(window))
+    return F.array_join(F.slice(window, F.lit(1), size), "\n"), F.greatest(start, F.lit(1)) + size - 1, F.when(size.isNotNull(), (found == 0) & (size == most))
+
+
 def hierarchy(classes: DataFrame, members: DataFrame) -> DataFrame:
     """(class, base, n_own, n_inherited, n_derived): members of each class, of its base, and classes derived from it.
 

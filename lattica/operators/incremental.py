@@ -18,20 +18,16 @@ def from_cache(wanted: DataFrame, cache: DataFrame, key: list[str]) -> tuple[Dat
     return wanted.join(cache, key), wanted.join(cache.select(*key).distinct(), key, "left_anti")
 
 
-def tree_digest(files: DataFrame, group: str, path: str, digest: str) -> DataFrame:
-    """(group, digest): SHA-256 over the sorted paths and digests of each group."""
-    lines = F.array_sort(F.collect_list(F.concat_ws(":", path, digest)))
-    return files.groupBy(group).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
-
-
 def merkle_digest(files: DataFrame, group: str, path: str, digest: str, bucket: int = 4096) -> DataFrame:
     """(group, digest): SHA-256 over the digests of hash buckets of a group's files, each over its sorted paths and digests.
 
-    A group of n files has n / ``bucket`` buckets, so no task holds a whole large group.
+    A group of n files has n / ``bucket`` buckets, dealt by the first 32 bits of their path's MD5, so no task holds a whole large
+    group. Files without a group are a group of their own; those without a path are not told apart by it.
     """
-    sizes = files.groupBy(group).agg((F.ceil(F.count("*") / bucket)).alias("buckets"))
+    sizes = files.groupBy(F.col(group).alias("of")).agg(F.ceil(F.count("*") / bucket).alias("buckets"))
     line = F.concat_ws(":", path, digest)
-    dealt = files.join(sizes, group).select(group, F.pmod(F.xxhash64(F.col(path)), F.col("buckets")).alias("bucket"), line.alias("line"))
+    dealt_by = F.conv(F.substring(F.md5(F.coalesce(F.col(path).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    dealt = files.join(sizes, F.col(group).eqNullSafe(F.col("of"))).select(group, (dealt_by % F.col("buckets")).alias("bucket"), line.alias("line"))
     inner = dealt.groupBy(group, "bucket").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("h"))
     return inner.groupBy(group).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"))
 

@@ -58,3 +58,25 @@ def all_true(values: Column) -> Column:
 def any_true(values: Column) -> Column:
     """Three-valued disjunction of an array; none is false."""
     return F.aggregate(values, F.lit(False), lambda a, x: a | x)
+
+
+#: What a drafted line starts with that its owner may make active.
+MARKER = "#> "
+
+
+def drafted(sections: DataFrame, entries: DataFrame) -> DataFrame:
+    """(section, place, line): a draft of each section, its status first, then its entries as marked lines in order of their keys.
+
+    ``sections``: (section, status); ``entries``: (section, key, value). Each line is a row, so that no section is gathered. Entries
+    of sections that are not ``proposed`` are shown without the marker: they are findings, not text to make active.
+    """
+    heads = sections.select("section", F.lit(0).cast("long").alias("place"), F.concat(F.lit("# "), "section", F.lit(": "), "status").alias("line"))
+    order = Window.partitionBy("section").orderBy("key", "value")
+    mark = F.when(F.col("status") == "proposed", MARKER).otherwise("#  ")
+    body = entries.join(sections, "section").select("section", F.row_number().over(order).cast("long").alias("place"), F.concat(mark, "key", F.lit(": "), "value").alias("line"))
+    return heads.unionByName(body)
+
+
+def activated(draft: DataFrame) -> DataFrame:
+    """(section, place, line): the marked lines of a draft without their marker; a marker within a line does not count."""
+    return draft.where(F.startswith("line", F.lit(MARKER))).select("section", "place", F.substring("line", len(MARKER) + 1, 1 << 30).alias("line"))

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 def repaired(text: Column, most: int) -> Column:
     """The first ``most`` UTF-8 bytes of a text; a character cut apart at the end becomes U+FFFD."""
-    return F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))
+    return repaired_bytes(F.substring(F.encode(text, "UTF-8"), 1, most))
+
+
+def repaired_bytes(data: Column) -> Column:
+    """Bytes of any length as text; what is no UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8(data.cast("string"))
 
 
 def census(rows: DataFrame, key: str, text: str, watched: list[str]) -> DataFrame:

@@ -6,7 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattica.functions.storage import scratch_path
+from lattica.functions import scalars as S
+from lattica.operators import answers as W
 from lattica.operators import manifests as M
+from lattica.operators import report as R
+from lattica.operators import scans as X
 from lattica.operators import stages as C
 from lattica.operators import termini as T
 from lattica.plans.sql import query
@@ -128,3 +132,49 @@ def stage_cache_reuse(s, d):
     before = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text")))
     C.cached_stage(digested(before), "doc_id", "digest", compute, path, "1", options)
     return C.cached_stage(digested(docs), "doc_id", "digest", compute, path, "1", options)
+
+
+@register(r"""WITH d AS (SELECT doc_id, 1 + doc_id % 3 AS start, (string_split(text, chr(10)))[1 + doc_id % 3:3 + doc_id % 3] AS w FROM documents),
+k AS (SELECT *, coalesce(list_position(list_transform(w, lambda x: contains(x, ',')), true), 0) AS k, CASE WHEN len(w) = 0 THEN NULL WHEN k > 0 THEN k ELSE len(w) END AS n FROM d)
+SELECT doc_id, CASE WHEN n IS NOT NULL THEN array_to_string(w[1:n], chr(10)) END AS excerpt, start + n - 1 AS last_line, CASE WHEN n IS NOT NULL THEN k = 0 AND n = 3 END AS truncated FROM k""")
+def declaration_excerpts(s, d):
+    """Of each document the statement that one of its first lines begins: up to a comma, at most three lines."""
+    excerpt, last, truncated = W.declaration_excerpt(F.col("text"), (1 + F.col("doc_id") % 3).cast("int"), 3, ",")
+    return A.table(s, d, "documents").select("doc_id", excerpt.alias("excerpt"), last.alias("last_line"), truncated.alias("truncated"))
+
+
+@register("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_size || '.' || p_partkey % 7 END AS version FROM part")
+def symbol_versions(s, d):
+    word = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 7).cast("string"))
+    body = F.when(F.col("p_size") % 3 == 0, F.when(F.col("p_size") % 2 == 0, "  ")).otherwise(F.concat(F.lit("  "), word, F.lit(" since")))
+    detail = F.concat(F.lit("<para>"), "p_name", F.lit('</para><simplesect kind="version"><para>'), body, F.lit("</para></simplesect>"))
+    return A.table(s, d, "part").select("p_partkey", S.extract_version(detail).alias("version"))
+
+
+_DRAFT = """owing AS (SELECT n_name || '/' || s_suppkey % 3 AS section, s_name AS key, floor(s_acctbal)::INT::VARCHAR AS value, s_acctbal FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+own AS (SELECT section, key, value FROM owing WHERE s_acctbal < 0),
+sections AS (SELECT section, CASE WHEN count(*) FILTER (s_acctbal < 0) = 0 THEN 'no_candidates' WHEN count(*) FILTER (s_acctbal < 0) * 2 > count(*) THEN 'report_only' ELSE 'proposed' END AS status FROM owing GROUP BY section)"""
+
+
+@register(query(_DRAFT, """SELECT section, 0::BIGINT AS place, '# ' || section || ': ' || status AS line FROM sections
+UNION ALL SELECT section, row_number() OVER (PARTITION BY section ORDER BY key, value), CASE status WHEN 'proposed' THEN '#> ' ELSE '#  ' END || key || ': ' || value FROM own JOIN sections USING (section)"""))
+def proposal_draft(s, d):
+    """Sections of suppliers; those that owe are proposed, unless most of a section do."""
+    n = A.table(s, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    rows = A.table(s, d, "supplier").join(n, "s_nationkey").select(F.concat_ws("/", "n_name", (F.col("s_suppkey") % 3).cast("string")).alias("section"), F.col("s_name").alias("key"), F.floor("s_acctbal").cast("string").alias("value"), "s_acctbal")
+    owes = F.count_if(F.col("s_acctbal") < 0)
+    status = F.when(owes == 0, "no_candidates").when(owes * 2 > F.count("*"), "report_only").otherwise("proposed")
+    return R.drafted(rows.groupBy("section").agg(status.alias("status")), rows.where("s_acctbal < 0").select("section", "key", "value"))
+
+
+@register("SELECT event_type, '| ' || event_type || ' | ' || count(*) || ' | ' || count(DISTINCT user_id) || ' |' AS line FROM events GROUP BY event_type")
+def metric_report(s, d):
+    e = A.table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    return e.select("event_type", S.report_line(F.col("event_type"), F.col("n"), F.col("users")).alias("line"))
+
+
+@register("SELECT doc_id, left(text, length(text)::INT - 1) || CASE WHEN strlen(right(text, 1)) > 1 THEN chr(65533) ELSE '' END AS repaired FROM documents WHERE text <> ''")
+def repaired_texts(s, d):
+    """Whole texts of which the last byte was lost."""
+    data = F.encode("text", "UTF-8")
+    return A.table(s, d, "documents").where("text <> ''").select("doc_id", X.repaired_bytes(F.substring(data, F.lit(1), F.octet_length(data) - 1)).alias("repaired"))

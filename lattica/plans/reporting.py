@@ -31,10 +31,12 @@ def delta_classify(s, d):
     return N.delta(before, after, "doc_id", "h")
 
 
-@register("""SELECT source, sha256(string_agg(doc_id::VARCHAR || ':' || sha256(text), chr(10) ORDER BY doc_id::VARCHAR || ':' || sha256(text))) AS digest FROM documents GROUP BY source""")
+@register("""WITH f AS (SELECT source, doc_id::VARCHAR AS p, concat_ws(':', doc_id::VARCHAR, sha256(text)) AS line FROM documents), n AS (SELECT source, ceil(count(*) / 64.0)::BIGINT AS buckets FROM f GROUP BY source),
+b AS (SELECT f.source, ('0x' || left(md5(p), 8))::BIGINT % buckets AS bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM f JOIN n ON f.source IS NOT DISTINCT FROM n.source GROUP BY ALL)
+SELECT source, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS digest FROM b GROUP BY source""")
 def tree_digests(s, d):
     files = A.table(s, d, "documents").select("source", F.col("doc_id").cast("string").alias("p"), F.sha2("text", 256).alias("h"))
-    return N.tree_digest(files, "source", "p", "h")
+    return N.merkle_digest(files, "source", "p", "h", bucket=64)
 
 
 @register("""SELECT user_id, max(ts) AS last_seen, max(CASE WHEN event_type = 'signup' THEN ts END) AS built, coalesce(max(ts) > max(CASE WHEN event_type = 'signup' THEN ts END), true) AS stale,

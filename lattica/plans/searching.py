@@ -23,7 +23,7 @@ def register(oracle: str | None):
 
 _CORPUS = """corpus AS (SELECT CASE kind WHEN 'function' THEN 0 WHEN 'variable' THEN 1 ELSE 2 END AS tier, name, definition AS brief FROM vertices
 UNION ALL SELECT 3, s_name, 'supplier of nation ' || s_nationkey FROM supplier
-UNION ALL SELECT 4, n_name, 'class of region ' || n_regionkey FROM nation UNION ALL SELECT 5, c_name, 'small account of brand#1' || c_nationkey || ' in ' || c_mktsegment FROM customer WHERE c_acctbal < 0)"""
+UNION ALL SELECT 4, n_name, 'class of region ' || n_regionkey FROM nation UNION ALL SELECT 5, c_name, 'small account of brand#1' || c_nationkey || ' in ' || c_mktsegment FROM customer)"""
 _TEXT = "small brand#1"
 
 
@@ -33,7 +33,7 @@ def _corpus(s, d):
     other = A.table(s, d, "supplier").select(F.lit(3).alias("tier"), F.col("s_name").alias("name"), F.concat(F.lit("supplier of nation "), F.col("s_nationkey").cast("string")).alias("brief"))
     classes = A.table(s, d, "nation").select(F.lit(4).alias("tier"), F.col("n_name").alias("name"), F.concat(F.lit("class of region "), F.col("n_regionkey").cast("string")).alias("brief"))
     account = F.concat(F.lit("small account of brand#1"), F.col("c_nationkey").cast("string"), F.lit(" in "), F.col("c_mktsegment"))
-    accounts = A.table(s, d, "customer").where("c_acctbal < 0").select(F.lit(5).alias("tier"), F.col("c_name").alias("name"), account.alias("brief"))
+    accounts = A.table(s, d, "customer").select(F.lit(5).alias("tier"), F.col("c_name").alias("name"), account.alias("brief"))
     return own.unionByName(other).unionByName(classes).unionByName(accounts)
 
 

@@ -72,6 +72,18 @@ def current_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(found)
 
 
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Add rows to the CSV files at ``path``, in the columns that the first ones had; others are refused."""
+    spark = rows.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        columns = spark.read.option("header", True).csv(path).columns
+        if sorted(columns) != sorted(rows.columns):
+            raise ValueError(f"metrics at {path} have the columns {columns}, not {rows.columns}")
+        rows = rows.select(columns)
+    rows.write.mode("append").option("header", True).csv(path)
+
+
 def upsert(before: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``changes`` and those of ``before`` whose key is not among them."""
     return before.join(changes.select(*key), key, "left_anti").unionByName(changes)

@@ -83,3 +83,52 @@ def test_stage_results_are_reused_and_verified(spark, tmp_path):
     assert [(r["size"], r.reused) for r in got] == [(1, False)]
     again = cached_stage(rows([(1, "a")]), "k", "digest", compute, changed, "2", {}).collect()
     assert [(r["size"], r.reused) for r in again] == [(1, True)]
+
+
+def test_drafts_come_back_as_entries(spark):
+    from lattica.operators.report import activated, drafted
+
+    sections = spark.createDataFrame([("locks", "proposed"), ("keys", "no_candidates"), ("odd", "report_only")], "section string, status string")
+    entries = spark.createDataFrame([("locks", "b", "2"), ("locks", "a", "#> 1"), ("odd", "c", "#> 3"), ("gone", "d", "4")], "section string, key string, value string")
+    draft = drafted(sections, entries)
+    assert sorted(map(tuple, draft.collect())) == [("keys", 0, "# keys: no_candidates"), ("locks", 0, "# locks: proposed"), ("locks", 1, "#> a: #> 1"), ("locks", 2, "#> b: 2"), ("odd", 0, "# odd: report_only"), ("odd", 1, "#  c: #> 3")]
+    assert sorted(map(tuple, activated(draft).collect())) == [("locks", 1, "a: #> 1"), ("locks", 2, "b: 2")]
+
+
+def test_excerpts_end_at_the_terminator(spark):
+    from lattica.operators.answers import declaration_excerpt
+
+    rows = spark.createDataFrame([(0, "a\nb;\nc", 1), (1, "a\nb\nc\nd;", 1), (2, "a\nb", 2), (3, "a", 5), (4, None, 1), (5, "", 0)], "k int, t string, at int")
+    excerpt, last, cut = declaration_excerpt(F.col("t"), F.col("at"), 3)
+    got = sorted(map(tuple, rows.select("k", excerpt, last, cut).collect()))
+    assert got == [(0, "a\nb;", 2, False), (1, "a\nb\nc", 3, True), (2, "b", 2, False), (3, None, None, None), (4, None, None, None), (5, "", 1, False)]
+
+
+def test_metrics_are_appended_in_their_columns(spark, tmp_path):
+    import pytest
+
+    from lattica.sources.sinks import append_metrics
+
+    path = f"file://{tmp_path}/metrics"
+    append_metrics(spark.createDataFrame([("a", 1)], "name string, n int"), path)
+    append_metrics(spark.createDataFrame([(2, "b,c")], "n int, name string"), path)
+    assert sorted(map(tuple, spark.read.option("header", True).csv(path).select("name", "n").collect())) == [("a", "1"), ("b,c", "2")]
+    with pytest.raises(ValueError):
+        append_metrics(spark.createDataFrame([(2,)], "n int"), path)
+
+
+def test_versions_and_report_lines(spark):
+    from lattica.functions.scalars import extract_version, report_line
+
+    rows = spark.createDataFrame([('<simplesect kind="version"><para> 1.2 x</para>',), ('<simplesect kind="version"><para> </para>',), (None,), ("a|b",)], "t string")
+    assert [r[0] for r in rows.select(extract_version(F.col("t"))).collect()] == ["1.2", "", "", ""]
+    assert rows.select(report_line(F.col("t"), F.lit(1))).collect()[3][0] == "| a\\|b | 1 |"
+
+
+def test_a_common_word_brings_no_query_together_with_all_names(spark):
+    from lattica.operators.answers import emptiness
+
+    names = spark.createDataFrame([(f"n{i}", "common") for i in range(50)] + [("x", "common rare"), ("y", "rare only")], "name string, text string")
+    asked = spark.createDataFrame([("common rare",), ("common",), ("rare nowhere",), ("only common",), ("nowhere",)], "query string")
+    got = {r["query"]: (r.n_found, r.grade) for r in emptiness(asked, names, names.limit(0)).collect()}
+    assert got == {"common rare": (1, "answered"), "common": (51, "answered"), "rare nowhere": (0, "missing_word"), "only common": (0, "conjunction"), "nowhere": (0, "definitive")}
