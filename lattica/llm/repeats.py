@@ -38,8 +38,8 @@ MOST_WINDOWS = 4096
 BLOCK = 1 << 20
 #: Bytes of distinct segments of a key beyond which its windows are dealt by their own hashes.
 HOT_BYTES = 1 << 20
-#: Shares of the strings that hold a window of a hot key.
-SALTS = 32
+#: Shares of the strings that hold a window of a hot key, if more rows than this have it; so fewer than one in so many is dealt.
+SALTS, MANY = 32, 1024
 #: Bytes of texts that are hashed together, about.
 BATCH_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -355,15 +355,17 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_by
     found = _expanded(strings.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key"), length, block)
     if not hot.isEmpty():
         wide = materialize(strings.join(hot, "key", "left_semi").select("string", "n", "digest"), "repeats-wide")
-        again = materialize(_windows_of(wide, length, False).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "repeats-again")
+        again = materialize(_windows_of(wide, length, False).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key", (F.col("n") > MANY).alias("many")), "repeats-again")
         windows = materialize(_windows_of(wide, length, True).join(again.hint("merge"), "key"), "repeats-windows")
         # one string for each distinct window; where it is a repeat, all its places are
-        own = windows.groupBy("key", F.col("string")).agg(F.sum("n").alias("n")).withColumn("digest", F.unhex(F.sha2("string", 256)))
+        name = F.concat(F.unhex(F.sha2("string", 256)), F.when(F.col("many"), F.lit(b"\x01")).otherwise(F.lit(b"\x00")))
+        own = windows.groupBy("key", "string", "many").agg(F.sum("n").alias("n")).withColumn("digest", name)
         proven = _expanded(own.repartition("key").sortWithinPartitions("key"), length, block).select(F.col("digest").alias("window")).distinct()
-        # a window of many strings meets its proof in as many shares as there are salts
-        salted = proven.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own_salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")
-        placed = windows.select("digest", "place", F.unhex(F.sha2("string", 256)).alias("window"), own_salt.alias("salt")).join(salted.hint("merge"), ["window", "salt"], "left_semi")
+        # a window of many strings, which its name tells, meets its proof in as many shares as there are salts
+        shares = F.when(F.substring("window", 33, 1) == F.lit(b"\x01"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        salted = proven.withColumn("salt", F.explode(shares))
+        own_salt = F.when(F.col("many"), F.pmod(F.xxhash64("digest"), F.lit(SALTS))).otherwise(0).cast("int")
+        placed = windows.select("digest", "place", name.alias("window"), own_salt.alias("salt")).join(salted.hint("merge"), ["window", "salt"], "left_semi")
         found = found.unionByName(_runs(placed.groupBy("digest").agg(F.collect_set("place").alias("places")), length))
     found = materialize(found, "repeats-found")
     return cut.select("dk", "digest", "start").join(found.hint("merge"), "digest").select("dk", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))

@@ -40,9 +40,10 @@ def test_query_against_brute_force(spark):
     assert got == brute(docs, 200) and sum(x[2] > 0 for x in got) > 5
 
 
-@pytest.mark.parametrize("hot,block", [(1 << 20, 1 << 20), (300, 500), (0, 1)])
-def test_edge_rows_against_brute_force(spark, hot, block):
+@pytest.mark.parametrize("hot,block,many", [(1 << 20, 1 << 20, 1024), (300, 500, 2), (0, 1, 1024), (0, 1, 1)])
+def test_edge_rows_against_brute_force(spark, monkeypatch, hot, block, many):
     """Nulls, empty texts, copies, periodic and long texts, passages in many contexts, bytes of several, zeros; hot keys and cold ones."""
+    monkeypatch.setattr(R, "MANY", many)
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh é") for _ in range(r.randint(2, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
