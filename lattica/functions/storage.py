@@ -57,9 +57,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, compression: str = "zstd", owned: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``owned`` gets the path under ``name``, for an owner that discards the table once nothing reads it.
+    """
     path = scratch_path(df.sparkSession, name)
     _written.append(path)
+    if owned is not None:
+        owned[name] = path
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
