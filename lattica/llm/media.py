@@ -23,7 +23,7 @@ from lattica.functions.storage import materialize
 ROW = 64
 #: Rows and columns of a tile.
 TILE = 16
-#: Samples of an image at most: what a header claims must not size memory beyond what its bytes can hold.
+#: Samples of an image at most, unless its file has a byte for each: what a header claims must not size memory beyond its bytes.
 MOST_SAMPLES = 1 << 28
 
 
@@ -53,10 +53,10 @@ def _netpbm_head(blob: bytes) -> tuple[int, list[int], int]:
     return kind, numbers, at + 1
 
 
-def _sized(width: int, height: int, colours: int = 1) -> int:
+def _sized(blob: bytes, width: int, height: int, colours: int = 1) -> int:
     """Samples of an image; refuses empty and huge ones."""
     n = width * height * colours
-    if width <= 0 or height <= 0 or n > MOST_SAMPLES:
+    if width <= 0 or height <= 0 or n > max(MOST_SAMPLES, len(blob)):
         raise ValueError(f"no image of {width} x {height}")
     return n
 
@@ -74,7 +74,7 @@ def decode_netpbm(blob: bytes) -> np.ndarray:
     """
     kind, numbers, at = _netpbm_head(blob)
     width, height, colours = numbers[0], numbers[1], 3 if kind in (3, 6) else 1
-    n = _sized(width, height, colours)
+    n = _sized(blob, width, height, colours)
     if kind == 4:
         row = -(-width // 8)
         bits = np.unpackbits(_bytes_at(blob, at, row * height).reshape(height, row), axis=1)[:, :width]
@@ -130,7 +130,7 @@ def decode_bmp(blob: bytes) -> np.ndarray:
     start, header, width, height, depth, packing, used = at(10, 4), at(14, 4), at(18, 4), at(22, 4), at(28, 2), at(30, 4), at(46, 4)
     if packing or depth not in (8, 24, 32) or width <= 0 or not height:
         raise ValueError("only uncompressed images of 8, 24 or 32 bits are read")
-    _sized(width, abs(height), depth // 8)
+    _sized(blob, width, abs(height), depth // 8)
     row = -(-width * depth // 32) * 4
     rows = _bytes_at(blob, start, row * abs(height)).reshape(abs(height), row)
     rows = rows[::-1] if height > 0 else rows

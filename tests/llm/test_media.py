@@ -98,3 +98,12 @@ def test_malformed_images_in_a_table(spark):
     rows = [(1, b"P5 0 0 255 "), (2, b"P2 1 1 255 300 "), (3, None), (4, b""), (5, M.encode_pgm(np.zeros((2, 2), np.uint8)))]
     got = {r.id: r for r in M.tile_images(spark.createDataFrame(rows, "id int, media binary")).collect()}
     assert all(got[i].error and got[i].tile is None for i in (1, 2, 3, 4)) and got[5].error is None and got[5].height == 2
+
+
+def test_payloads_beyond_the_bound_are_read(monkeypatch):
+    monkeypatch.setattr(M, "MOST_SAMPLES", 100)
+    samples = np.arange(64 * 6, dtype=np.uint8).reshape(-1, 64)
+    for blob in (M.encode_pgm(samples), M.encode_bmp(samples)):
+        assert np.array_equal(M.decode_image(blob), samples)
+    with pytest.raises(ValueError):
+        M.decode_image(b"P4 64 64 " + bytes(512))
