@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.storage import materialize
+from lattica.functions.storage import discard, materialize
 
 #: Bytes of a window, and of the strings whose least hash is its key.
 LENGTH, ANCHOR = 200, 64
@@ -335,28 +335,32 @@ def _runs(placed: DataFrame, length: int) -> DataFrame:
     return placed.mapInArrow(run, "digest binary, low long, high long")
 
 
-def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_bytes: int = HOT_BYTES, block: int = BLOCK) -> DataFrame:
+def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_bytes: int = HOT_BYTES, block: int = BLOCK, owned: dict[str, str] | None = None) -> DataFrame:
     """(dk, low, high): runs of bytes of the distinct texts that repeated strings of ``length`` bytes cover; runs may touch.
 
-    ``texts``: (dk, held, copies), a row for each distinct text and how many rows have it.
+    ``texts``: (dk, held, copies), a row for each distinct text and how many rows have it. Intermediate tables go once the
+    next ones are written; ``owned`` gets the paths of the two that the result reads.
     """
-    marked = materialize(_key_rows(texts, length, anchor), "repeats-anchors")
+    spark = texts.sparkSession
+    owned, own_paths = {} if owned is None else owned, {}
+    marked = materialize(_key_rows(texts, length, anchor), "repeats-anchors", owned=own_paths)
     each = F.explode(F.arrays_zip("keys", "starts", "sizes", "twins")).alias("x")
     listed = marked.select("dk", "copies", each).select("dk", "copies", F.col("x.keys").alias("key"), F.col("x.starts").alias("start"), F.col("x.sizes").alias("size"), F.col("x.twins").alias("twin"))
     # a segment may repeat within itself where two of its anchors have the key's hash
-    twice = materialize(listed.groupBy("key").agg(F.sum("copies").alias("n"), F.max("twin").alias("twin")).where("n > 1 or twin").select("key"), "repeats-keys")
+    twice = materialize(listed.groupBy("key").agg(F.sum("copies").alias("n"), F.max("twin").alias("twin")).where("n > 1 or twin").select("key"), "repeats-keys", owned=own_paths)
     live = listed.join(twice.hint("merge"), "key").groupBy("dk").agg(F.collect_list(F.struct("key", "start", "size")).alias("live"))
-    cut = materialize(_cut(texts.join(live.hint("merge"), "dk"), length), "repeats-cut")
+    cut = materialize(_cut(texts.join(live.hint("merge"), "dk"), length), "repeats-cut", owned=owned)
+    discard(spark, [own_paths.pop(name) for name in ("repeats-anchors", "repeats-keys")])
 
     strings = cut.groupBy("key", "digest", "string").agg(F.sum("copies").alias("n"))
-    strings = materialize(strings, "repeats-strings")
+    strings = materialize(strings, "repeats-strings", owned=own_paths)
     sizes = strings.groupBy("key").agg(F.sum(F.octet_length("string")).alias("bytes"))
-    hot = materialize(sizes.where(F.col("bytes") > hot_bytes).select("key"), "repeats-hot")
+    hot = materialize(sizes.where(F.col("bytes") > hot_bytes).select("key"), "repeats-hot", owned=own_paths)
     found = _expanded(strings.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key"), length, block)
     if not hot.isEmpty():
-        wide = materialize(strings.join(hot, "key", "left_semi").select("string", "n", "digest"), "repeats-wide")
-        again = materialize(_windows_of(wide, length, False).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key", (F.col("n") > MANY).alias("many")), "repeats-again")
-        windows = materialize(_windows_of(wide, length, True).join(again.hint("merge"), "key"), "repeats-windows")
+        wide = materialize(strings.join(hot, "key", "left_semi").select("string", "n", "digest"), "repeats-wide", owned=own_paths)
+        again = materialize(_windows_of(wide, length, False).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key", (F.col("n") > MANY).alias("many")), "repeats-again", owned=own_paths)
+        windows = materialize(_windows_of(wide, length, True).join(again.hint("merge"), "key"), "repeats-windows", owned=own_paths)
         # one string for each distinct window; where it is a repeat, all its places are
         name = F.concat(F.unhex(F.sha2("string", 256)), F.when(F.col("many"), F.lit(b"\x01")).otherwise(F.lit(b"\x00")))
         own = windows.groupBy("key", "string", "many").agg(F.sum("n").alias("n")).withColumn("digest", name)
@@ -367,7 +371,8 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_by
         own_salt = F.when(F.col("many"), F.pmod(F.xxhash64("digest"), F.lit(SALTS))).otherwise(0).cast("int")
         placed = windows.select("digest", "place", name.alias("window"), own_salt.alias("salt")).join(salted.hint("merge"), ["window", "salt"], "left_semi")
         found = found.unionByName(_runs(placed.groupBy("digest").agg(F.collect_set("place").alias("places")), length))
-    found = materialize(found, "repeats-found")
+    found = materialize(found, "repeats-found", owned=owned)
+    discard(spark, list(own_paths.values()))
     return cut.select("dk", "digest", "start").join(found.hint("merge"), "digest").select("dk", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
 
@@ -406,10 +411,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         raise ValueError("an anchor is a part of a window")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("held"))
     dk = F.unhex(F.sha2("held", 256)).alias("dk")
-    texts = materialize(own.select(dk, "held").groupBy("dk", "held").agg(F.count("*").alias("copies")), "repeats-texts")
-    runs = repeats(texts.where(F.octet_length("held") >= length), length, anchor, hot_bytes, block)
+    paths: dict[str, str] = {}
+    texts = materialize(own.select(dk, "held").groupBy("dk", "held").agg(F.count("*").alias("copies")), "repeats-texts", owned=paths)
+    runs = repeats(texts.where(F.octet_length("held") >= length), length, anchor, hot_bytes, block, paths)
     runs = runs.groupBy("dk").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
     left = materialize(_removed(texts.select("dk", "held").join(runs.hint("merge"), "dk", "left")), "repeats-left")
+    discard(docs.sparkSession, list(paths.values()))
     return own.select("doc_id", dk).join(left.hint("merge"), "dk").drop("dk")
 
 

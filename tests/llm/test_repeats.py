@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import types as T
 
+from lattica.functions import storage
 from lattica.llm import repeats as R
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("key", T.StringType()), T.StructField("dk", T.StringType()), T.StructField("held", T.StringType())])
@@ -55,6 +56,14 @@ def test_edge_rows_against_brute_force(spark, monkeypatch, hot, block, many):
     assert rows(R.without_repeats(table, 40, 16, hot, block)) == brute(docs, 40)
 
 
+def test_only_the_table_of_the_result_is_left(spark):
+    docs = spark.createDataFrame([(i, f"{'ab' * 40}{i % 3}", None, None, None) for i in range(9)], SCHEMA)
+    before = set(storage.written())
+    out = R.without_repeats(docs, length=12, anchor=4, hot_bytes=50, block=64)
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in storage.written() if p not in before] == ["repeats-left"]
+    assert rows(out) == brute([(i, f"{'ab' * 40}{i % 3}") for i in range(9)], 12) and rows(out) == rows(out)
+
+
 def test_empty_and_short_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert R.without_repeats(empty).count() == 0
