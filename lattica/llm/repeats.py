@@ -34,8 +34,8 @@ from lattica.functions.storage import discard, materialize
 LENGTH, ANCHOR = 200, 64
 #: Windows of a segment at most.
 MOST_WINDOWS = 4096
-#: Bytes of a block, about.
-BLOCK = 1 << 20
+#: Bytes of a block, about; the arrays of one stay in a core's cache.
+BLOCK = 1 << 18
 #: Bytes of distinct segments of a key beyond which its windows are dealt by their own hashes.
 HOT_BYTES = 1 << 20
 #: Shares of the strings that hold a window of a hot key, if more rows than this have it; so fewer than one in so many is dealt.
