@@ -40,8 +40,8 @@ BLOCK = 1 << 18
 HOT_BYTES = 1 << 20
 #: Shares of the strings that hold a window of a hot key, if more rows than this have it; so fewer than one in so many is dealt.
 SALTS, MANY = 32, 1024
-#: Bytes of texts that are hashed together, about.
-BATCH_BYTES = 2 << 20
+#: Bytes of texts that are hashed together, about; their arrays stay in a core's cache.
+BATCH_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -68,11 +68,11 @@ def string_hashes(held: np.ndarray, length: int) -> np.ndarray:
     return found ^ found >> np.uint64(29)
 
 
-def window_keys(held: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
-    """For each window, the least hash of the ``anchor``-byte strings in it."""
-    h, width, span = string_hashes(held, anchor), length - anchor + 1, 1
+def window_keys(held: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR, hashes: np.ndarray | None = None) -> np.ndarray:
+    """For each window, the least hash of the ``anchor``-byte strings in it; ``hashes`` are those, if known."""
     if len(held) < length:
         return np.zeros(0, np.uint64)
+    h, width, span = string_hashes(held, anchor) if hashes is None else hashes, length - anchor + 1, 1
     while 2 * span <= width:
         h = np.minimum(h[:-span], h[span:])
         span *= 2
@@ -80,9 +80,9 @@ def window_keys(held: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) ->
     return np.minimum(h[:n], h[width - span : width - span + n])
 
 
-def twin_anchors(held: np.ndarray, keys: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+def twin_anchors(held: np.ndarray, keys: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(place, place of the next one) of neighbouring anchors with one hash that a window can hold both of, as in periodic text."""
-    h, width, span = string_hashes(held, anchor), length - anchor + 1, 1
+    h, width, span = string_hashes(held, anchor) if hashes is None else hashes, length - anchor + 1, 1
     # an anchor is the least of some window if the largest key of the windows around it is its own hash
     most = np.concatenate([np.zeros(width - 1, np.uint64), keys, np.zeros(width - 1, np.uint64)])
     while 2 * span <= width:
@@ -236,8 +236,9 @@ def _key_rows(texts: DataFrame, length: int, anchor: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, held, at, sizes in _texts(batches, 1):
-            keys = window_keys(held, length, anchor)
-            twin, other = twin_anchors(held, keys, length, anchor)
+            hashes = string_hashes(held, anchor)
+            keys = window_keys(held, length, anchor, hashes)
+            twin, other = twin_anchors(held, keys, length, anchor, hashes)
             out = []
             for a, size in zip(at.tolist(), sizes.tolist(), strict=True):
                 own = keys[a : a + max(0, size - length + 1)]
