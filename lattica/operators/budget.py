@@ -18,35 +18,50 @@ def shrink(rows: DataFrame, key: str, lists: list[str], budget: int, most_steps:
     may stay above a budget that is smaller than its skeleton. ``left_out`` counts nodes, hops and elements that went. Arrays
     that are null count as empty.
 
-    A row's loop is one fold within the row: no shuffle, and nothing leaves the JVM.
+    A row's loop is one fold within the row: no shuffle, and nothing leaves the JVM. The depths of a hop's ends are found once, so
+    a step passes over each array once; a row that fits or cannot shrink is done, and later steps do not look at it.
     """
     columns = ["nodes", "hops", *lists]
+    fields = [*columns, "deepest", "rings", "halvings", "done"]
+
+    def plain(state: Column, c: str) -> Column:
+        return F.transform(state[c], lambda h: h["hop"]) if c == "hops" else state[c]
 
     def size(state: Column, of_key: Column) -> Column:
-        return F.octet_length(F.to_json(F.struct(of_key.alias(key), *[state[c].alias(c) for c in columns])))
+        return F.octet_length(F.to_json(F.struct(of_key.alias(key), *[plain(state, c).alias(c) for c in columns])))
 
     def total(state: Column) -> Column:
         return sum((F.size(state[c]) for c in columns), F.lit(0))
 
     def with_parts(state: Column, **parts: Column) -> Column:
-        return F.struct(*[parts.get(c, state[c]).alias(c) for c in [*columns, "rings", "halvings"]])
+        return F.struct(*[parts.get(c, state[c]).alias(c) for c in fields])
+
+    def depth_of(nodes: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(nodes, lambda n: n["depth"])), F.lit(0))
+
+    def located(nodes: Column, hops: Column) -> Column:
+        """Hops with the least depth of each end, null where it is no node."""
+        known = F.filter(nodes, lambda n: n["depth"].isNotNull() & n["name"].isNotNull())
+        ordered = F.array_sort(F.transform(known, lambda n: F.struct(n["depth"].alias("depth"), n["name"].alias("name"))))
+        at = lambda o, name: F.get(o["depth"], F.array_position(o["name"], name).cast("int") - 1)
+        # an array of one, so that the lists are made once and not for each hop
+        return F.transform(F.array(ordered), lambda o: F.transform(F.array(F.struct(o["depth"].alias("depth"), o["name"].alias("name"))), lambda x: F.transform(hops, lambda h: F.struct(h.alias("hop"), at(x, h["from"]).alias("a"), at(x, h["to"]).alias("b"))))[0])[0]
 
     def step(state: Column, _: Column) -> Column:
-        deepest = F.array_max(F.transform(state["nodes"], lambda n: n["depth"]))
-        inner = F.filter(state["nodes"], lambda n: n["depth"] < deepest)
-        names = F.transform(inner, lambda n: n["name"])
-        touching = F.filter(state["hops"], lambda h: F.array_contains(names, h["from"]) & F.array_contains(names, h["to"]))
-        shorter = with_parts(state, nodes=inner, hops=touching, rings=state["rings"] + 1)
+        inner = F.filter(state["nodes"], lambda n: n["depth"] < state["deepest"])
+        within = F.filter(state["hops"], lambda h: (h["a"] < state["deepest"]) & (h["b"] < state["deepest"]))
+        shorter = with_parts(state, nodes=inner, hops=within, deepest=depth_of(inner), rings=state["rings"] + 1)
         longest = F.greatest(*[F.size(state[c]) for c in lists]) if len(lists) > 1 else F.size(state[lists[0]])
-        halved = state
+        done = with_parts(state, done=F.lit(True))
+        halved = done
         for c in reversed(lists):
             half = with_parts(state, **{c: F.slice(state[c], F.lit(1), F.greatest((F.size(state[c]) / 2).cast("int"), F.lit(1))), "halvings": state["halvings"] + 1})
             halved = F.when(F.size(state[c]) == longest, half).otherwise(halved)
-        return F.when(size(state, F.col(key)) <= budget, state).when(F.coalesce(deepest, F.lit(0)) > 1, shorter).when(longest > 1, halved).otherwise(state)
+        return F.when(state["done"], state).when(size(state, F.col(key)) <= budget, done).when(state["deepest"] > 1, shorter).when(longest > 1, halved).otherwise(done)
 
     own = rows.select(key, *[F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c) for c in columns])
-    start = F.struct(*[F.col(c) for c in columns], F.lit(0).alias("rings"), F.lit(0).alias("halvings"))
-    folded = own.select(key, F.struct(*columns).alias("before"), F.aggregate(F.sequence(F.lit(1), F.lit(most_steps)), start, step).alias("after"))
-    return folded.select(
-        key, *[F.col(f"after.{c}").alias(c) for c in columns], "after.rings", "after.halvings", (total(F.col("before")) - total(F.col("after"))).alias("left_out"), size(F.col("after"), F.col(key)).alias("n_bytes")
-    )
+    parts = [located(F.col("nodes"), F.col("hops")).alias("hops") if c == "hops" else F.col(c) for c in columns]
+    start = F.struct(*parts, depth_of(F.col("nodes")).alias("deepest"), F.lit(0).alias("rings"), F.lit(0).alias("halvings"), F.lit(False).alias("done"))
+    folded = own.select(key, total({c: F.col(c) for c in columns}).alias("before"), F.aggregate(F.sequence(F.lit(1), F.lit(most_steps)), start, step).alias("after"))
+    after = F.col("after")
+    return folded.select(key, *[plain(after, c).alias(c) for c in columns], "after.rings", "after.halvings", (F.col("before") - total(after)).alias("left_out"), size(after, F.col(key)).alias("n_bytes"))

@@ -245,3 +245,20 @@ def test_budget_drops_rings_then_halves(spark):
     for budget in (10_000, 330, 250, 150, 10):
         got = {(r.k, len(r.nodes), len(r.hops), len(r.xs), len(r.ys), r.rings, r.halvings, r.n_bytes) for r in B.shrink(df, "k", ["xs", "ys"], budget).collect()}
         assert got == {plain(r, budget) for r in rows}
+
+
+def test_budget_steps_pass_over_each_array_once(spark):
+    """Long chains, names at two depths, and hops to no node: a row of 700 nodes and 700 hops took minutes when each hop made the names anew."""
+    import time
+
+    nodes = [(f"n{i}", 1 + i % 3) for i in range(700)] + [("n0", 3), ("n2", 1)]
+    hops = [(f"n{i}", f"n{(i * 7 + 1) % 700}") for i in range(700)] + [("n0", "gone"), ("n0", "n2")]
+    schema = "k int, nodes array<struct<name:string,depth:int>>, hops array<struct<from:string,to:string>>, xs array<string>"
+    df = spark.createDataFrame([(k, nodes, hops, ["x"] * 9) for k in range(4)], schema)
+    began = time.monotonic()
+    got = {(r.k, r.rings, len(r.nodes), tuple(map(tuple, r.hops)), r.halvings, r.left_out) for r in B.shrink(df, "k", ["xs"], 100).collect()}
+    assert time.monotonic() - began < 30
+    first = {n for n, d in nodes if d == 1}
+    kept = tuple((a, b) for a, b in hops if a in first and b in first)
+    size = sum(d == 1 for _, d in nodes)
+    assert ("n0", "n2") in kept and got == {(k, 2, size, kept, 3, len(nodes) - size + len(hops) - len(kept) + 8) for k in range(4)}
