@@ -45,12 +45,16 @@ def resolve_names(sites: DataFrame, vertices: DataFrame) -> DataFrame:
     name with an unknown receiver is receiver_unverified; several are ambiguous, none is external, both without a row.
     ``sites``: (site, name, qualifier), the qualifier null for bare names.
     """
-    own = vertices.where("kind = 'function'").select("name", "rowid", "definition")
-    met = sites.join(own, "name", "left")
-    fits = F.col("rowid").isNotNull() & (F.col("qualifier").isNull() | F.contains("definition", F.concat(F.col("qualifier"), F.lit("::"))))
-    found = met.groupBy("site", "name", "qualifier").agg(
-        F.count("rowid").alias("n"), F.sum(fits.cast("int")).alias("n_fit"), F.min("rowid").alias("only"), F.min(F.when(fits, F.col("rowid"))).alias("fit")
-    )
+    # what a name and qualifier find is the same at each site, and what a definition says the same for each of its rows
+    own = vertices.where("kind = 'function'").groupBy("name", "definition").agg(F.count("rowid").alias("rows"), F.min("rowid").alias("rowid"))
+    written = sites.groupBy("site", "name", "qualifier").agg(F.count("*").alias("times"))
+    asked = written.select("name", "qualifier").distinct()
+    met = asked.where("name is not null").join(own, "name")
+    fits = F.col("qualifier").isNull() | F.contains("definition", F.concat(F.col("qualifier"), F.lit("::")))
+    told = met.groupBy("name", "qualifier").agg(F.sum("rows").alias("n"), F.sum(F.when(fits, F.col("rows")).when(~fits, 0)).alias("n_fit"), F.min("rowid").alias("only"), F.min(F.when(fits, F.col("rowid"))).alias("fit"))
+    told = told.withColumnsRenamed({"name": "of", "qualifier": "by"})
+    found = written.join(told, (F.col("name") == F.col("of")) & F.col("qualifier").eqNullSafe(F.col("by")), "left")
+    found = found.withColumn("n_fit", F.when(F.col("n").isNull(), 0).otherwise(F.col("n_fit")) * F.col("times")).withColumn("n", F.coalesce("n", F.lit(0)) * F.col("times"))
     match = F.when(F.col("n_fit") == 1, "resolved").when(F.col("n") == 0, "external").when((F.col("n") == 1) & (F.col("n_fit") == 0), "receiver_unverified").otherwise("ambiguous")
     row = F.when(match == "resolved", F.col("fit")).when(match == "receiver_unverified", F.col("only"))
     return found.select("site", "name", "qualifier", "n", row.alias("rowid"), match.alias("match"))

@@ -121,3 +121,19 @@ def test_merkle_digests_tell_any_change(spark):
     assert made(rows[::-1]) == base
     changed = made([("a", "p7", "other") if r[:2] == ("a", "p7") else r for r in rows])
     assert changed["a"] != base["a"] and changed["b"] == base["b"]
+
+
+def test_a_name_of_many_rows_and_sites_resolves_without_their_pairs(spark):
+    """20,000 sites and 20,000 rows of one name: 400 million pairs if each site met each row."""
+    import time
+
+    rows = spark.range(20_000).select(F.col("id").alias("rowid"), F.lit("hot").alias("name"), F.lit("function").alias("kind"), F.when(F.col("id") == 7, "A::hot").otherwise("B::hot").alias("definition"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, "one", "function", "C::one"), (-2, "one", "macro", "C::one")], rows.schema))
+    sites = spark.range(20_000).select(F.col("id").alias("site"), F.lit("hot").alias("name"), F.when(F.col("id") % 3 == 1, "A").when(F.col("id") % 3 == 2, "B").alias("qualifier"))
+    few = [(-1, "one", None), (-2, "one", "C"), (-3, "one", "D"), (-4, "none", "D"), (-5, None, None)]
+    began = time.monotonic()
+    got = {tuple(r) for r in identity.resolve_names(sites.unionByName(spark.createDataFrame(few, "site long, name string, qualifier string")), rows).collect()}
+    assert time.monotonic() - began < 20
+    hot = lambda i: ("hot", "A", 20_000, 7, "resolved") if i % 3 == 1 else ("hot", "B" if i % 3 == 2 else None, 20_000, None, "ambiguous")
+    own = {(-1, "one", None, 1, -1, "resolved"), (-2, "one", "C", 1, -1, "resolved"), (-3, "one", "D", 1, -1, "receiver_unverified"), (-4, "none", "D", 0, None, "external"), (-5, None, None, 0, None, "external")}
+    assert got == own | {(i, *hot(i)) for i in range(20_000)}
