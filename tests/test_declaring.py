@@ -132,3 +132,19 @@ def test_a_common_word_brings_no_query_together_with_all_names(spark):
     asked = spark.createDataFrame([("common rare",), ("common",), ("rare nowhere",), ("only common",), ("nowhere",)], "query string")
     got = {r["query"]: (r.n_found, r.grade) for r in emptiness(asked, names, names.limit(0)).collect()}
     assert got == {"common rare": (1, "answered"), "common": (51, "answered"), "rare nowhere": (0, "missing_word"), "only common": (0, "conjunction"), "nowhere": (0, "definitive")}
+
+
+def test_a_list_without_names_that_is_cut_short_is_malformed(spark, tmp_path):
+    """Order 707 lists names, has none, and is one of those cut short: its document was the two characters of an empty list."""
+    import duckdb
+
+    from lattica.plans.catalogue import ORACLES, QUERIES
+
+    line = [(k, n, 1, 1, float(q), 0.0, 0.0, "A", "O") for k, n, q in ((707, 1, 1), (11, 1, 1), (19, 1, 9), (303, 1, 2), (404, 1, 9), (8, 1, 9))]
+    spark.createDataFrame(line, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(r[0], 3, "1-URGENT") for r in line], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = {(r.manifest, r["shape"], r.state, r.n_keys) for r in QUERIES["manifest_states"](spark, str(tmp_path)).collect()}
+    assert (707, "malformed", "malformed", 0) in got and (11, "other", "other", 0) in got and got == set(duck.execute(ORACLES["manifest_states"]).fetchall())
