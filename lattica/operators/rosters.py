@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.storage import materialize
+
 
 def distribution(rows: DataFrame, label: str) -> DataFrame:
     """(label, n): counts by label, null as the empty string."""
@@ -79,10 +81,17 @@ def boundaries(edges: DataFrame, members: DataFrame) -> DataFrame:
 
     Null where either side has no group; ``to_group`` where the target has exactly one. ``members``: (node, group).
     """
-    sets = members.groupBy("node").agg(F.collect_set("group").alias("groups"))
-    both = edges.join(sets.select(F.col("node").alias("src"), F.col("groups").alias("a")), "src", "left").join(sets.select(F.col("node").alias("dst"), F.col("groups").alias("b")), "dst", "left")
-    crosses = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), ~F.arrays_overlap("a", "b"))
-    return both.select("src", "dst", crosses.alias("crosses"), F.when(F.size("b") == 1, F.get("b", F.lit(0))).alias("to_group"))
+    # few sets are those of many nodes: nodes carry the number of their set, and two sets are compared once
+    sets = materialize(members.groupBy("node").agg(F.array_sort(F.collect_set("group")).alias("groups")), "group-sets")
+    numbered = materialize(sets.select("groups").distinct().withColumn("id", F.monotonically_increasing_id()), "group-set-ids")
+    own = sets.join(numbered, "groups").select("node", "id")
+    of = lambda end, name: own.select(F.col("node").alias(end), F.col("id").alias(name)).hint("merge")
+    both = materialize(edges.join(of("src", "a"), "src", "left").join(of("dst", "b"), "dst", "left").select("src", "dst", "a", "b"), "grouped-edges")
+    met = both.where("a is not null and b is not null").select("a", "b").distinct()
+    met = met.join(numbered.select(F.col("id").alias("a"), F.col("groups").alias("x")), "a").join(numbered.select(F.col("id").alias("b"), F.col("groups").alias("y")), "b")
+    met = met.select("a", "b", (~F.arrays_overlap("x", "y")).alias("crosses"))
+    lone = numbered.where(F.size("groups") == 1).select(F.col("id").alias("b"), F.get("groups", F.lit(0)).alias("to_group"))
+    return both.join(met, ["a", "b"], "left").join(lone, "b", "left").select("src", "dst", "crosses", "to_group")
 
 
 def exemplars(rows: DataFrame, keys: list[str], good: Column, order: str) -> DataFrame:

@@ -275,53 +275,41 @@ def start_stop_pairs(s, d):
 
 
 _SEEDS = "seeds AS (SELECT rowid AS node FROM vertices WHERE lines = 50)"
-#: A declared layer: exact calls between parts of one make; and of these the direct ones.
-_LAYER = """layer AS (
-  SELECT DISTINCT src, dst, source FROM edges JOIN vertices a ON a.rowid = src JOIN vertices b ON b.rowid = dst
-  WHERE grade = 'exact' AND src <> dst AND split_part(a.definition, ' ', 1) = split_part(b.definition, ' ', 1))"""
-
-
-def _layer(s, d):
-    """(src, dst, source): exact calls between parts of one make. Calls of all makes together reach everything from anywhere."""
-    make = A.vertices(s, d).select("rowid", F.substring_index("definition", " ", 1).alias("make"))
-    e = _edges(s, d).where("grade = 'exact' and src <> dst")
-    e = e.join(make.select(F.col("rowid").alias("src"), F.col("make").alias("a")), "src").join(make.select(F.col("rowid").alias("dst"), F.col("make").alias("b")), "dst")
-    return e.where("a = b").select("src", "dst", "source")
 
 
 def _seeds(s, d):
     return A.vertices(s, d).where("lines = 50").select(F.col("rowid").alias("node"))
 
 
-@register(query(VERTICES, EDGES, _LAYER, "seeds AS (SELECT rowid AS node FROM vertices WHERE lines = 50), reach(node) AS (SELECT node FROM seeds UNION SELECT dst FROM reach JOIN layer ON src = node)", "SELECT rowid, CASE WHEN EXISTS (SELECT 1 FROM reach WHERE node = rowid) THEN 'live' ELSE 'orphan' END AS state FROM vertices", recursive=True))
+@register(query(VERTICES, FIRM, "seeds AS (SELECT rowid AS node FROM vertices WHERE lines = 50), reach(node) AS (SELECT node FROM seeds UNION SELECT dst FROM reach JOIN firm ON src = node)", "SELECT rowid, CASE WHEN EXISTS (SELECT 1 FROM reach WHERE node = rowid) THEN 'live' ELSE 'orphan' END AS state FROM vertices", recursive=True))
 def reachability_liveness(s, d):
-    return C.liveness(A.vertices(s, d), _seeds(s, d), _layer(s, d)).drop("depth")
+    return C.liveness(A.vertices(s, d), _seeds(s, d), _firm_edges(s, d)).drop("depth")
 
 
-_MEMBERS = "reach(thread, node) AS (SELECT file, rowid FROM vertices WHERE lines >= 49 UNION SELECT thread, dst FROM reach JOIN layer ON src = node AND source = 'direct')"
+_MEMBERS = "reach(thread, node) AS (SELECT file, rowid FROM vertices WHERE lines >= 49 UNION SELECT thread, dst FROM reach JOIN firm ON src = node)"
 
 
-@register(query(VERTICES, EDGES, _LAYER, _MEMBERS, "SELECT thread, node FROM reach", recursive=True))
+@register(query(VERTICES, FIRM, _MEMBERS, "SELECT thread, node FROM reach", recursive=True))
 def thread_membership(s, d):
     return _members(s, d)
 
 
 def _members(s, d):
     seeds = A.vertices(s, d).where("lines >= 49").select(F.col("file").alias("thread"), F.col("rowid").alias("node"))
-    return C.closure(seeds, _layer(s, d).where("source = 'direct'"), "thread").drop("depth")
+    return C.closure(seeds, _firm_edges(s, d), "thread").drop("depth")
 
 
-@register(query(VERTICES, EDGES, _LAYER, _MEMBERS, "SELECT thread, count(*) AS n_members, min(node) AS first_member FROM reach GROUP BY thread", recursive=True))
+@register(query(VERTICES, FIRM, _MEMBERS, "SELECT thread, count(*) AS n_members, min(node) AS first_member FROM reach GROUP BY thread", recursive=True))
 def thread_roster(s, d):
     return _members(s, d).groupBy("thread").agg(F.count("*").alias("n_members"), F.min("node").alias("first_member"))
 
 
-@register(query(VERTICES, EDGES, _LAYER, _MEMBERS, "SELECT node, count(*) AS n_threads FROM reach GROUP BY node HAVING count(*) > 1", recursive=True))
+@register(query(VERTICES, FIRM, _MEMBERS, "SELECT node, count(*) AS n_threads FROM reach GROUP BY node HAVING count(*) > 1", recursive=True))
 def multi_thread_members(s, d):
     return _members(s, d).groupBy("node").agg(F.count("*").alias("n_threads")).where("n_threads > 1")
 
 
-@register(query(VERTICES, FIRM, _LAYER, _MEMBERS, "sets AS (SELECT node, list(thread) AS groups FROM reach GROUP BY node)", "SELECT src, dst, CASE WHEN a.groups IS NOT NULL AND b.groups IS NOT NULL THEN NOT list_has_any(a.groups, b.groups) END AS crosses, CASE WHEN len(b.groups) = 1 THEN b.groups[1] END AS to_group FROM firm LEFT JOIN sets a ON a.node = src LEFT JOIN sets b ON b.node = dst", recursive=True))
+@register(query(VERTICES, FIRM, _MEMBERS, "sets AS (SELECT node, list(thread) AS groups FROM reach GROUP BY node)", "SELECT src, dst, CASE WHEN a.groups IS NOT NULL AND b.groups IS NOT NULL THEN NOT list_has_any(a.groups, b.groups) END AS crosses, CASE WHEN len(b.groups) = 1 THEN b.groups[1] END AS to_group FROM firm LEFT JOIN sets a ON a.node = src LEFT JOIN sets b ON b.node = dst", recursive=True))
 def thread_boundaries(s, d):
     from lattica.operators.rosters import boundaries
 

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 from collections import deque
 
-from lattica.operators.closure import chains, closure
+from pyspark.sql import functions as F
+
+from lattica.operators.closure import chains, closure, liveness
 
 
 def bfs(seeds, edges):
@@ -30,6 +32,23 @@ def test_groups_close_on_their_own_and_seeds_without_edges_stay(spark):
     assert got == {("a", 1), ("a", 2), ("a", 3), ("b", 2), ("b", 3), ("c", 9)}
 
 
+def test_more_groups_than_a_word_has_bits(spark):
+    """150 groups in three words, the sign bit among them, on a ring: each group reaches each node at its own distance."""
+    n = 10
+    edges = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)], "src long, dst long")
+    seeds = spark.createDataFrame([(f"g{g}", g % n) for g in range(150)], "g string, node long").coalesce(1)
+    got = [(r.g, r.node, r.depth) for r in closure(seeds, edges, "g").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(f"g{g}", i, (i - g) % n) for g in range(150) for i in range(n)}
+
+
+def test_closure_sends_no_table_through_the_driver(spark):
+    edges = spark.range(200).select(F.col("id").alias("src"), ((F.col("id") * 7 + 1) % 200).alias("dst"))
+    plan = closure(spark.range(3).select(F.col("id").alias("node")), edges)
+    assert liveness(spark.range(200).withColumnRenamed("id", "rowid"), spark.range(3).withColumnRenamed("id", "node"), edges).where("state = 'live'").count() == plan.count()
+    shown = liveness(spark.range(200).withColumnRenamed("id", "rowid"), spark.range(3).withColumnRenamed("id", "node"), edges)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in shown
+
+
 def test_chain_taper_stops_and_cycles(spark):
     edges = spark.createDataFrame([(0, i) for i in range(1, 7)] + [(1, 0), (1, 7), (1, 8), (1, 9), (2, 50)], "src long, dst long")
     seeds = spark.createDataFrame([(0,)], "node long")
