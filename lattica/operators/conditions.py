@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.storage import materialize
+
 #: Values of Kleene's logic, so that "and" is the least, "or" the greatest, "not" the distance from two.
 FALSE, UNKNOWN, TRUE = 0, 1, 2
 # The tokens of a condition. What is neither an operator, a parenthesis nor a ``defined`` test is unknown.
@@ -65,6 +67,15 @@ def truth(text: Column, defined: Column) -> Column:
     return F.coalesce(folded, F.lit(UNKNOWN))
 
 
+def evaluated(conditions: DataFrame, defined: list[str]) -> DataFrame:
+    """``conditions``, one row for each distinct text, with ``value``: a text is read once, however many rows it guards.
+
+    Written before the values are, so that no later filter or join makes them anew for each row.
+    """
+    own = materialize(conditions, "conditions")
+    return materialize(own.withColumn("value", truth(F.col("condition"), F.array(*map(F.lit, defined)))), "condition-values")
+
+
 def verdict(value: Column) -> Column:
     """A truth value as a boolean, null where unknown."""
     return F.when(value == TRUE, True).when(value == FALSE, False)

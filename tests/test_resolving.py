@@ -262,3 +262,23 @@ def test_budget_steps_pass_over_each_array_once(spark):
     kept = tuple((a, b) for a, b in hops if a in first and b in first)
     size = sum(d == 1 for _, d in nodes)
     assert ("n0", "n2") in kept and got == {(k, 2, size, kept, 3, len(nodes) - size + len(hops) - len(kept) + 8) for k in range(4)}
+
+
+def test_a_condition_is_read_once_however_many_rows_it_guards(spark, monkeypatch, tmp_path):
+    from lattica.plans.catalogue import QUERIES
+
+    line = spark.range(20_000).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit("A").alias("l_returnflag"), F.lit("O").alias("l_linestatus"), F.lit(9.0).alias("l_quantity"))
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    own, log = K.truth, f"{tmp_path}/read"
+
+    @F.udf("int")
+    def noted(condition):
+        with open(log, "a") as f:
+            f.write("x")
+        return 0
+
+    monkeypatch.setattr(K, "truth", lambda text, defined: noted(text) + own(text, defined))
+    assert QUERIES["conditions_evaluated"](spark, str(tmp_path)).count() == 8
+    assert {r.verdict for r in QUERIES["guard_verdicts"](spark, str(tmp_path)).collect()} == {"live", "dead", "undecided"}
+    read = (tmp_path / "read").read_text()
+    assert 16 <= len(read) <= 32
