@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.storage import materialize
+from lattica.operators.closure import MERGE
 from lattica.operators.edges import strongest
 
 
@@ -26,16 +28,27 @@ def bind_callbacks(passed: DataFrame, forwarded: DataFrame) -> DataFrame:
     ``passed``: (callee, place, target) of concrete arguments; ``forwarded``: (callee, place, to, to_place): ``callee`` hands its
     parameter ``place`` to ``to`` at ``to_place``. It ends when a round finds nothing new, as it must: what can be found is finite.
     """
-    from lattica.functions.storage import materialize
-
-    forwarded = materialize(forwarded, "callback-forwards")
-    found = materialize(passed.select("callee", "place", "target").distinct(), "callbacks")
+    # targets are numbered and kept as bits, 64 in a row of a parameter: what is new of it goes on in one row, whatever its number
+    names = materialize(passed.select("target").distinct().withColumn("id", F.monotonically_increasing_id()), "callback-targets")
+    forwarded = materialize(forwarded.select("callee", "place", "to", "to_place").distinct(), "callback-forwards")
+    keys = ["callee", "place", "word"]
+    given = passed.join(names.withColumnRenamed("target", "name"), F.col("target").eqNullSafe(F.col("name")))
+    given = given.select("callee", "place", F.shiftright("id", 6).alias("word"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("bits"))
+    found = materialize(given.groupBy(*keys).agg(F.bit_or("bits").alias("bits")), "callbacks")
     fresh = found
+    parts = 1
     while not fresh.isEmpty():
-        made = fresh.join(forwarded, ["callee", "place"]).select(F.col("to").alias("callee"), F.col("to_place").alias("place"), "target").distinct()
-        fresh = materialize(made.join(found, ["callee", "place", "target"], "left_anti"), "callbacks")
-        found = found.unionByName(fresh)
-    return found
+        made = fresh.join(forwarded.hint("merge"), ["callee", "place"]).groupBy(F.col("to").alias("callee"), F.col("to_place").alias("place"), "word").agg(F.bit_or("bits").alias("bits"))
+        none = F.lit(0).cast("long")
+        both = found.select(*keys, F.col("bits").alias("old"), none.alias("new")).unionByName(made.select(*keys, none.alias("old"), F.col("bits").alias("new")))
+        new = both.groupBy(*keys).agg(F.bit_or("old").alias("old"), F.bit_or("new").alias("new")).select(*keys, F.col("new").bitwiseAND(F.bitwise_not("old")).alias("bits"))
+        fresh = materialize(new.where("bits <> 0"), "callbacks")
+        found, parts = found.unionByName(fresh), parts + 1
+        if parts == MERGE:
+            found, parts = materialize(found, "callbacks"), 1
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0))
+    members = found.select("callee", "place", "word", bit.alias("bit")).select("callee", "place", (F.shiftleft("word", 6) + F.col("bit")).alias("id"))
+    return members.join(names, "id").select("callee", "place", "target")
 
 
 def topic_roles(roles: DataFrame) -> DataFrame:

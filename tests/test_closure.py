@@ -54,3 +54,16 @@ def test_chain_taper_stops_and_cycles(spark):
     seeds = spark.createDataFrame([(0,)], "node long")
     got = {(r.depth, r.src, r.dst, r.omitted) for r in chains(seeds, edges, 2, 4, spark.createDataFrame([(2,)], "node long")).collect()}
     assert got == {(1, 0, 1, 2), (1, 0, 2, 2), (1, 0, 3, 2), (1, 0, 4, 2), (2, 1, 0, 2), (2, 1, 7, 2)}
+
+
+def test_callbacks_of_many_targets_go_on_in_few_rows(spark, monkeypatch):
+    """70 targets of one parameter, through a ring of three: a round writes two rows of bits a parameter, not a row for each target."""
+    from lattica.operators import dispatch
+
+    sizes, write = [], dispatch.materialize
+    monkeypatch.setattr(dispatch, "materialize", lambda df, name: (out := write(df, name), sizes.append(out.count()) if name == "callbacks" else None)[0])
+    passed = spark.createDataFrame([(0, 0, t) for t in range(70)] + [(5, 1, 1), (5, 1, None)], "callee long, place int, target int").coalesce(1)
+    forwarded = spark.createDataFrame([(i, 0, (i + 1) % 3, 0) for i in range(3)] + [(5, 1, 0, 0)], "callee long, place int, to long, to_place int")
+    got = [tuple(r) for r in dispatch.bind_callbacks(passed, forwarded).collect()]
+    want = {(c, 0, t) for c in range(3) for t in [*range(70), None]} | {(5, 1, 1), (5, 1, None)}
+    assert len(got) == len(set(got)) and set(got) == want and max(sizes) <= 6
