@@ -16,10 +16,15 @@ def _get(value: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(value, path, kind)
 
 
-def _entries(classes: Column, under: str, one) -> Column:
-    """Entries of all classes in their order; a class whose list is absent has none."""
+def _entries(classes: Column, under: str, space: Column, group: str, one) -> Column:
+    """Entries of all classes in their order; a class whose list is absent has none.
+
+    The names of the document and of each class are made once, as an array of one, and not for each key.
+    """
     keys = lambda c: F.coalesce(_get(c, f"$.{under}", "array<variant>"), F.array().cast("array<variant>"))
-    return F.flatten(F.transform(classes, lambda c: F.transform(keys(c), lambda k: one(c, k))))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    own = lambda s, c: F.flatten(F.transform(F.array(empty(_get(c, f"$.{group}"))), lambda g: F.transform(keys(c), lambda k: one(s, g, k))))
+    return F.flatten(F.transform(F.array(empty(space)), lambda s: F.flatten(F.transform(classes, lambda c: own(s, c)))))
 
 
 def read_manifests(texts: DataFrame, path: str, text: str) -> DataFrame:
@@ -40,18 +45,17 @@ def read_manifests(texts: DataFrame, path: str, text: str) -> DataFrame:
     shape = F.when(doc.isNull(), "malformed").when(is_list, "key_list").when(is_tables, "tables").when(is_spaces, "spaces").otherwise("other")
 
     def entry(space: Column, group: Column, name: Column, kind: Column, default: Column, enum: Column, helpers: Column, open_fields: Column) -> Column:
-        space, group = F.coalesce(space, F.lit("")), F.coalesce(group, F.lit(""))
         parts = {"define_name": define_name(space, group, name), "namespace": space, "class_name": group, "key_id": name, "value_type": kind, "default_value": default, "enum_name": enum, "helpers": helpers, "unresolved": open_fields}
         return F.struct(*[c.alias(n) for n, c in parts.items()])
 
     null = F.lit(None).cast("string")
-    of_tables = _entries(classes, "keys", lambda c, k: entry(_get(doc, "$.meta.id"), _get(c, "$.id"), _get(k, "$.id"), _get(k, "$.type"), _get(k, "$.default"), _get(k, "$.enum"), _get(k, "$.helpers", "boolean"), null))
+    of_tables = _entries(classes, "keys", _get(doc, "$.meta.id"), "id", lambda s, g, k: entry(s, g, _get(k, "$.id"), _get(k, "$.type"), _get(k, "$.default"), _get(k, "$.enum"), _get(k, "$.helpers", "boolean"), null))
 
     def open_fields(k: Column) -> Column:
         found = F.concat_ws(",", F.when(_get(k, "$.type.default", "variant").isNotNull(), "default"), F.when(_get(k, "$.enum_set", "variant").isNotNull(), "enum_set"))
         return F.nullif(found, F.lit(""))
 
-    of_spaces = _entries(classes, "data", lambda c, k: entry(_get(doc, "$.namespace"), _get(c, "$.name"), _get(k, "$.name"), _get(k, "$.type.mem"), null, null, _get(k, "$.generate_helpers", "boolean"), open_fields(k)))
+    of_spaces = _entries(classes, "data", _get(doc, "$.namespace"), "name", lambda s, g, k: entry(s, g, _get(k, "$.name"), _get(k, "$.type.mem"), null, null, _get(k, "$.generate_helpers", "boolean"), open_fields(k)))
     entries = F.when(F.col("shape") == "tables", of_tables).when(F.col("shape") == "spaces", of_spaces)
     named = F.filter(entries, lambda e: F.coalesce(e["key_id"] != "", F.lit(False)))
     return read.withColumn("shape", shape).select("manifest", "shape", F.when(F.col("shape") == "key_list", names).alias("names"), named.alias("entries"))

@@ -148,3 +148,11 @@ def test_a_list_without_names_that_is_cut_short_is_malformed(spark, tmp_path):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     got = {(r.manifest, r["shape"], r.state, r.n_keys) for r in QUERIES["manifest_states"](spark, str(tmp_path)).collect()}
     assert (707, "malformed", "malformed", 0) in got and (11, "other", "other", 0) in got and got == set(duck.execute(ORACLES["manifest_states"]).fetchall())
+
+
+def test_lines_of_a_class_are_collected_once(spark):
+    """One list of each class and one of each order; a list for each form carried all lines twice through the aggregation."""
+    from lattica.plans.declaring import _manifest_texts
+
+    plan = _manifest_texts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 2 and "collect_set(" not in plan
