@@ -13,9 +13,11 @@ A window is a string of ``LENGTH`` bytes of a text. Windows that occur twice are
 3. Spans. Repeats go back to the texts that hold their segments, where covered bytes are removed.
 
 Joins merge sorted sides: what compresses well on disk may be large, so no side is broadcast for the size of its files.
-Distinct texts and distinct segments are kept once with the number of their occurrences, so groups of copies stay small. A key
-with over ``HOT_BYTES`` of distinct segments, as at the ends of a passage that many texts continue in their own way, is dealt
-anew: windows whose own hash occurs once are dropped, the others get their hash as key.
+Distinct texts and distinct segments are kept once with the number of their occurrences, so groups of copies stay small. The
+distinct segments of keys with over ``HOT_BYTES`` of them, as at the ends of a passage that many texts continue in their own way,
+are taken as texts in turn, with a longer anchor: fewer windows have an anchor without a byte of their own, and segments are
+shorter, so that more of them are alike. The last anchor is the window itself. A window is in one segment of its text, so its
+occurrences in distinct segments, by the texts that hold these, are those in the corpus.
 """
 
 from __future__ import annotations
@@ -36,10 +38,12 @@ LENGTH, ANCHOR = 200, 64
 MOST_WINDOWS = 4096
 #: Bytes of a block, about; the arrays of one stay in a core's cache.
 BLOCK = 1 << 18
-#: Bytes of distinct segments of a key beyond which its windows are dealt by their own hashes.
+#: Bytes of distinct segments of a key beyond which they are cut by longer anchors.
 HOT_BYTES = 1 << 20
-#: Shares of the strings that hold a window of a hot key, if more rows than this have it; so fewer than one in so many is dealt.
-SALTS, MANY = 32, 1024
+#: Distinct segments that a key may have whatever their bytes are: in periodic text they are long, and no anchor parts them.
+MANY = 1024
+#: A longer anchor leaves one part in so many of the bytes that an anchor lacks of a window.
+NEARER = 4
 #: Bytes of texts that are hashed together, about; their arrays stay in a core's cache.
 BATCH_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -275,23 +279,6 @@ def _cut(placed: DataFrame, length: int) -> DataFrame:
     return placed.select("dk", "held", "live", "copies").mapInArrow(run, "dk binary, copies long, key long, start long, digest binary, string binary")
 
 
-def _windows_of(strings: DataFrame, length: int, bytes_too: bool) -> DataFrame:
-    """(key, [digest, place, string,] n): each window of a string, keyed by its own hash."""
-    names = ["key", "n", "digest", "place", "string"] if bytes_too else ["key", "n"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s, n, digest in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                keys = string_hashes(np.frombuffer(s, np.uint8), length).view(np.int64)
-                columns = [pa.array(keys, pa.int64()), pa.array(np.full(len(keys), n), pa.int64())]
-                if bytes_too:
-                    columns += [pa.array([digest] * len(keys), pa.binary()), pa.array(np.arange(len(keys)), pa.int64()), pa.array([s[i : i + length] for i in range(len(keys))], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    kinds = "key long, n long" + ", digest binary, place long, string binary" * bytes_too
-    return strings.select("string", "n", "digest").mapInArrow(run, kinds)
-
-
 def _expanded(strings: DataFrame, length: int, block: int) -> DataFrame:
     """(digest, low, high): runs [low, high) of bytes of each string that repeats cover. Strings of a key must be in one partition,
     next to each other; a block ends with a key."""
@@ -324,14 +311,19 @@ def _expanded(strings: DataFrame, length: int, block: int) -> DataFrame:
     return strings.select("key", "digest", "string", "n").mapInArrow(run, "digest binary, low long, high long")
 
 
-def _runs(placed: DataFrame, length: int) -> DataFrame:
-    """(digest, low, high): maximal runs of the bytes that windows at a string's ``places`` cover; a string has few places."""
+def _joined(placed: DataFrame) -> DataFrame:
+    """(digest, low, high): the runs of each ``dk``, those that touch or overlap together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = [covered(np.sort(np.array(x, np.int64)), length) for x in batch.column(1).to_pylist()]
-            again = np.repeat(np.arange(len(runs)), [len(low) for low, _ in runs])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(again, pa.int64())), *(pa.array(np.concatenate([x[k] for x in runs]), pa.int64()) for k in range(2))], ["digest", "low", "high"])
+            out = []
+            for digest, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                end = -1
+                for low, high in sorted((x["low"], x["high"]) for x in runs):
+                    if low > end:
+                        out.append([digest, low, high])
+                    end = out[-1][2] = max(end, high)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64()))], ["digest", "low", "high"])
 
     return placed.mapInArrow(run, "digest binary, low long, high long")
 
@@ -343,7 +335,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_by
     next ones are written; ``owned`` gets the paths of the two that the result reads.
     """
     spark = texts.sparkSession
-    owned, own_paths = {} if owned is None else owned, {}
+    owned, own_paths, nearer = {} if owned is None else owned, {}, {}
     marked = materialize(_key_rows(texts, length, anchor), "repeats-anchors", owned=own_paths)
     each = F.explode(F.arrays_zip("keys", "starts", "sizes", "twins")).alias("x")
     listed = marked.select("dk", "copies", each).select("dk", "copies", F.col("x.keys").alias("key"), F.col("x.starts").alias("start"), F.col("x.sizes").alias("size"), F.col("x.twins").alias("twin"))
@@ -355,25 +347,18 @@ def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_by
 
     strings = cut.groupBy("key", "digest", "string").agg(F.sum("copies").alias("n"))
     strings = materialize(strings, "repeats-strings", owned=own_paths)
-    sizes = strings.groupBy("key").agg(F.sum(F.octet_length("string")).alias("bytes"))
-    hot = materialize(sizes.where(F.col("bytes") > hot_bytes).select("key"), "repeats-hot", owned=own_paths)
+    sizes = strings.groupBy("key").agg(F.sum(F.octet_length("string")).alias("bytes"), F.count("*").alias("strings"))
+    large = (F.col("bytes") > hot_bytes) & (F.col("strings") > MANY) if anchor < length else F.lit(False)
+    hot = materialize(sizes.where(large).select("key"), "repeats-hot", owned=own_paths)
     found = _expanded(strings.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key"), length, block)
     if not hot.isEmpty():
-        wide = materialize(strings.join(hot, "key", "left_semi").select("string", "n", "digest"), "repeats-wide", owned=own_paths)
-        again = materialize(_windows_of(wide, length, False).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key", (F.col("n") > MANY).alias("many")), "repeats-again", owned=own_paths)
-        windows = materialize(_windows_of(wide, length, True).join(again.hint("merge"), "key"), "repeats-windows", owned=own_paths)
-        # one string for each distinct window; where it is a repeat, all its places are
-        name = F.concat(F.unhex(F.sha2("string", 256)), F.when(F.col("many"), F.lit(b"\x01")).otherwise(F.lit(b"\x00")))
-        own = windows.groupBy("key", "string", "many").agg(F.sum("n").alias("n")).withColumn("digest", name)
-        proven = _expanded(own.repartition("key").sortWithinPartitions("key"), length, block).select(F.col("digest").alias("window")).distinct()
-        # a window of many strings, which its name tells, meets its proof in as many shares as there are salts
-        shares = F.when(F.substring("window", 33, 1) == F.lit(b"\x01"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        salted = proven.withColumn("salt", F.explode(shares))
-        own_salt = F.when(F.col("many"), F.pmod(F.xxhash64("digest"), F.lit(SALTS))).otherwise(0).cast("int")
-        placed = windows.select("digest", "place", name.alias("window"), own_salt.alias("salt")).join(salted.hint("merge"), ["window", "salt"], "left_semi")
-        found = found.unionByName(_runs(placed.groupBy("digest").agg(F.collect_set("place").alias("places")), length))
+        wide = strings.join(hot, "key", "left_semi").select(F.col("digest").alias("dk"), F.col("string").alias("held"), F.col("n").alias("copies"))
+        wide = materialize(wide, "repeats-wide", owned=own_paths)
+        runs = repeats(wide, length, length - (length - anchor) // NEARER, hot_bytes, block, nearer)
+        # many runs of a string meet in one row here, so that shorter ones that touch are one
+        found = found.unionByName(_joined(runs.groupBy("dk").agg(F.collect_set(F.struct("low", "high")).alias("runs"))))
     found = materialize(found, "repeats-found", owned=owned)
-    discard(spark, list(own_paths.values()))
+    discard(spark, [*own_paths.values(), *nearer.values()])
     return cut.select("dk", "digest", "start").join(found.hint("merge"), "digest").select("dk", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
 
@@ -400,6 +385,19 @@ def _removed(placed: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "dk binary, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
+def _cleaned(docs: DataFrame, length: int, anchor: int, hot_bytes: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, dk) of all rows, and what is left of each distinct text."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("held"))
+    dk = F.unhex(F.sha2("held", 256)).alias("dk")
+    paths: dict[str, str] = {}
+    texts = materialize(own.select(dk, "held").groupBy("dk", "held").agg(F.count("*").alias("copies")), "repeats-texts", owned=paths)
+    runs = repeats(texts.where(F.octet_length("held") >= length), length, anchor, hot_bytes, block, paths)
+    runs = runs.groupBy("dk").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    left = materialize(_removed(texts.select("dk", "held").join(runs.hint("merge"), "dk", "left")), "repeats-left")
+    discard(docs.sparkSession, list(paths.values()))
+    return own.select("doc_id", dk), left
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_bytes: int = HOT_BYTES, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans): each text without the bytes that repeated strings cover.
 
@@ -410,17 +408,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """
     if not 0 < anchor <= length:
         raise ValueError("an anchor is a part of a window")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("held"))
-    dk = F.unhex(F.sha2("held", 256)).alias("dk")
-    paths: dict[str, str] = {}
-    texts = materialize(own.select(dk, "held").groupBy("dk", "held").agg(F.count("*").alias("copies")), "repeats-texts", owned=paths)
-    runs = repeats(texts.where(F.octet_length("held") >= length), length, anchor, hot_bytes, block, paths)
-    runs = runs.groupBy("dk").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-    left = materialize(_removed(texts.select("dk", "held").join(runs.hint("merge"), "dk", "left")), "repeats-left")
-    discard(docs.sparkSession, list(paths.values()))
-    return own.select("doc_id", dk).join(left.hint("merge"), "dk").drop("dk")
+    own, left = _cleaned(docs, length, anchor, hot_bytes, block, id_col, text_col)
+    return own.join(left.hint("merge"), "dk").drop("dk")
 
 
 def op13_repeats(spark, sf_dir: str) -> DataFrame:
-    left = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    own, left = _cleaned(spark.read.parquet(f"{sf_dir}/documents.parquet"), LENGTH, ANCHOR, HOT_BYTES, BLOCK, "doc_id", "text")
+    # the digest is made before texts meet their ids, so that no text moves once more
+    left = left.select("dk", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return own.join(left.hint("merge"), "dk").drop("dk")

@@ -64,6 +64,26 @@ def test_only_the_table_of_the_result_is_left(spark):
     assert rows(out) == brute([(i, f"{'ab' * 40}{i % 3}") for i in range(9)], 12) and rows(out) == rows(out)
 
 
+def test_hot_keys_are_cut_anew_and_not_into_windows(spark, monkeypatch):
+    """Windows of a hot key were a row each; now each of its strings gives a few segments by longer anchors."""
+    monkeypatch.setattr(R, "MANY", 1)
+    r = random.Random(3)
+    near = ["".join(r.choice("abcdefgh ") for _ in range(900)) for _ in range(2)]
+    docs = [(i, t[:k] + "XYZ" + t[k + 3 :]) for i, (t, k) in enumerate((near[i % 2], r.randrange(890)) for i in range(60))]
+    table = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], SCHEMA)
+    cut, whole = [], R._cut
+
+    def counted(placed, length):
+        out = whole(placed, length)
+        cut.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "_cut", counted)
+    assert rows(R.without_repeats(table, 200, 64, 0)) == brute(docs, 200)
+    windows = sum(len(t) - 199 for _, t in docs)
+    assert len(cut) > 2 and max(cut) < windows / 5
+
+
 def test_empty_and_short_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert R.without_repeats(empty).count() == 0
