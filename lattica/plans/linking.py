@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lattica.functions.storage import materialize
 from lattica.operators import closure as C
 from lattica.operators import edges as E
 from lattica.operators import identity as I
@@ -51,10 +52,13 @@ def edges_dedup_first(s, d):
 JOIN kinds x ON x.rowid = a.src JOIN kinds m ON m.rowid = a.dst JOIN kinds y ON y.rowid = b.dst
 WHERE a.src <> b.dst AND x.kind = 'function' AND m.kind = 'macro' AND y.kind = 'function' GROUP BY ALL"""))
 def macro_hop_edges(s, d):
-    """Calls that functions make through macros: the kinds are tested before the two hops meet."""
+    """Calls that functions make through macros: kinds are tested before edges are deduplicated, and those left are written once."""
     kinds = A.vertices(s, d).select("rowid", "kind")
-    e = _firm_edges(s, d).join(kinds.select(F.col("rowid").alias("src"), F.col("kind").alias("of")), "src").join(kinds.select(F.col("rowid").alias("dst"), F.col("kind").alias("to")), "dst")
-    return E.two_hop(e.where("of = 'function' and to = 'macro'"), onward=e.where("of = 'macro' and to = 'function'"))
+    raw = A.raw_edges(s, d).drop("weight").where("src <> dst").join(kinds.select(F.col("rowid").alias("src"), F.col("kind").alias("of")), "src").join(kinds.select(F.col("rowid").alias("dst"), F.col("kind").alias("to")), "dst")
+    through = raw.where("of = 'function' and to = 'macro' or of = 'macro' and to = 'function'")
+    firm = E.first_writer(through, ["src", "dst", "source", "of", "to"], "seq").where("grade <> 'fuzzy'")
+    e = materialize(firm.select("src", "dst", "of").distinct(), "macro-edges")
+    return E.two_hop(e.where("of = 'function'"), onward=e.where("of = 'macro'"))
 
 
 _RANK = "CASE grade WHEN 'exact' THEN 2 WHEN 'resolved' THEN 1 ELSE 0 END"

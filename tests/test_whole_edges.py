@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from lattica.plans import linking
 from lattica.plans.catalogue import QUERIES
 
 
@@ -77,6 +78,22 @@ def test_liveness_hops_and_chains(spark, tables):
     assert rows(spark, "chain_backward", folder) == walk(seeds, {(b, a) for a, b in edges})
 
 
+def test_macro_hops_deduplicate_only_edges_of_macros(spark, tables, monkeypatch):
+    """All edges were deduplicated, once for each of the two hops."""
+    folder, parts, edges, exact = tables
+    seen, first_writer = [], linking.E.first_writer
+
+    def counted(rows, key, seq):
+        seen.append({(r.src, r.dst) for r in rows.collect()})
+        return first_writer(rows, key, seq)
+
+    monkeypatch.setattr(linking.E, "first_writer", counted)
+    assert rows(spark, "macro_hop_edges", folder)
+    kind = {p[0]: "function" if p[4] <= 40 else "variable" if p[4] <= 45 else "macro" for p in parts}
+    assert len(seen) == 1 and {e for e in edges if {kind[e[0]], kind[e[1]]} == {"function", "macro"}} <= seen[0]
+    assert all({kind[a], kind[b]} == {"function", "macro"} for a, b in seen[0])
+
+
 def test_threads_over_all_firm_edges(spark, tables):
     folder, parts, edges, exact = tables
     threads = {t: reach([p[0] for p in parts if p[3] == t and p[4] >= 49], edges) for t in {p[3] for p in parts if p[4] >= 49}}
