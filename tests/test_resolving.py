@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import datetime
 import random
 import re
 from collections import Counter, defaultdict
 from math import log
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from lattica.operators import fixpoint as X
 from lattica.operators import postings as P
 from lattica.operators import subjects as S
 from lattica.operators import walks as W
+from lattica.plans import resolving
 
 
 def resolved(seeds, calls, rounds):
@@ -302,3 +305,46 @@ def test_a_condition_is_read_once_however_many_rows_it_guards(spark, monkeypatch
     assert {r.verdict for r in QUERIES["guard_verdicts"](spark, str(tmp_path)).collect()} == {"live", "dead", "undecided"}
     read = (tmp_path / "read").read_text()
     assert 16 <= len(read) <= 32
+
+
+def test_first_hops_of_hubs_and_that_hops_are_made_once(spark):
+    """Hops were made twice, once for their places and once for their numbers; a hub's hops are dealt to several tasks."""
+    rng = random.Random(7)
+    hops = sorted({(rng.choice((1, 1, 1, 2, 3, 4)), rng.randint(0, 400), rng.randint(0, 2)) for _ in range(900)})
+    near = defaultdict(list)
+    for h in sorted(hops, key=lambda h: (-h[1], h[2])):
+        near[h[0]].append(h)
+    want = {(*h, i, len(near[h[0]])) for h in hops if (i := near[h[0]].index(h) + 1) <= 8}
+    table = spark.createDataFrame(hops, "src long, dst long, k int").withColumn("back", -F.col("dst"))
+    hubs = lambda xs: spark.createDataFrame([(x,) for x in xs], "src long")
+    for given in (None, hubs([]), hubs([1, 1, 3, 99])):
+        near = W.first_neighbours(table, ["back", "k"], 8, given)
+        got = [tuple(r) for r in near.select("src", "dst", "k", "place", "n").collect()]
+        assert set(got) == want and len(got) == len(want)
+    plan = W.first_neighbours(table, ["back", "k"], 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+
+
+@pytest.mark.parametrize("most", [20_000, 15])
+def test_two_classes_of_odd_lines_as_their_sql(spark, tmp_path, monkeypatch, most):
+    """Lines without a part, a supplier or a date, and parts that are not listed; with and without hubs."""
+    monkeypatch.setattr(resolving, "HUB_LINES", most, raising=False)
+    rng, day = random.Random(11), datetime.datetime(1995, 1, 3)
+    parts = [(i, f"name {rng.randint(0, 9)}", f"Brand#{i % 3}", rng.choice(("SMALL TIN", "LARGE TIN")), 40 if i % 6 == 0 else rng.choice((3, 40, 42, 47))) for i in range(60)]
+    often = [7, 11, 18, *range(60), None, 900]
+    lines = [
+        (o, rng.choice(often), rng.choice((*range(12), 12, None)), n, float(rng.randint(1, 50)), rng.choice(("A", "N", "R", "R", None)), rng.choice("OF"), rng.choice((None, *[day + datetime.timedelta(days=31 * m) for m in range(9)])))
+        for o in range(150) for n in range(1, 6)
+    ]
+    tables = {
+        "part": (parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int"),
+        "supplier": ([(i, float(i % 3 - 1)) for i in range(12)], "s_suppkey long, s_acctbal double"),
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+    }
+    duck = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = Counter(tuple(r) for r in duck.execute(resolving.ORACLES["chain_two_classes"]).fetchall())
+    got = Counter(tuple(r) for r in resolving.QUERIES["chain_two_classes"](spark, str(tmp_path)).collect())
+    assert got == want and {r[10] for r in want} == {None, "terminus", "seen", "boundary"} and {r[4] for r in want} == {"call", "key"}
