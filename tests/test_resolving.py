@@ -10,6 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lattica.functions.storage import materialize
 from lattica.operators import budget as B
 from lattica.operators import conditions as K
 from lattica.operators import fixpoint as X
@@ -348,3 +349,11 @@ def test_two_classes_of_odd_lines_as_their_sql(spark, tmp_path, monkeypatch, mos
     want = Counter(tuple(r) for r in duck.execute(resolving.ORACLES["chain_two_classes"]).fetchall())
     got = Counter(tuple(r) for r in resolving.QUERIES["chain_two_classes"](spark, str(tmp_path)).collect())
     assert got == want and {r[10] for r in want} == {None, "terminus", "seen", "boundary"} and {r[4] for r in want} == {"call", "key"}
+
+
+def test_tables_filed_by_a_column_are_read_in_part(spark):
+    """Each depth of a walk read all first hops of all nodes."""
+    rows = [(i, i % 8 + 1, None if i % 3 else f"k{i}") for i in range(64)]
+    filed = materialize(spark.createDataFrame(rows, "src long, place int, key_name string"), "filed", by=("place",)).where("place <= 2")
+    assert Counter((r.src, r.place, r.key_name) for r in filed.collect()) == Counter(r for r in rows if r[1] <= 2)
+    assert re.search(r"PartitionFilters: \[[^\]]*place", filed._jdf.queryExecution().executedPlan().toString())
