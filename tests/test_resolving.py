@@ -357,3 +357,78 @@ def test_tables_filed_by_a_column_are_read_in_part(spark):
     filed = materialize(spark.createDataFrame(rows, "src long, place int, key_name string"), "filed", by=("place",)).where("place <= 2")
     assert Counter((r.src, r.place, r.key_name) for r in filed.collect()) == Counter(r for r in rows if r[1] <= 2)
     assert re.search(r"PartitionFilters: \[[^\]]*place", filed._jdf.queryExecution().executedPlan().toString())
+
+
+def walked_whole(seeds, near, ends):
+    """(seed, depth, dst, level, stop) of whole walks in plain Python; ``near``: {src: [(dst, level)]}, levels from 4 on cross."""
+    rows = set()
+    for seed in set(seeds):
+        walked, touched, front, depth = {seed: 0}, set(), {seed}, 0
+        while front:
+            depth += 1
+            best = {}
+            for a in front:
+                for b, level in near[a]:
+                    best[b] = min(level, best.get(b, 9))
+            front = {b for b, level in best.items() if level < 4 and b not in ends and b not in walked}
+            for b, level in best.items():
+                if b in front:
+                    rows.add((seed, depth, b, level, None))
+                elif b not in touched and (b not in walked or b == seed):
+                    rows.add((seed, depth, b, level, "terminus" if b in ends else "seen" if b == seed else "boundary"))
+            touched |= set(best)
+            walked |= dict.fromkeys(front, depth)
+    return rows
+
+
+@pytest.mark.parametrize("hubs", [False, True])
+def test_whole_walks_against_plain_search(spark, monkeypatch, hubs):
+    """All hops and depths, with seeds in several rows of bits, rounds merged, and keys that meet without being paired."""
+    monkeypatch.setattr(W, "MERGE", 2)
+    rng = random.Random(8)
+    ends, far = {5, 17, 33}, range(100, 107)
+    hops = {(rng.randint(0, 39), rng.randint(0, 39), rng.randint(0, 1)) for _ in range(50)} | {(a, a + 1, 0) for a in far} | {(7, 100, 1)}
+    hops = [(a, b, x) for a, b, x in hops if a != b and a not in ends]
+    keys = [(rng.randint(0, 39), rng.randint(0, 8), rng.randint(0, 1)) for _ in range(60)]
+    into, out = sorted({k for k in keys[:30] if k[0] not in ends}), sorted(set(keys[30:]) | {k for k in keys[:10]})
+    near = defaultdict(list)
+    for a, b, x in hops:
+        near[a].append((b, x))
+    for a, g, h in into:
+        near[a] += [(b, (2 + g % 2) + 2 * (h != other)) for b, other_g, other in out if other_g == g and b != a]
+    seeds = [0, 1, 5, 7, *far, 33, *range(10, 33)]
+    # seeds that reach nothing lie between those that do, so that these are in other rows of bits
+    idle = range(200, 900)
+    nodes = spark.createDataFrame([(x,) for x in [*seeds, *idle, None] if x not in ends], "node long")
+    about = spark.createDataFrame([(x, x in ends) for x in [*range(40), *far, 107]], "dst long, ends boolean")
+    made = spark.createDataFrame
+    many = made([(7,), (0,), (999,)], "src long") if hubs else None
+    many_out = made([(g,) for g in range(5)], "group long") if hubs else None
+    walks = W.whole_walks(
+        nodes, made(hops, "src long, dst long, level int"), made([(a, 2 * g + h, g) for a, g, h in into], "src long, hub long, group long"),
+        made([(2 * g + h, g, b, 2 + g % 2) for b, g, h in out], "hub long, group long, dst long, level int"), 2, about, many, many_out,
+    )
+    got = [tuple(r) for r in walks.collect()]
+    want = walked_whole([x for x in seeds if x not in ends], near, ends)
+    assert set(got) == want and len(got) == len(want) and {w[4] for w in want} == {None, "terminus", "seen", "boundary"} and max(w[1] for w in want) > 6
+
+
+def test_two_classes_are_walked_whole(spark, tmp_path):
+    """Hops beyond the eighth of a part, keys with over 64 pairs and depths beyond six were left out."""
+    day = datetime.datetime(1995, 1, 3)
+    called = [(0, i) for i in range(1, 13)] + [(12, 21)] + [(i, i + 1) for i in range(21, 28)] + [(28, 0)]
+    lines = [(o, part, None, n, 20.0, "A", "F", None) for o, pair in enumerate(called) for n, part in enumerate(pair)]
+    lines += [(100 + i, part, 1, 1, 20.0, flag, "F", day) for i, (part, flag) in enumerate([(p, "R") for p in (0, *range(31, 39))] + [(p, "N") for p in range(41, 50)])]
+    tables = {
+        "part": ([(i, f"p {i}", "Brand#1", "SMALL TIN", 40 if i == 0 else 3) for i in range(50)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int"),
+        "supplier": ([(1, 5.0)], "s_suppkey long, s_acctbal double"),
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+    }
+    duck = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = Counter(tuple(r) for r in resolving.QUERIES["chain_two_classes"](spark, str(tmp_path)).collect())
+    assert got == Counter(tuple(r) for r in duck.execute(resolving.ORACLES["chain_two_classes"]).fetchall())
+    want = {(i, 1, "call", None) for i in range(1, 13)} | {(i, i - 19, "call", None) for i in range(21, 29)} | {(i, 1, "key", None) for i in range(41, 50)} | {(0, 10, "call", "seen")}
+    assert {(r[2], r[1], r[4], r[10]) for r in got} == want and {(r[8], r[9]) for r in got if r[2] == 0} == {(12, 9)}
