@@ -405,8 +405,8 @@ def test_whole_walks_against_plain_search(spark, monkeypatch, hubs):
     many = made([(7,), (0,), (999,)], "src long") if hubs else None
     many_out = made([(g,) for g in range(5)], "group long") if hubs else None
     walks = W.whole_walks(
-        nodes, made(hops, "src long, dst long, level int"), made([(a, 2 * g + h, g) for a, g, h in into], "src long, hub long, group long"),
-        made([(2 * g + h, g, b, 2 + g % 2) for b, g, h in out], "hub long, group long, dst long, level int"), 2, about, many, many_out,
+        nodes, made([(a, b, x, b in ends) for a, b, x in hops], "src long, dst long, level int, ends boolean"), made(into, "src long, group long, side long"),
+        made([(g, h, b, 2 + g % 2, b in ends) for b, g, h in out], "group long, side long, dst long, level int, ends boolean"), 2, about, many, many_out,
     )
     got = [tuple(r) for r in walks.collect()]
     want = walked_whole([x for x in seeds if x not in ends], near, ends)
